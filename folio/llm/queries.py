@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from folio.storage import saved
+from folio.llm import byte_bpe, cross_entropy, exact_dedup, language_id, mixing, simhash, suffix_dedup, url_rules, vector_tree, warc
+from folio.storage import new_path, saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,37 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_tree.build(vectors, k=5)
+    return vector_tree.search(index, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    read = warc.with_digests(warc.read_archive(spark, path))
+    rows = saved(read.select("id", "warc_type", "refers_to", "payload_digest", "payload_bytes", "own_digest"), "warc-pages")
+    responses = rows.where("warc_type = 'response'")
+    sizes = responses.groupBy(F.col("id").alias("refers_to"), F.col("own_digest").alias("payload_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = rows.where("warc_type = 'revisit'").select("id", "refers_to", "payload_digest").join(sizes, ["refers_to", "payload_digest"], "left")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    first = responses.select(F.col("id"), "payload_bytes", "own_digest", "warc_type", F.lit(None).cast("long")).toDF(*out)
+    return first.union(revisits.select("id", "payload_bytes", "payload_digest", F.lit("revisit"), "refers_to").toDF(*out))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    mined = url_rules.mine(pages.join(labels, "page_id"))
+    return url_rules.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.held_out(F.col("doc_id"))
@@ -56,4 +87,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_copies", "copy_no", "mix_key", "n_chars", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_byte_bpe, op8_language_id, op9_mixing)}
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic; background: all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
+    model = cross_entropy.fit(docs.join(good, "doc_id", "left"))
+    return cross_entropy.score(docs, model).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_exact_dedup, op3_byte_bpe, op4_vector_tree, op5_warc, op6_suffix_dedup, op7_url_rules, op8_language_id, op9_mixing, op10_cross_entropy)
+}
