@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from folio.llm.exact_dedup import normalised
 from folio.storage import discard, save, saved
 
-MIN_SUPPORT = 0.01
-MIN_CONFIDENCE = 0.6
+MIN_SUPPORT = 0.002
+MIN_CONFIDENCE = 0.5
 BAD = "label=bad"
 #: Rules up to which the index is broadcast; beyond it it is joined by shuffle.
 BROADCAST_RULES = 20_000
