@@ -63,10 +63,10 @@ class Store:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def meta(self) -> dict | None:
-        fs, where = self._fs(f"{self.root}/_current")
+        fs, where = self._fs(f"{self.root}/current.json")
         if not fs.exists(where):
             return None
-        found = json.loads(self.spark.read.text(f"{self.root}/_current", wholetext=True).first().value)
+        found = json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first().value)
         if found["schema_version"] > SCHEMA_VERSION:
             raise IndexStale("the index is of a newer version")
         return found
@@ -84,11 +84,11 @@ class Store:
         name = f"generation-{number}"
         units.write.mode("overwrite").parquet(f"{self.root}/{name}")
         meta = {"schema_version": SCHEMA_VERSION, "generation": name, "model_id": model_id, "width": width}
-        fs, where = self._fs(f"{self.root}/_next")
+        fs, where = self._fs(f"{self.root}/next.json")
         out = fs.create(where, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        current = self._fs(f"{self.root}/_current")[1]
+        current = self._fs(f"{self.root}/current.json")[1]
         fs.delete(current, False)
         fs.rename(where, current)
         return meta
