@@ -46,7 +46,7 @@ GRAM = 32
 PERIOD = 32
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
-BUCKET_PIECES = 4096
+BUCKET_PIECES = 512
 #: Exceptional rows (copies, ids with several texts) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 NULL_ID = -(1 << 63)
