@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,12 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from folio.llm.batches import sliced
+
 #: Code points with the Unicode property White_Space. (Fixed values.)
 WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0                　"
 BRAILLE = 0x2800
 #: Characters of cut texts whose ids a worker remembers at most.
-REMEMBERED = 8_000_000
+REMEMBERED = 1_500_000
+GROUP_CHARS = 500_000
+#: Ranges of letters in Latin-1, and common punctuation. (Fixed values.)
+LATIN_LETTERS = "À-ÖØ-öø-ÿ"
+PUNCTUATION = ".,;:!?-()[]\"'/*#&%$"
 _TO_PIECE = {b: BRAILLE + b for b in range(256)}
+_TO_PIECE_BY_LINE = {b: p for b, p in _TO_PIECE.items() if b != 10}
 _TO_BYTE = {BRAILLE + b: b for b in range(256)}
 
 
@@ -97,30 +105,65 @@ class Coder:
         explicit = pattern.replace("[^\\s", f"[^{inside}").replace("\\S", f"[^{inside}]").replace("\\s", space)
         self.cut = regex.compile(explicit).findall
         # A pre-token has white space within only if it is all white space, and else begins with one
-        # space at most: so these stretches can be cut, and remembered, each on its own.
-        self.stretches = re.compile(f" ?[^{inside}]+|{space}+(?![^{inside}])|{space}+").findall
-        self.known: dict[str, list[int]] = {}
+        # space at most; and letters end where a character follows that is certainly none. So these
+        # stretches can be cut, and remembered, each on its own.
+        word = f" ?[A-Za-z{LATIN_LETTERS}]+(?=[{inside}{re.escape(PUNCTUATION)}]|\\Z)"
+        self.stretches = re.compile(f"{word}| ?[^{inside}]+|{space}+(?![^{inside}])|{space}+").findall
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each text of Braille patterns, as 32-bit numbers."""
+        lists = self.pieces.encode(pieces, out_type=int, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(lists), np.int32).tobytes()
+        ends = (np.cumsum([len(x) for x in lists]) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def learn(self, stretches: set[str]) -> None:
-        cut = {s: self.cut(s) for s in stretches}
-        flat = [as_piece(t.encode()) for tokens in cut.values() for t in tokens]
-        ids = iter(self.pieces.encode(flat, out_type=int, num_threads=1))
-        for s, tokens in cut.items():
-            self.known[s] = list(chain.from_iterable(next(ids) for _ in tokens))
-            self.held += len(s)
-
-    def encode(self, text: str) -> list[int]:
-        found = self.stretches(text)
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
-        if new := set(found).difference(self.known):
-            self.learn(new)
-        return list(chain.from_iterable(map(self.known.__getitem__, found)))
+        whole = [s for s in stretches if s.lstrip(" ").isalpha() and s[:2] != "  "]  # one pre-token each
+        if whole:
+            pieces = "\n".join(whole).encode().decode("latin-1").translate(_TO_PIECE_BY_LINE).split("\n")
+            self.known.update(zip(whole, self._ids(pieces), strict=True))
+        if len(whole) < len(stretches):
+            cut = {s: self.cut(s) for s in stretches.difference(whole)}
+            ids = iter(self._ids([as_piece(t.encode()) for tokens in cut.values() for t in tokens]))
+            for s, tokens in cut.items():
+                self.known[s] = b"".join(next(ids) for _ in tokens)
+        self.held += sum(map(len, stretches))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. New stretches are learned together for about GROUP_CHARS of text."""
+        at = 0
+        while at < len(texts):
+            found, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                found.append(self.stretches(texts[at]))
+                size += len(texts[at])
+                at += 1
+            if self.held > REMEMBERED:
+                self.known, self.held = {}, 0
+            if new := set(chain.from_iterable(found)).difference(self.known):
+                self.learn(new)
+            known = self.known.__getitem__
+            for stretches in found:
+                yield np.frombuffer(b"".join(map(known, stretches)), np.int32)
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_all([text]))
+
+    @cached_property
+    def _bytes(self) -> list[bytes]:
+        return [as_bytes(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size() - 1)]
 
     def token_bytes(self) -> list[bytes]:
         """Bytes of each id, from the model's pieces; the last, unknown, piece has none."""
-        return [as_bytes(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size() - 1)]
+        return self._bytes
+
+
+@lru_cache(2)
+def coder(model: bytes, pattern: str) -> Coder:
+    """One for all tasks of a Python worker, so that what it remembers serves the next task."""
+    return Coder(model, pattern)
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
@@ -135,12 +178,10 @@ def encode(docs: DataFrame, model: bytes, pattern: str, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary: about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, pattern)
-        for batch in batches:
-            ids, ends = [], [0]
-            for raw in batch.column(at).cast(pa.binary()):
-                ids.append(np.array(coder.encode((raw.as_py() or b"").decode("utf-8", "replace")), np.int32))
-                ends.append(ends[-1] + len(ids[-1]))
+        encoded = coder(shared.value, pattern).encode_all
+        for batch in sliced(batches):
+            ids = list(encoded([(raw or b"").decode("utf-8", "replace") for raw in batch.column(at).cast(pa.binary()).to_pylist()]))
+            ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, ids_col])
 
@@ -154,8 +195,8 @@ def decode(rows: DataFrame, model: bytes, pattern: str, ids_col: str = "ids", by
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Coder(shared.value, pattern).token_bytes().__getitem__
-        for batch in batches:
+        piece = coder(shared.value, pattern).token_bytes().__getitem__
+        for batch in sliced(batches):
             out = [b"".join(map(piece, x.values.to_pylist())) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, bytes_col])
 
