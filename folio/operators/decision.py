@@ -6,6 +6,9 @@ Trimming is a loop whose next step depends on what is left; it runs row by row i
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -30,6 +33,29 @@ class Disabled:
         return {"answers": {}}
 
 
+class HttpProvider:
+    """Posts requests as JSON. After a transport or server error it rests for `cooldown` seconds, in which
+    it fails at once; a refusal by the server (4xx) is an error without a rest."""
+
+    def __init__(self, url: str, timeout: float = 3.0, cooldown: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.url, self.timeout, self.cooldown, self.clock, self.until = url, timeout, cooldown, clock, 0.0
+
+    def decide(self, request: dict) -> dict:
+        if self.clock() < self.until:
+            raise OSError("the decision endpoint rests after an error")
+        post = urllib.request.Request(self.url, json.dumps(request).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(post, timeout=self.timeout) as response:
+                return json.loads(response.read())
+        except urllib.error.HTTPError as e:
+            if e.code >= 500:
+                self.until = self.clock() + self.cooldown
+            raise
+        except OSError:
+            self.until = self.clock() + self.cooldown
+            raise
+
+
 def dense(c: str) -> bool:
     return any(a <= ord(c) <= b for a, b in ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)))
 
