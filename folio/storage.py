@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not f"{spark.sparkContext.master}[".startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="folio-")
         shared_folder.own = folder
