@@ -28,3 +28,28 @@ counted AS (
 SELECT doc_id, source, n_copies, copy_no, md5(doc_id || ':17:' || copy_no) AS mix_key, n_chars, md5(coalesce(text, '')) AS text_md5
 FROM (SELECT *, CAST(unnest(generate_series(1, n_copies)) AS INTEGER) AS copy_no FROM counted)
 """
+
+#: A SHA-1 in hexadecimal, five digits for four characters of base32.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * j + 1}, 5) AS INTEGER) >> {shift}) & 31 AS INTEGER) + 1, 1)" for j in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE_SQL["op5_warc"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+k AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+ORACLE_SQL["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS pos FROM d),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 2) AS byte, CASE WHEN 2 * pos + 200 <= length(h) THEN substr(h, 2 * pos + 1, 200) END AS s FROM p),
+f AS (SELECT doc_id, pos, byte, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1 AS late FROM w),
+c AS (SELECT doc_id, pos, byte, max(CAST(late AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM c),
+g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+             sha256(unhex(coalesce(string_agg(byte, '' ORDER BY pos) FILTER (NOT gone), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
