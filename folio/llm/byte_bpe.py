@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folio.llm.batches import sliced
+from folio.llm.batches import sliced, small_batches
 
 #: Code points with the Unicode property White_Space. (Fixed values.)
 WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0                　"
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, model: bytes, pattern: str, text_col: str = "text",
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, ids_col])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -200,4 +200,4 @@ def decode(rows: DataFrame, model: bytes, pattern: str, ids_col: str = "ids", by
             out = [b"".join(map(piece, x.values.to_pylist())) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, bytes_col])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.batches import sliced
+from folio.llm.batches import sliced, small_batches
 from folio.storage import discard, save, saved
 
 SEED = 42
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, fp long")
+    return small_batches(own).mapInArrow(run, "id long, fp long")
 
 
 def pivots() -> np.ndarray:

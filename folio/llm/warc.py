@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.batches import small_batches
 from folio.storage import discard, save
 
 SEGMENT_BYTES = 32 * 1024
@@ -117,7 +118,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                     out += [member(r) for r in records_of(name, (x["url"] or "") if x["url"] is not None else None, x["payload"], x["refers_to"], segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = small_batches(marked).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     options = {"lineSep": EMPTY_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": str(records_per_file)}
     lines.write.options(**options).text(path)
     discard(pages.sparkSession, groups_at)
