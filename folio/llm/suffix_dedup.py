@@ -8,8 +8,8 @@ same document further left) is removed. Strings never cross documents and are ju
 2. Buckets. A string's bucket is its *anchor*: the leftmost of the smallest hashes of its k-grams.
    The anchor depends on the string only, so equal strings share a bucket. Neighbouring strings of
    one anchor form a *piece* (at most 2 * length bytes). Pieces of equal content are settled by
-   hash: the first stays, the others' strings all start earlier. Each batch settles its own pieces
-   first, so a passage in any number of documents sends one row a batch to the shuffle. Buckets
+   hash: the first stays, the others' strings all start earlier. Each task settles its own pieces
+   first, many documents' at a time, so a passage in any number of them sends few rows to the shuffle. Buckets
    with one piece left hold nothing repeated; only pieces of the other buckets fetch their bytes.
 3. Blocks. A task gathers whole buckets into blocks of bounded size and sorts their suffixes one
    bucket (of first bytes) at a time: by their first PERIOD bytes, and long ties by the ranks of a
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm.batches import small_batches
 from folio.storage import discard, release_shuffles, save
 
 LENGTH = 100
@@ -47,6 +48,8 @@ PERIOD = 32
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 BUCKET_PIECES = 512
+#: Pieces that a task settles at a time before the shuffle.
+SETTLED = 400_000
 #: Exceptional rows (copies, ids with several texts) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 NULL_ID = -(1 << 63)
@@ -169,8 +172,8 @@ def piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
+        rows, held = [], 0
         for batch in batches:
-            rows, held = [], 0
             for key, base, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = raw.as_py()
                 for at, part in slices(text, length):
@@ -179,12 +182,12 @@ def piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     piece = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first))
                     rows.append((bucket, piece, (last - first) << 20 | anchor - first, np.full(len(first), key), base + at + first, base + at + last))
                     held += len(first)
-                if held > 400_000:
+                if held > SETTLED:
                     yield from _removed_and_rest(rows, length)
                     rows, held = [], 0
-            yield from _removed_and_rest(rows, length)
+        yield from _removed_and_rest(rows, length)
 
-    return docs.select("id", "base", "text").mapInArrow(run, ROWS)
+    return small_batches(docs.select("id", "base", "text")).mapInArrow(run, ROWS)
 
 
 def settle(rows: DataFrame, length: int, keep_pieces: bool) -> DataFrame:
