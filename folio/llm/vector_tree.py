@@ -8,6 +8,7 @@
   their centres; the nearest is opened, a leaf is a visit.
 * The number of visits is calibrated: for a sample of queries, true neighbours are found among all
   points in blocks, and visits widen until the sample's recall reaches ``recall``.
+* A first round visits each query's first leaves; later visits hand on only what beats its result.
 * Queries meet the points of their leaves in bounded blocks: large leaves are split into parts, and
   so are large sets of queries on one leaf. Each block is one matrix product.
 
@@ -36,6 +37,8 @@ BRANCHING = 8
 LEAF_ROWS = 200
 CALIBRATION_QUERIES = 200
 RECALL = 0.97
+#: Visits of the first round; later ones hand on only what beats its result.
+FIRST_VISITS = 8
 #: Points, and queries, in one block of work at most, as their hashes fall.
 BLOCK_ROWS = 4096
 SALTS = 16
@@ -231,34 +234,52 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return Index(table, path, tree, width, visits)
 
 
-def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query, without the query's own id."""
-    width = index.width
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("qvec"))
-    asked = asked.where(F.col("query_id").isNotNull() & valid(F.col("qvec")) & (F.size("qvec") == width))
-    one = saved(asked.groupBy("qvec").agg(F.min("query_id").alias("qrep")), "ann-queries")
-    visits = saved(_leaf_order(one, index.tree, width, index.visits), "ann-visits")
+def _order(*by: str) -> Window:
+    return Window.partitionBy("qrep").orderBy(F.desc("score"), *by)
+
+
+def _nearest(met: DataFrame, k: int) -> DataFrame:
+    return met.withColumn("at", F.row_number().over(_order("rep"))).where(F.col("at") <= k + 1).drop("at")
 
+
+def _met(index: Index, visits: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(qrep, rep, score): of each block the k + 1 best points of each query that are not below its floor."""
+    width = index.width
     size = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
     blocks = size(index.table, "parts").join(size(visits, "turns"), "leaf")
     blocks = F.broadcast(saved(blocks, "ann-blocks"))  # a row for each leaf: bounded by the sample
     dealt = lambda df, key, own, other: df.join(blocks, "leaf").withColumn(own[0], F.pmod(F.xxhash64(key), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)))
     rows = dealt(index.table, "rep", ("part", "parts"), ("turn", "turns")).select("leaf", "part", "turn", "rep", "vec")
-    sought = dealt(visits, "qrep", ("turn", "turns"), ("part", "parts")).select("leaf", "part", "turn", "qrep", "qvec")
+    sought = dealt(visits, "qrep", ("turn", "turns"), ("part", "parts")).select("leaf", "part", "turn", "qrep", "qvec", "floor")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"qrep": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         reps, qreps = left.column("rep").to_numpy(), right.column("qrep").to_numpy()
         q, r, scores = best(matrix(right.column("qvec").combine_chunks(), width), matrix(left.column("vec").combine_chunks(), width), reps, k + 1)
-        return pa.table({"qrep": qreps[q], "rep": reps[r], "score": scores})
+        kept = scores >= right.column("floor").to_numpy()[q]
+        return pa.table({"qrep": qreps[q][kept], "rep": reps[r][kept], "score": scores[kept]})
 
     keys = ["leaf", "part", "turn"]
-    met = rows.groupBy(*keys).cogroup(sought.groupBy(*keys)).applyInArrow(run, "qrep long, rep long, score double")
-    order = lambda *by: Window.partitionBy("qrep").orderBy(F.desc("score"), *by)
-    near = met.withColumn("at", F.row_number().over(order("rep"))).where(F.col("at") <= k + 1)
+    return rows.groupBy(*keys).cogroup(sought.groupBy(*keys)).applyInArrow(run, "qrep long, rep long, score double")
+
+
+def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query, without the query's own id."""
+    width = index.width
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("qvec"))
+    asked = asked.where(F.col("query_id").isNotNull() & valid(F.col("qvec")) & (F.size("qvec") == width))
+    one = saved(asked.groupBy("qvec").agg(F.min("query_id").alias("qrep")), "ann-queries")
+    visits = saved(_leaf_order(one, index.tree, width, index.visits), "ann-visits")
+
+    first = _nearest(_met(index, visits.where(F.col("visit") < FIRST_VISITS).withColumn("floor", F.lit(-2.0)), k, block_rows), k)
+    first = saved(first, "ann-first")
+    enough = F.count("*") > k
+    floors = first.groupBy("qrep").agg(F.when(enough, F.min("score")).otherwise(-2.0).alias("floor"))
+    later = visits.where(F.col("visit") >= FIRST_VISITS).join(floors, "qrep", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    near = _nearest(first.union(_met(index, later, k, block_rows)), k)
     named = near.join(index.table.select("rep", "ids"), "rep").select("qrep", "score", F.explode("ids").alias("vec_id"))
-    named = named.withColumn("at", F.row_number().over(order("vec_id"))).where(F.col("at") <= k + 1)
+    named = named.withColumn("at", F.row_number().over(_order("vec_id"))).where(F.col("at") <= k + 1)
     lists = named.groupBy("qrep").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("near"))
     to_rep = asked.join(one, "qvec").select("query_id", "qrep")
     own = to_rep.join(lists, "qrep").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
