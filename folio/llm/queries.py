@@ -9,6 +9,10 @@ from folio.llm import byte_bpe, cross_entropy, exact_dedup, language_id, mixing,
 from folio.storage import new_path, saved
 
 
+#: Ids of target documents up to which they are broadcast; beyond it they are joined by shuffle.
+BROADCAST_TARGETS = 2_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +95,8 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic; background: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
+    good = saved(good, "target-ids")
+    good = F.broadcast(good) if good.count() <= BROADCAST_TARGETS else good
     model = cross_entropy.fit(docs.join(good, "doc_id", "left"))
     return cross_entropy.score(docs, model).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
