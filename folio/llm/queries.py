@@ -97,8 +97,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
     good = saved(good, "target-ids")
     good = F.broadcast(good) if good.count() <= BROADCAST_TARGETS else good
-    model = cross_entropy.fit(docs.join(good, "doc_id", "left"))
-    return cross_entropy.score(docs, model).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    return cross_entropy.fit_and_score(docs.join(good, "doc_id", "left")).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
 
 QUERIES = {

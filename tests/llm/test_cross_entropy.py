@@ -56,3 +56,30 @@ def test_independent_of_partitions_long_texts_and_empty(spark):
     none = docs.limit(0)
     assert ce.score(none, ce.fit(none)).count() == 0
     assert {r.score for r in ce.score(docs, ce.fit(docs.withColumn("target", F.lit(None).cast("boolean")))).collect()} != {None}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 100_000}])
+def test_n_grams_share_no_counters(spark, sizes):
+    """Over 260,000 bigrams: among 2**20 slots many would share one."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = table.withColumn("target", F.col("doc_id") % 5 == 0)
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    scored = ce.score(docs, ce.fit(docs)) if not sizes else ce.fit_and_score(docs, **sizes)
+    got = {r.doc_id: r for r in scored.collect()}
+    want = brute(rows, {i for i, _ in rows if i % 5 == 0})
+    assert len(got) == len(want)
+    for i, n, target, background in want:
+        assert got[i].n_tokens == n and (got[i].target_loss, got[i].background_loss) == (pytest.approx(target), pytest.approx(background))
+
+
+def test_texts_that_were_not_counted(spark):
+    docs = frame(spark, [(1, "a b c"), (2, "a b d")]).withColumn("target", F.col("doc_id") == 1)
+    r = ce.score(frame(spark, [(3, "x y")]), ce.fit(docs)).first()
+    assert r.background_loss == pytest.approx(-math.log(ce.ALPHA / (6 + ce.ALPHA * 2**ce.BITS)) - math.log(200 / 202) / 2)
+
+
+def test_fitted_and_scored_at_once(spark):
+    docs = frame(spark).withColumn("target", F.col("doc_id") == 6)
+    key = lambda d: sorted(((r.doc_id, r.text, r.source, r.n_tokens, r.target_loss, r.score) for r in d.collect()), key=str)
+    assert key(ce.fit_and_score(docs)) == key(ce.score(docs, ce.fit(docs)))
+    assert ce.fit_and_score(docs.limit(0)).count() == 0
