@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +17,29 @@ MAX_QUERY_TERMS = 32
 RESERVED_FOLDER = ".book"
 
 
+@lru_cache(1)
+def _accented() -> tuple[str, str]:
+    """Latin letters that decompose to an ASCII letter and marks, and these ASCII letters."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = [(a, d[0]) for a, d in found if len(d) > 1 and d[0].isascii() and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(a for a, _ in plain), "".join(b for _, b in plain)
+
+
+def without_accents(text: Column) -> Column:
+    """Diacritics taken from Latin letters, and combining marks dropped."""
+    return F.translate(F.regexp_replace(text, r"[\u0300-\u036F]", ""), *_accented())
+
+
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Lower-case runs of letters and digits, without diacritics."""
+    return F.regexp_extract_all(F.lower(without_accents(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def query_terms(text: str) -> list[str]:
-    """At most MAX_QUERY_TERMS runs, in order; repetitions stay and count again."""
+    """At most MAX_QUERY_TERMS runs as `terms` cuts them, in order; repetitions stay and count again."""
     out, word = [], ""
-    for c in text.lower() + " ":
+    plain = "".join(c for c in text if not "\u0300" <= c <= "\u036f").translate(str.maketrans(*_accented()))
+    for c in plain.lower() + " ":
         if c.isalnum():
             word += c
         elif word:
@@ -80,7 +97,8 @@ def capped(text: Column, limit: int, hint: str = "…") -> Column:
 
 def identifiers(text: Column) -> Column:
     """Distinct names of three characters or more, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"), 0))
+    letter = r"[\p{L}\p{M}\p{N}_]"  # of any script: no name begins or ends within a word
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!{letter})[a-zA-Z_][a-zA-Z0-9_]{{2,}}(?!{letter})"), 0))
 
 
 def path_identifiers(path: Column) -> Column:

@@ -36,7 +36,8 @@ def mean_pool(vectors: Column) -> Column:
 
 
 def hashed_embedding(terms: Column, width: int = 128) -> Column:
-    """A deterministic embedding without a model: terms hashed to signed components, normalised."""
-    slots = F.transform(terms, lambda t: F.xxhash64(t))
-    at = lambda i: F.aggregate(slots, F.lit(0.0), lambda acc, h: acc + F.when(F.pmod(h, F.lit(width)) == i, F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
+    """A deterministic embedding without a model: terms hashed (MD5) to signed components, normalised."""
+    number = lambda t, at: F.conv(F.substring(F.md5(t.cast("binary")), at, 8), 16, 10).cast("long")
+    places = F.transform(terms, lambda t: F.struct((number(t, 1) % width).alias("slot"), F.when(number(t, 9) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+    at = lambda i: F.aggregate(places, F.lit(0.0), lambda acc, p: acc + F.when(p["slot"] == i, p["sign"]).otherwise(0.0))
     return normalised(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at))

@@ -65,6 +65,6 @@ def find_symbol(symbols: DataFrame, name: str) -> DataFrame:
     low = name.lower()
     near = F.lower("name").contains(low) | F.lit(low).contains(F.lower("name"))
     ranked = symbols.withColumn("similar", F.col("name") != name).where((F.col("name") == name) | near)
-    exact = F.max(F.when(~F.col("similar"), 1).otherwise(0)).over(Window.partitionBy(F.lit(0)))
-    kept = ranked.withColumn("_exact", exact).where((F.col("_exact") == 0) | ~F.col("similar")).drop("_exact")
-    return kept.orderBy("similar", "path", "start_row").limit(10)
+    best = ranked.orderBy("similar", "path", "start_row").limit(10)  # exact ones come first: with one of these, similar ones go
+    exact = F.max((~F.col("similar")).cast("int")).over(Window.partitionBy())
+    return best.withColumn("_exact", exact).where((F.col("_exact") == 0) | ~F.col("similar")).drop("_exact").orderBy("similar", "path", "start_row")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +62,27 @@ def integrity_problems(listed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def bundle_hash(files: DataFrame, manifest: str, key: str = "book") -> DataFrame:
-    """(book, bundle_hash): SHA-256 over `path`, `hash` lines, the manifest first, then by path."""
-    parts = F.array_sort(F.collect_list(F.struct((F.col("path") != manifest).alias("later"), "path", "hash")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["path"], F.lit("\n"), p["hash"], F.lit("\n"))), "")
-    return files.groupBy(key).agg(F.sha2(text, 256).alias("bundle_hash"))
+    """(book, bundle_hash): SHA-256 over `path`, `hash` lines, the manifest first, then by path.
+
+    The digest is fed line by line from rows in order, so a book of any size needs no memory; a digest
+    over lines in order is one task's work by its nature."""
+    rows = files.select(F.col(key).cast("string").alias(key), (F.col("path") != manifest).alias("later"), "path", "hash")
+    dealt = rows.repartition(key).sortWithinPartitions(key, "later", "path", "hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        made = lambda name, d: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([d.hexdigest()], pa.string())], [key, "bundle_hash"])
+        for batch in batches:
+            for name, _, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or name != now:
+                    if digest is not None:
+                        yield made(now, digest)
+                    now, digest = name, hashlib.sha256()
+                digest.update(f"{path}\n{content}\n".encode())
+        if digest is not None:
+            yield made(now, digest)
+
+    return dealt.mapInArrow(run, f"`{key}` string, bundle_hash string")
 
 
 def stamp_state(stamp: Column, sidecar_hash: Column, contents_valid: Column, no_sidecar: str = "none") -> Column:

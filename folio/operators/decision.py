@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENS = 512
@@ -148,10 +148,11 @@ def choice(response: dict, question: str, options: list[str]) -> tuple[str | Non
 def reranked(hits: DataFrame, probabilities: DataFrame) -> DataFrame:
     """The first eight hits by probability, the ones without one last; the others keep their places.
 
-    hits: id, place (from 0); probabilities: id, p."""
+    hits: id, place (from 0), a ranking's bounded depth; probabilities: id, p. Adds `at`, the new place."""
     first = F.when(F.col("place") < RERANKED, 0).otherwise(1)
     p = F.when(F.col("place") < RERANKED, F.col("p"))
-    return hits.join(probabilities, "id", "left").orderBy(first, F.desc_nulls_last(p), "place")
+    order = Window.orderBy(first, F.desc_nulls_last(p), "place")
+    return hits.join(probabilities, "id", "left").withColumn("at", F.row_number().over(order) - 1).orderBy("at")
 
 
 def decide_each(rows: DataFrame, request_col: str, provider: Callable[[], DecisionProvider]) -> DataFrame:

@@ -4,10 +4,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.storage import saved
+
 EPSILON = 1e-6
+#: Words of a probe, and probes up to which they are broadcast; beyond it they are joined by shuffle.
+PROBE_WORDS = 5
+BROADCAST_PROBES = 200_000
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, r"\s+")
+
+
+def _runs(n: int) -> Column:
+    """Hashes of all runs of n words in _words."""
+    return F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " ")))
+
+
+def containing(docs: DataFrame, items: DataFrame, id_col: str = "uri", text_col: str = "body", item_col: str = "query", item_text: str = "text") -> DataFrame:
+    """(item, id) of the documents whose text contains an item's whole text.
+
+    An item's inner words stand as whole words in a text that contains it. A run of them, its probe, is
+    looked up among the runs of each text; only texts that hold it are searched. Items of less than three
+    words have no inner words: all texts are searched for these few."""
+    split = items.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), _words(F.col(item_text)).alias("_words"))
+    inner = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 2, F.lit(0)))
+    run = F.slice(inner, (F.floor((F.size(inner) - F.least(F.size(inner), F.lit(PROBE_WORDS))) / 2) + 1).cast("int"), F.least(F.size(inner), F.lit(PROBE_WORDS)))
+    probes = saved(split.select("_item", "_text", F.least(F.size(inner), F.lit(PROBE_WORDS)).alias("_n"), F.xxhash64(F.array_join(run, " ")).alias("_probe")), "evaluation-probes")
+    some = probes.where("_n > 0")
+    sizes = [r["_n"] for r in some.select("_n").distinct().collect()]  # at most PROBE_WORDS
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
+    few = probes.count() <= BROADCAST_PROBES
+    out = own.crossJoin(F.broadcast(probes.where("_n = 0"))) if few else own.join(probes.where("_n = 0"), F.expr("contains(_body, _text)"))
+    found = out.where(F.expr("contains(_body, _text)")).select("_item", "_id")
+    for n in sizes:
+        runs = _runs(n)
+        words = own.select("_id", _words(F.col("_body")).alias("_words")).where(F.size("_words") >= n)
+        wanted = some.where(F.col("_n") == n).select("_probe", "_item", "_text")
+        hits = words.select("_id", F.explode(F.array_distinct(runs)).alias("_probe")).join(F.broadcast(wanted) if few else wanted, "_probe").select("_id", "_item", "_text")
+        hits = saved(hits, "evaluation-hits")
+        met = own.join(F.broadcast(hits) if hits.count() <= BROADCAST_PROBES else hits, "_id")
+        found = found.union(met.where(F.expr("contains(_body, _text)")).select("_item", "_id"))
+    return found.select(F.col("_item").alias(item_col), F.col("_id").alias(id_col)).distinct()
 
 
 def score_queries(expected: DataFrame, ranking: DataFrame, ks: list[int]) -> DataFrame:

@@ -12,13 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators.retrieval import IndexStale
+from folio.operators.postings import Postings
+from folio.operators.retrieval import Filter, IndexStale, depth, fuse, lexical_leg, vector_leg
 from folio.storage import saved
 
 SCHEMA_VERSION = 3
 KEY = ["book", "namespace", "concept_id"]
 
 
+def unit_id() -> Column:
+    """A unit's name: its concept and the passage's number in it."""
+    return F.concat_ws("/", "book", "namespace", F.concat_ws("#", "concept_id", "ordinal"))
+
+
 def concept_hashes(passages: DataFrame, key: list[str] | None = None, ordinal: str = "ordinal", passage: str = "passage") -> DataFrame:
     """(key, text_hash): SHA-256 over the passages in order, each after its length in 8 bytes, lowest first."""
     key = key or KEY
@@ -78,11 +84,49 @@ class Store:
             return None
         return self.spark.read.parquet(f"{self.root}/{found['generation']}")
 
+    def lexical(self) -> Postings | None:
+        """Postings of the current generation, over passages and concept ids; their ids are unit_id()."""
+        found = self.meta()
+        if not found or found["schema_version"] < SCHEMA_VERSION:
+            return None
+        path = f"{self.root}/{found['generation']}-lexical"
+        fs, where = self._fs(path)
+        return Postings(self.spark, path) if fs.exists(where) else None
+
+    def search(self, query: str, k: int, vector: list[float] | None = None, where: Filter | None = None) -> DataFrame:
+        """(id, score): hybrid search in the current generation, whose units have the vectors in `embedding`."""
+        found = self.meta()
+        index = self.lexical()
+        if found is None or index is None:
+            raise IndexStale("there is no index: build it")
+        legs = [lexical_leg(index, query, depth(k), where)]
+        if vector is not None:
+            self.check_width(len(vector))
+            legs.insert(0, vector_leg(self.units().withColumn("unit", unit_id()), vector, depth(k), where, "unit", width=found["width"]))
+        return fuse(legs, k)
+
+    def remove(self, concepts: DataFrame, key: list[str] | None = None) -> dict:
+        """Commit without these concepts (key columns); concepts that aren't there are no error."""
+        found, units = self.meta(), self.units()
+        if units is None:
+            raise IndexStale("there is no index: build it")
+        return self.commit(units.join(concepts.select(*(key or KEY)).distinct(), key or KEY, "left_anti"), found["model_id"], found["width"])
+
+    def clear(self) -> None:
+        """Commit an empty generation of the same model."""
+        found, units = self.meta(), self.units()
+        if units is not None:
+            self.commit(units.limit(0), found["model_id"], found["width"])
+
     def commit(self, units: DataFrame, model_id: str, width: int) -> dict:
         found = self.meta()
         number = 1 + int(found["generation"].split("-")[1]) if found else 1
         name = f"generation-{number}"
+        before = self.lexical()
         units.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        if {"passage", "ordinal", *KEY} <= set(units.columns):
+            written = self.spark.read.parquet(f"{self.root}/{name}").withColumn("unit", unit_id())
+            Postings.build(written, f"{self.root}/{name}-lexical", id_col="unit", text_cols=("passage", "concept_id"), previous=before)
         meta = {"schema_version": SCHEMA_VERSION, "generation": name, "model_id": model_id, "width": width}
         fs, where = self._fs(f"{self.root}/next.json")
         out = fs.create(where, True)

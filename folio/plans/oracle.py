@@ -13,7 +13,7 @@ DOCS = """docs AS (
 
 def bm25(query: list[str], k: int, where: str = "true", name: str = "lex") -> str:
     terms = ", ".join(f"'{t}'" for t in query)
-    return f"""toks AS (SELECT id, book, language, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs),
+    return f"""toks AS (SELECT id, book, language, regexp_extract_all(lower(strip_accents(text || ' ' || concept_id)), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs),
 asked AS (SELECT term, count(*) AS times FROM (SELECT unnest([{terms}]) AS term) GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM toks),
 tf AS (SELECT id, book, language, len(ts) AS dl, term, times, len(list_filter(ts, lambda x: x = term)) AS f FROM toks, asked),
@@ -47,11 +47,16 @@ ORACLE_SQL["unique_concept_ranks"] = f"""WITH {DOCS}, {bm25(Q, 200)},
 best AS (SELECT lex.id, score, book || '/' || language AS uri FROM lex JOIN docs USING (id) QUALIFY row_number() OVER (PARTITION BY book, language ORDER BY score DESC, lex.id) = 1)
 SELECT uri, row_number() OVER (ORDER BY score DESC, id) AS rank FROM best"""
 
+ORACLE_SQL["advisory_rerank"] = f"""WITH {DOCS}, {bm25(Q, 20)},
+h AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM lex),
+p AS (SELECT *, CASE WHEN place % 3 <> 1 THEN (id % 7) / 7.0::DOUBLE END AS p FROM h)
+SELECT id, place, round(p, 6) AS p, row_number() OVER (ORDER BY place >= 8, CASE WHEN place < 8 THEN p END DESC NULLS LAST, place) - 1 AS at FROM p"""
+
 EVAL = f"""{DOCS},
 expected AS (SELECT item_id AS query, id AS uri FROM docs, benchmark b WHERE contains(docs.text, b.text)),
-bt AS (SELECT item_id AS query, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:32] AS ts FROM benchmark),
+bt AS (SELECT item_id AS query, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')[1:32] AS ts FROM benchmark),
 asked AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(ts) AS term FROM bt) GROUP BY ALL),
-toks AS (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs),
+toks AS (SELECT id, regexp_extract_all(lower(strip_accents(text || ' ' || concept_id)), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM toks),
 post AS (SELECT id, dl, term, count(*) AS f FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -172,11 +177,10 @@ l AS (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscript
 SELECT id, CAST(pos AS INTEGER) AS pos, CAST(length(regexp_extract(line, '^#+')) AS INTEGER) AS level, trim(regexp_extract(line, '^#+ (.*)$', 1)) AS title
 FROM l WHERE regexp_matches(line, '^#{{1,6}} +[^ #]')"""
 ORACLE_SQL["identifier_extract"] = """
-WITH n AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}'))) AS name, generate_subscripts(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}')), 1) AS spot FROM documents WHERE lang = 'en'),
+WITH n AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}'))) AS name, generate_subscripts(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]{2,}')), 1) AS spot FROM documents),
 f AS (SELECT id, name, min(spot) AS spot FROM n GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY spot) AS place FROM f),
-g AS (SELECT id, string_agg(name, ',' ORDER BY spot) FILTER (place <= 5) AS first_names, count(*) AS names FROM r GROUP BY id)
-SELECT doc_id AS id, coalesce(first_names, '') AS first_names, coalesce(names, 0) AS names FROM documents LEFT JOIN g ON g.id = doc_id WHERE lang = 'en'"""
+g AS (SELECT id, string_agg(name, ',' ORDER BY spot) AS found, count(*) AS names FROM f GROUP BY id)
+SELECT doc_id AS id, md5(coalesce(found, '')) AS names_md5, coalesce(names, 0) AS names FROM documents LEFT JOIN g ON g.id = doc_id"""
 ORACLE_SQL["html_outline"] = """
 WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'), 1) - 1 AS pos FROM pages)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(regexp_extract(tag, '(?i)^<h([1-6])', 1) AS INTEGER) AS level, trim(regexp_extract(tag, '(?is)^<h[1-6][^>]*>(.*)</h[1-6]>$', 1), ' ') AS title FROM h"""
@@ -301,3 +305,65 @@ ORACLE_SQL["frontmatter_parse"] = """
 SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN 'Note' END AS type, CASE WHEN doc_id % 6 <> 0 THEN lang END AS language,
        CASE WHEN doc_id % 6 <> 0 THEN source || ',x' ELSE '' END AS tags, CASE WHEN doc_id % 6 <> 0 THEN 'body ' || doc_id END AS body, doc_id % 6 = 0 AS failed
 FROM documents"""
+
+ORACLE_SQL["hashed_text_vectors"] = """
+WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+h AS (SELECT item_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 32 AS slot, CASE WHEN CAST('0x' || substr(md5(term), 9, 8) AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM t),
+s AS (SELECT item_id, slot, sum(sign) AS x FROM h GROUP BY ALL),
+n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY item_id)
+SELECT b.item_id, CAST(g.slot AS INTEGER) AS slot, round(coalesce(CASE WHEN norm > 0 THEN x / norm ELSE x END, 0), 6) AS x
+FROM benchmark b CROSS JOIN (SELECT unnest(range(0, 32)) AS slot) g LEFT JOIN s ON s.item_id = b.item_id AND s.slot = g.slot LEFT JOIN n ON n.item_id = b.item_id"""
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    """A table of SQL expressions over a document's number k (its text t, and so on)."""
+    return " UNION ALL ".join("SELECT k, " + ", ".join(f"{x} AS {n}" for x, n in zip(row, names.split(), strict=True)) + f" FROM {row_of}" for row_of, row in rows)
+
+
+FILES = """f AS (SELECT doc_id AS k, doc_id % 300 AS r, doc_id % 9 AS c, len(string_split(coalesce(text, ''), chr(10))) AS n,
+  CASE doc_id % 3 WHEN 0 THEN 'src/d' || doc_id || '.py' WHEN 1 THEN 'docs/d' || doc_id || '.md' ELSE 'src/d' || doc_id || '.rs' END AS path FROM documents),
+py AS (SELECT * FROM f WHERE k % 3 = 0), md AS (SELECT * FROM f WHERE k % 3 = 1), rs AS (SELECT * FROM f WHERE k % 3 = 2)"""
+_SYMBOLS = [
+    ("py", ("path", "'Store' || k", "'class'", "6", "12", "'class Store' || k", "''", "false", "NULL::VARCHAR", "NULL::INTEGER")),
+    ("py", ("path", "'load'", "'method'", "7", "8", "'def load(self, path)'", "'Store' || k", "false", "'Store' || k", "6")),
+    ("py", ("path", "'save'", "'method'", "10", "12", "'def save(self, path, data)'", "'Store' || k", "false", "'Store' || k", "6")),
+    ("py", ("path", "'read' || r", "'function'", "15", "16", "'def read' || r || '(path)'", "''", "false", "NULL", "NULL")),
+    ("py", ("path", "'write'", "'function'", "19", "20", "'def write(path, data)'", "''", "false", "NULL", "NULL")),
+    ("md", ("path", "'Top ' || k", "'h1'", "1", "n + 6", "'# Top ' || k", "''", "false", "NULL", "NULL")),
+    ("md", ("path", "'Part'", "'h2'", "n + 4", "n + 6", "'## Part'", "''", "false", "'Top ' || k", "1")),
+    ("rs", ("path", "'Node' || k", "'struct'", "1", "3", "'pub struct Node' || k || ' {'", "''", "true", "NULL", "NULL")),
+    ("rs", ("path", "'Node' || k", "'impl'", "5", "10", "'impl Node' || k || ' {'", "''", "false", "NULL", "NULL")),
+    ("rs", ("path", "'new'", "'method'", "6", "9", "'pub fn new(x: u32) -> Self {'", "'Node' || k", "true", "'Node' || k", "5")),
+    ("rs", ("path", "'check' || c", "'function'", "12", "12", "'fn check' || c || '(x: u32) {}'", "''", "false", "NULL", "NULL")),
+]
+_SYMBOL_ROWS = _rows(_SYMBOLS, "path name kind start_row end_row signature scope exported parent parent_start")
+ORACLE_SQL["code_symbols"] = f"WITH {FILES}, s AS ({_SYMBOL_ROWS}) SELECT path, name, kind, CAST(start_row AS INTEGER) AS start_row, CAST(end_row AS INTEGER) AS end_row, signature, scope, exported FROM s"
+ORACLE_SQL["code_outline"] = f"WITH {FILES}, s AS ({_SYMBOL_ROWS}) SELECT path, name, kind, CAST(start_row AS INTEGER) AS start_row, parent, CAST(parent_start AS INTEGER) AS parent_start FROM s"
+_STORE, _READ = "'Store' || k", "'read' || r"
+_CALL_ROWS = _rows(
+    [
+        ("py", ("path", _READ, _STORE, "6", "8", "15")), ("py", ("path", _READ, "'load'", "7", "8", "15")),
+        ("py", ("path", "'load'", _STORE, "6", "11", "7")), ("py", ("path", "'load'", "'save'", "10", "11", "7")),
+        ("py", ("path", "'write'", _STORE, "6", "12", "19")), ("py", ("path", "'write'", "'save'", "10", "12", "19")),
+        ("py", ("path", "'open'", _READ, "15", "16", "NULL::INTEGER")), ("py", ("path", "'print'", "'write'", "19", "20", "NULL")),
+        ("rs", ("path", "'check' || c", "'Node' || k", "5", "7", "12")), ("rs", ("path", "'check' || c", "'new'", "6", "7", "12")),
+    ],
+    "path callee caller caller_start line callee_start",
+)
+ORACLE_SQL["code_calls"] = f"WITH {FILES}, s AS ({_CALL_ROWS}) SELECT path, callee, caller, CAST(caller_start AS INTEGER) AS caller_start, CAST(line AS INTEGER) AS line, CAST(callee_start AS INTEGER) AS callee_start FROM s"
+ORACLE_SQL["code_zoom"] = """SELECT * FROM (VALUES (12, '        write(path, data)'), (13, ''), (14, ''), (15, 'def read3(path):'), (16, '    return os.open(path)'), (17, ''), (18, ''), (19, 'def write(path, data):')) t(line_no, line)"""
+ORACLE_SQL["repo_map_edges"] = f"""WITH {FILES}, g AS (SELECT r, count(*) AS n, min(path) AS dst FROM py GROUP BY r HAVING count(*) <= 5)
+SELECT path AS src, dst, round(sqrt(g.n), 6) AS weight FROM py JOIN g USING (r) WHERE path <> dst"""
+ORACLE_SQL["ast_search"] = f"""WITH {FILES}, s AS ({_rows([("py", ("path", "8", "'read' || r || '(path)'")), ("py", ("path", "11", "'self.load(path)'")), ("py", ("path", "12", "'write(path, data)'")), ("py", ("path", "16", "'os.open(path)'")), ("py", ("path", "20", "'print(path, data)'"))], "path line_start matched")})
+SELECT path, CAST(line_start AS INTEGER) AS line_start, CAST(line_start AS INTEGER) AS line_end, matched FROM s"""
+ORACLE_SQL["ast_rewrite"] = f"""WITH {FILES}
+SELECT path, k % 3 = 0 AS changed, false AS error_introduced, md5(CASE WHEN k % 3 <> 0 THEN '' ELSE
+  concat_ws(chr(10), '--- a/' || path, '+++ b/' || path, '@@ -9,7 +9,7 @@', ' ', '     def save(self, path, data):', '         self.load(path)', '-        write(path, data)',
+            '+        store(data, path, retry=True)', ' ', ' ', ' def read' || r || '(path):', '') END) AS diff_md5 FROM f"""
+ORACLE_SQL["yaml_import"] = """
+WITH d AS (SELECT doc_id AS k, source, coalesce(lang, 'any') AS lang, 'rules/' || doc_id || '.yaml' AS path FROM documents),
+r AS (
+  SELECT k, path, 'styleguide/' || lang || '/prose/rule-' || k AS concept_id, 'Words of ' || source AS description, 'prose' AS category, 'warn' AS priority, 'a' || k || chr(10) || 'b' AS pattern, 'x' AS good, 'y' AS bad FROM d WHERE k % 7 <> 0
+  UNION ALL SELECT k, path, 'styleguide/' || lang || '/own/own', NULL, 'own', CASE WHEN k % 2 = 0 THEN 'error' ELSE 'info' END, NULL, 'g' || k, NULL FROM d)
+SELECT path, concept_id, description, category, priority, pattern, good, bad, false AS failed FROM r WHERE k % 10 <> 3
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM d WHERE k % 10 = 3"""

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text, vectors
-from folio.operators import calls, catalog, chunking, context, decision, evaluation, graph, index, retrieval, review, validation
+from folio.operators import calls, catalog, chunking, context, decision, embedding, evaluation, graph, index, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
+from folio.operators.postings import Postings
 from folio.sources import bundle, packages
-from folio.sources.tables import documents, markdown_documents, table
+from folio.sources.tables import code_files, documents, markdown_documents, table, version
+from folio.storage import new_path, saved
 from folio.streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,25 +30,6 @@ RULES = [
     {"rule_seq": 2, "rule_uri": "book://rules/styleguide/en/words/ing", "label": "ing", "priority": "info", "pattern": "ing[,.]"},
     {"rule_seq": 3, "rule_uri": "book://rules/styleguide/en/words/broken", "label": "broken", "priority": "warn", "pattern": "(unclosed"},
 ]
-CODE = [
-    ("pkg/app.py", "import os\n\nLIMIT = 3\n\n\nclass Store:\n    def load(self, path):\n        return read(path)\n\n    def save(self, path, data):\n        self.load(path)\n        write(path, data)\n\n\ndef read(path):\n    return os.open(path)\n\n\ndef write(path, data):\n    print(path, data)\n    if len(data) > LIMIT:\n        read(path)\n"),
-    ("pkg/cli.py", "from pkg.app import Store, write\n\n\ndef main(argv):\n    Store().save(argv[0], argv[1])\n    write(argv[0], argv[1])\n"),
-    ("src/lib.rs", "pub struct Node {\n    x: u32,\n}\n\nimpl Node {\n    pub fn new(x: u32) -> Self {\n        check(x);\n        Node { x }\n    }\n}\n\nfn check(x: u32) {}\n"),
-    ("docs/a.md", "# Top\n\ntext\n\n## Part\n\n```\n# no heading\n```\n\n### Deep\n\n# Next\n"),
-    ("web/x.ts", "export class View {\n}\n\nexport function draw(v: View) {\n  v.paint();\n}\n"),
-]
-RULE_LIST = """
-metadata: {language: python, category: naming, priority: warning}
-rules:
-  - id: snake-case
-    description: Names in snake case
-    pattern: ["[a-z]+[A-Z]", "__[A-Z]"]
-    examples: {good: a_b, bad: aB}
-  - id: no-print
-    category: logging
-    priority: error
-    good: log.info(x)
-"""
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,9 +49,20 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
 
 
+_INDEXES: dict[tuple, Postings] = {}
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> Postings:
+    """The lexical index of `documents`, over texts and concept ids: written by a session's first query, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = Postings.build(documents(spark, sf_dir), new_path(spark, "lexical"), text_cols=("text", "concept_id"))
+    return _INDEXES[key]
+
+
 @query
 def bm25_topk(spark, sf_dir):
-    return _rounded(retrieval.lexical_leg(documents(spark, sf_dir), QUERY, 32))
+    return _rounded(retrieval.lexical_leg(_lexical(spark, sf_dir), QUERY, 32))
 
 
 @query
@@ -78,20 +72,20 @@ def knn_l2_topk(spark, sf_dir):
 
 @query
 def hybrid_rrf(spark, sf_dir):
-    return _rounded(retrieval.search(documents(spark, sf_dir), _units(spark, sf_dir), QUERY, _vector(spark, sf_dir), 8))
+    return _rounded(retrieval.search(_lexical(spark, sf_dir), _units(spark, sf_dir), QUERY, _vector(spark, sf_dir), 8))
 
 
 @query
 def filtered_search(spark, sf_dir):
     wanted = retrieval.Filter(books=["src0", "src1", "src2", "src3"], language="de")
-    docs = documents(spark, sf_dir)
-    wanted.check_books(docs)
-    return _rounded(retrieval.lexical_leg(docs, GERMAN, 10, wanted))
+    index = _lexical(spark, sf_dir)
+    wanted.check_books(index.docs)
+    return _rounded(retrieval.lexical_leg(index, GERMAN, 10, wanted))
 
 
 @query
 def empty_filter_list(spark, sf_dir):
-    return _rounded(retrieval.lexical_leg(documents(spark, sf_dir), QUERY, 10, retrieval.Filter(books=[])))
+    return _rounded(retrieval.lexical_leg(_lexical(spark, sf_dir), QUERY, 10, retrieval.Filter(books=[])))
 
 
 @query
@@ -101,22 +95,22 @@ def tag_overlap_filter(spark, sf_dir):
 
 @query
 def rules_dedup_best_passage(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    hits = retrieval.lexical_leg(docs, QUERY, retrieval.depth(16)).join(docs.select("id", "book"), "id")
+    index_ = _lexical(spark, sf_dir)
+    hits = retrieval.lexical_leg(index_, QUERY, retrieval.depth(16)).join(index_.docs.select("id", "book"), "id")
     return _rounded(retrieval.first_of_each(hits, "book", 8))
 
 
 @query
 def unique_concept_ranks(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    hits = retrieval.lexical_leg(docs, QUERY, 200).join(docs.select("id", F.concat("book", F.lit("/"), "language").alias("uri")), "id")
+    index_ = _lexical(spark, sf_dir)
+    hits = retrieval.lexical_leg(index_, QUERY, 200).join(index_.docs.select("id", F.concat("book", F.lit("/"), "language").alias("uri")), "id")
     return retrieval.first_of_each(hits, "uri", 200).select("uri", (F.col("place") + 1).alias("rank"))
 
 
 def _evaluation(spark, sf_dir):
     docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    expected = docs.select(F.col("id").alias("uri"), F.col("text").alias("body")).join(F.broadcast(items), F.expr("contains(body, text)")).select("query", "uri")
-    ranking = retrieval.lexical_legs(docs, items.select(F.col("query").alias("query_id"), F.col("text").alias("query")), retrieval.depth(max(KS)))
+    expected = evaluation.containing(docs.select(F.col("id").alias("uri"), F.col("text").alias("body")), items)
+    ranking = retrieval.lexical_legs(_lexical(spark, sf_dir), items.select(F.col("query").alias("query_id"), F.col("text").alias("query")), retrieval.depth(max(KS)))
     return expected, ranking.select(F.col("query_id").alias("query"), F.col("id").alias("uri"), "rank")
 
 
@@ -309,7 +303,8 @@ def heading_lines(spark, sf_dir):
 
 @query
 def identifier_extract(spark, sf_dir):
-    return documents(spark, sf_dir).where("language = 'en'").select("id", F.array_join(F.slice(text.identifiers(F.col("text")), 1, 5), ",").alias("first_names"), F.size(text.identifiers(F.col("text"))).cast("long").alias("names"))
+    found = documents(spark, sf_dir).select("id", text.identifiers(F.col("text")).alias("found"))
+    return found.select("id", F.md5(F.encode(F.array_join("found", ","), "UTF-8")).alias("names_md5"), F.size("found").cast("long").alias("names"))
 
 
 @query
@@ -508,9 +503,9 @@ def budget_fit(spark, sf_dir):
 
 @query
 def advisory_rerank(spark, sf_dir):
-    hits = retrieval.first_of_each(retrieval.lexical_leg(documents(spark, sf_dir), QUERY, 20).withColumn("key", F.col("id")), "key", 20).select("id", "place")
+    hits = retrieval.first_of_each(retrieval.lexical_leg(_lexical(spark, sf_dir), QUERY, 20).withColumn("key", F.col("id")), "key", 20).select("id", "place")
     p = hits.where("place % 3 <> 1").select("id", (F.col("id") % 7 / F.lit(7.0)).alias("p"))
-    return decision.reranked(hits, p).withColumn("at", F.monotonically_increasing_id()).select("id", "place", F.col("p"))
+    return decision.reranked(hits, p).select("id", "place", "at", F.round("p", 6).alias("p"))
 
 
 @query
@@ -525,8 +520,8 @@ def event_windows(spark, sf_dir):
 
 @query
 def hashed_text_vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", vectors.hashed_embedding(text.terms(F.col("text")), 32).alias("v"))
-    return rows.select("item_id", F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+    rows = embedding.Hashed(32).embed(table(spark, sf_dir, "benchmark"), "text", "v")
+    return rows.select("item_id", F.posexplode("v").alias("slot", "x")).select("item_id", "slot", F.round("x", 6).alias("x"))
 
 
 @query
@@ -535,49 +530,59 @@ def mean_pooled_labels(spark, sf_dir):
     return e.select("label", F.round(vectors.normalised(F.array(*(F.col(f"c{i}") for i in range(64))))[0], 6).alias("first"))
 
 
-def _code(spark):
-    return spark.createDataFrame(CODE, "path string, content string")
-
-
 @query
 def code_symbols(spark, sf_dir):
-    return symbols.extract_symbols(_code(spark))
+    return symbols.extract_symbols(code_files(spark, sf_dir))
 
 
 @query
 def code_calls(spark, sf_dir):
-    found = symbols.extract_symbols(_code(spark))
-    return calls.resolve(calls.calls_in_symbols(symbols.extract_calls(_code(spark)), found), found)
+    files = code_files(spark, sf_dir)
+    found = saved(symbols.extract_symbols(files), "code-symbols")
+    return calls.resolve(calls.calls_in_symbols(symbols.extract_calls(files), found), found)
 
 
 @query
 def code_outline(spark, sf_dir):
-    return outline.containment(symbols.extract_symbols(_code(spark))).select("path", "name", "kind", "start_row", "parent")
+    found = saved(symbols.extract_symbols(code_files(spark, sf_dir)), "code-symbols")
+    return outline.containment(found).select("path", "name", "kind", "start_row", "parent", "parent_start")
 
 
 @query
 def code_zoom(spark, sf_dir):
-    return outline.zoom(_code(spark), symbols.extract_symbols(_code(spark)), "pkg/app.py", "read")
+    files = code_files(spark, sf_dir)
+    return outline.zoom(files, symbols.extract_symbols(files.where("path = 'src/d3.py'")), "src/d3.py", "read3")
 
 
 @query
 def repo_map_edges(spark, sf_dir):
-    return graph.reference_edges(symbols.extract_definitions(_code(spark)).select("path", "ident"), symbols.extract_references(_code(spark)))
+    files = code_files(spark, sf_dir).where("path LIKE 'src/%'")
+    edges = graph.reference_edges(symbols.extract_definitions(files).select("path", "ident"), symbols.extract_references(files))
+    return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query
 def ast_search(spark, sf_dir):
-    return structure.search_files(_code(spark).where("path LIKE '%.py'"), "$F(path, $$$REST)")
+    return structure.search_files(code_files(spark, sf_dir), "$F(path, $$$REST)")
 
 
 @query
 def ast_rewrite(spark, sf_dir):
-    return structure.rewrite_files(_code(spark).where("path LIKE '%.py'"), "read($X)", "fetch($X, retry=True)")
+    found = structure.rewrite_files(code_files(spark, sf_dir), "write($X, $Y)", "store($Y, $X, retry=True)")
+    return found.select("path", "changed", F.md5(F.encode("diff", "UTF-8")).alias("diff_md5"), "error_introduced")
 
 
 @query
 def yaml_import(spark, sf_dir):
-    return packages.imported_rules(spark, RULE_LIST, {"styleguide/python/naming/old"})
+    k = F.col("id").cast("string")
+    head = F.concat(F.lit("metadata: {language: "), F.coalesce("language", F.lit("~")), F.lit(", category: prose, priority: warning}\nrules:\n"))
+    first = F.concat(F.lit("  - id: rule-"), k, F.lit("\n    description: Words of "), "book", F.lit('\n    pattern: ["a'), k, F.lit('", "b"]\n    examples: {good: x, bad: y}\n'))
+    second = F.concat(F.lit("  - id: own\n    category: own\n    priority: "), F.when(F.col("id") % 2 == 0, "error").otherwise("info"), F.lit("\n    good: g"), k, F.lit("\n"))
+    broken = F.when(F.col("id") % 10 == 3, F.lit("  - description: no id\n")).otherwise("")
+    files = documents(spark, sf_dir).select(F.concat(F.lit("rules/"), k, F.lit(".yaml")).alias("path"), F.concat(head, first, second, broken).alias("content"))
+    there = documents(spark, sf_dir).where("id % 7 = 0").select(F.concat(F.lit("styleguide/"), F.coalesce("language", F.lit("any")), F.lit("/prose/rule-"), "id").alias("concept_id"))
+    found = packages.import_rule_files(files, there)
+    return found.select("path", "concept_id", "description", "category", "priority", "pattern", "good", "bad", F.col("error").isNotNull().alias("failed"))
 
 
 @query

@@ -9,7 +9,9 @@ import os
 import re
 import subprocess
 import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,6 +147,32 @@ def imported_rules(spark: SparkSession, text: str, existing: set[str] = frozense
     return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
 
 
+_RULE = ["concept_id", "rule_id", "description", "language", "category", "priority", "pattern", "good", "bad"]
+
+
+def import_rule_files(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(path, the columns of a rule, error) of YAML rule lists (path, content); a list that can't be read is
+    one row with its error. Rules whose concept_id is in existing (concept_id) are left out."""
+    schema = ", ".join(f"{n} string" for n in ["path", *_RULE, "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = import_rules(content or "")[0]
+                    rows += [(path, *(None if r[n] is None else str(r[n]) for n in _RULE), None) for r in found]
+                except (yaml.YAMLError, ValueError, AttributeError, TypeError) as e:
+                    rows.append((path, *[None] * len(_RULE), f"{type(e).__name__}: {e}"[:200]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(_RULE) + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["path", *_RULE, "error"])
+
+    found = files.select("path", "content").mapInArrow(run, schema)
+    if existing is None:
+        return found
+    return found.join(existing.select("concept_id").distinct(), "concept_id", "left_anti").select("path", *_RULE, "error")
+
+
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of source files of known languages up to a megabyte; in a git work tree those
     that git lists, elsewhere all that aren't hidden."""

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, last change) of a table's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = list(fs.listStatus(where))
+    return sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as concepts: id, book, namespace, concept_id, language, text, tags."""
     d = table(spark, sf_dir, "documents")
@@ -31,3 +39,50 @@ def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / F.lit(2)).cast("int")
     body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.left("text", half), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n"), F.substr("text", half + F.lit(1)))
     return d.select(F.col("doc_id").alias("id"), body.alias("body"))
+
+
+_PYTHON = """import os
+
+LIMIT = {k}
+
+
+class Store{k}:
+    def load(self, path):
+        return read{r}(path)
+
+    def save(self, path, data):
+        self.load(path)
+        write(path, data)
+
+
+def read{r}(path):
+    return os.open(path)
+
+
+def write(path, data):
+    print(path, data)
+"""
+_RUST = """pub struct Node{k} {
+    x: u32,
+}
+
+impl Node{k} {
+    pub fn new(x: u32) -> Self {
+        check{c}(x);
+        Node{k} { x }
+    }
+}
+
+fn check{c}(x: u32) {}
+"""
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a source file for each document, named by its id: Python, Markdown around the
+    document's whole text, or Rust."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    named = lambda template: F.replace(F.replace(F.replace(F.lit(template), F.lit("{k}"), k.cast("string")), F.lit("{r}"), (k % 300).cast("string")), F.lit("{c}"), (k % 9).cast("string"))
+    prose = F.concat(F.lit("# Top "), k.cast("string"), F.lit("\n\n> "), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n> "), F.lit("\n\n## Part\n\nend"))
+    path = F.when(k % 3 == 0, F.concat(F.lit("src/d"), k.cast("string"), F.lit(".py"))).when(k % 3 == 1, F.concat(F.lit("docs/d"), k.cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("src/d"), k.cast("string"), F.lit(".rs")))
+    return d.select(path.alias("path"), F.when(k % 3 == 0, named(_PYTHON)).when(k % 3 == 1, prose).otherwise(named(_RUST)).alias("content"))
