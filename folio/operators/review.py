@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text
+from folio.storage import saved
 
+#: Rules that are asked at once.
+BLOCK_RULES = 5_000
 RUNS_PER_RULE_AND_FILE = 10
 FINDINGS = 200
 QUOTED = 200
@@ -77,8 +81,15 @@ def pattern_priority(word: Column) -> Column:
 def matches(added: DataFrame, rules: DataFrame) -> DataFrame:
     """Added lines that a rule's pattern finds. rules: rule_seq, rule_uri, label, priority, pattern.
 
-    Every rule is tried on every line, in a broadcast nested loop: rules are a checked few."""
-    return added.join(F.broadcast(rules), F.expr("text rlike pattern"))
+    Every rule is a question to every line. They are asked in blocks of at most BLOCK_RULES, which are
+    broadcast."""
+    n = rules.count()
+    if n <= BLOCK_RULES:
+        return added.join(F.broadcast(rules), F.expr("text rlike pattern"))
+    block = F.pmod(F.xxhash64("rule_seq", "rule_uri"), F.lit(-(-n // BLOCK_RULES) * 2))
+    numbered = saved(rules.withColumn("_block", block), "review-rules")
+    parts = [added.join(F.broadcast(numbered.where(F.col("_block") == r["_block"]).drop("_block")), F.expr("text rlike pattern")) for r in numbered.select("_block").distinct().collect()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def runs(matched: DataFrame) -> DataFrame:

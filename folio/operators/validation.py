@@ -46,14 +46,22 @@ def manifest_contracts() -> list[tuple[str, str, Column, Column, str]]:
     ]
 
 
-def path_contracts(manifest: str) -> list[tuple[str, str, Column, Column, str]]:
-    """For rows of concept_id (the path), is_folder."""
+def with_entries(paths: DataFrame) -> DataFrame:
+    """Adds has_entry to rows of paths: whether a folder of skill/ holds a file of its own name."""
+    shape = "^skill/([^/]+)/\\1\\.md$"
+    held = paths.where(F.col("concept_id").rlike(shape)).select(F.concat(F.lit("skill/"), F.regexp_extract("concept_id", shape, 1)).alias("concept_id"), F.lit(True).alias("has_entry")).distinct()
+    return paths.join(held, "concept_id", "left").withColumn("has_entry", F.coalesce("has_entry", F.lit(False)))
+
+
+def path_contracts(manifest: str, entries: bool = False) -> list[tuple[str, str, Column, Column, str]]:
+    """For rows of concept_id (the path), is_folder; with entries also has_entry (SKL-2)."""
     path, last = F.col("concept_id"), F.element_at(F.split("concept_id", "/"), -1)
     return [
         ("STR-3", "error", path.contains("/"), last == manifest, "a manifest lies below the root"),
         ("STR-7", "error", ~path.contains("/"), last.isin("document", "skill", "memory", "styleguide") & ~F.col("is_folder"), "a namespace is a file"),
         ("STR-11", "error", F.col("is_folder"), last.isin("index.md", "log.md"), "a folder has the name of a listing"),
         ("SKL-1", "warning", path.startswith("skill/") & ~F.col("is_folder") & ~path.rlike("^skill/[^/]+/"), ~last.endswith(".md"), "a stray file in skill"),
+        ("SKL-2", "error", path.rlike("^skill/[^/]+$") & F.col("is_folder"), ~F.col("has_entry") if entries else F.lit(False), "a skill's folder has no entry of its name"),
         ("SKL-6", "info", path.rlike("^skill/[^/]+/") & ~F.col("is_folder"), ~path.rlike("^skill/([^/]+)/\\1\\.md$") & ~path.rlike("^skill/[^/]+/references/"), "materials belong in references"),
     ]
 

@@ -155,31 +155,97 @@ def walk(root: str) -> tuple[list[str], list[str]]:
     return sorted(out), sorted(bad)
 
 
-def write_concept(root: str, concept: str, frontmatter: dict, body: str, overwrite: bool = True) -> str:
-    """Write one concept of a local book, complete or not at all."""
+class ContractViolation(ValueError):
+    """What is to be written breaks a requirement, whose id comes first."""
+
+
+def contract_faults(concept: str, frontmatter: dict, body: str) -> list[str]:
+    """Requirements that a concept of a namespace breaks; the same ids as in the validation of books."""
+    parts, said = concept.split("/"), lambda k: str(frontmatter.get(k) or "").strip()
+    entry = parts[0] == "skill" and (len(parts) == 2 or (len(parts) == 3 and parts[1] == parts[2]))
+    listing = parts[0] == "styleguide" and parts[-1] in ("index", "log")
+    out = [("DOC-1", parts[0] == "document" and not said("type")), ("MEM-1", parts[0] == "memory" and not said("type"))]
+    if parts[0] == "styleguide" and not listing:
+        out += [("STG-1", not said("type")), ("STG-2", bool(said("type")) and said("type") != "Rule"), ("STG-3", not said("description"))]
+    if entry:
+        out += [("SKL-3", said("type") != "Skill"), ("SKL-4", not said("description")), ("SKL-5", not body.strip())]
+    return [name for name, broken in out if broken]
+
+
+def _place(root: str, concept: str) -> str:
     parts = concept.split("/")
     if any(p in ("", ".", "..", RESERVED_FOLDER) for p in parts) or "\\" in concept or ":" in concept:
         raise ValueError(f"not a concept id: {concept}")
-    path = os.path.join(root, *parts) + ".md"
+    return os.path.join(root, *parts) + ".md"
+
+
+class ReadTracker:
+    """Writes go only to files as they were last read: a file that was never read, or has changed since, is refused."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    @staticmethod
+    def _changed(path: str) -> int | None:
+        try:
+            return os.stat(path).st_mtime_ns
+        except OSError:
+            return None
+
+    def record(self, path: str) -> None:
+        path = os.path.realpath(path)
+        if (at := self._changed(path)) is not None:
+            self.seen[path] = at
+
+    def check(self, path: str) -> None:
+        path = os.path.realpath(path)
+        now = self._changed(path)
+        if now is None:  # nothing to overwrite
+            self.seen.pop(path, None)
+        elif path not in self.seen:
+            raise StaleRead(f"{path} was never read: read it first")
+        elif self.seen[path] != now:
+            raise StaleRead(f"{path} has changed since it was read: read it again")
+
+
+class StaleRead(ValueError):
+    pass
+
+
+def write_concept(root: str, concept: str, frontmatter: dict, body: str, overwrite: bool = True, tracker: ReadTracker | None = None) -> str:
+    """Write one concept of a local book, complete or not at all, if it keeps its namespace's contract.
+
+    With a tracker an existing file is overwritten only as it was last read."""
+    path = _place(root, concept)
     if not overwrite and os.path.exists(path):
         raise FileExistsError(concept)
-    if parts[0] == "memory":
-        frontmatter = {"type": "Memory", **frontmatter}
-    if not str(frontmatter.get("type", "")).strip():
+    if tracker is not None:
+        tracker.check(path)
+    if concept.split("/")[0] == "memory" and not str(frontmatter.get("type") or "").strip():
+        frontmatter = {**frontmatter, "type": "Memory"}
+    if broken := contract_faults(concept, frontmatter, body):
+        raise ContractViolation(f"{', '.join(broken)}: {concept}")
+    if not str(frontmatter.get("type") or "").strip():
         raise ValueError("a concept needs a type")
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(f"{path}.new", "w", encoding="utf-8", newline="") as f:
         f.write(join_frontmatter(frontmatter, body))
     os.replace(f"{path}.new", path)
+    if tracker is not None:
+        tracker.record(path)
     return path
 
 
 def delete_concept(root: str, concept: str) -> None:
-    """Delete a concept, and folders that are empty then, up to its namespace."""
-    path = os.path.join(root, *concept.split("/")) + ".md"
+    """Delete a concept, and folders that are empty then, up to its namespace.
+
+    The entry of a skill in folder form isn't deleted alone: the folder goes, or nothing."""
+    path, parts = _place(root, concept), concept.split("/")
+    if parts[0] == "skill" and len(parts) == 3 and parts[1] == parts[2]:
+        raise ContractViolation(f"SKL-2: without {concept} its folder is no skill; remove the folder")
     os.remove(path)
-    folder = os.path.dirname(path)
-    while os.path.relpath(folder, root) != "." and not os.listdir(folder):
+    folder, top = os.path.dirname(path), os.path.join(root, parts[0])
+    while folder not in (root, top) and not os.listdir(folder):
         os.rmdir(folder)
         folder = os.path.dirname(folder)
 

@@ -81,3 +81,22 @@ def remove(target: str) -> bool:
 
 def modified(target: str) -> datetime:
     return datetime.fromtimestamp(os.stat(target).st_mtime)
+
+
+#: Entries of a status that are listed.
+STATUS_ENTRIES = 50
+
+
+def status(path: str) -> dict:
+    """{"state": "clean", "changed" or "no repository", "entries", "more"} of a file or folder's working tree."""
+    folder = os.path.dirname(os.path.abspath(path)) if os.path.isfile(path) else path
+    try:
+        root = _git("rev-parse", "--show-toplevel", cwd=folder)
+    except (GitFailed, FileNotFoundError, NotADirectoryError):
+        return {"state": "no repository", "entries": [], "more": 0}
+    inside = os.path.relpath(os.path.realpath(path), os.path.realpath(root))
+    done = subprocess.run(["git", "status", "--porcelain=v1", *([] if inside == "." else ["--", inside])], cwd=root, capture_output=True, text=True)
+    if done.returncode:
+        raise GitFailed(done.stderr.strip() or "git status failed")
+    lines = done.stdout.splitlines()
+    return {"state": "changed" if lines else "clean", "entries": lines[:STATUS_ENTRIES], "more": max(0, len(lines) - STATUS_ENTRIES)}
