@@ -49,9 +49,14 @@ def valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, number) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def kind_of(vectors: DataFrame, vector_col: str) -> str:
+    """array<float> for vectors of floats; array<double> for all others, so that no digit is lost."""
+    return "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+
+
 def points(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
     """(rep, ids, vec): each distinct vector with its `keep` smallest ids, rep the first of them."""
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & valid(F.col("vec")))
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind_of(vectors, vector_col)).alias("vec")).where(F.col("id").isNotNull() & valid(F.col("vec")))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     first = lambda df, *by: df.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("at") <= keep)
     salted = first(salted.distinct(), "vec", "salt")
@@ -138,17 +143,22 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
+#: Cosines by a matrix product of unit vectors are this near to those computed one by one.
+ROUNDING = 1e-9
+#: Pairs whose cosines are computed one by one at a time.
+PAIRS = 1 << 16
+
+
 def best(queries: np.ndarray, rows: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's index, row's index, cosine) of the k best rows of each query; ties to the smaller rep.
 
-    A matrix product finds them with some to spare; their cosines are computed again one by one, so
-    that a pair's value doesn't depend on its block."""
+    A matrix product finds all that may be among them: those not below the k-th by more than its rounding,
+    however many tie. Their cosines are computed again one by one, so that a pair's value doesn't depend
+    on its block."""
     near = unit(queries) @ unit(rows).T
-    spare = min(len(rows), k + 8)
-    some = np.argpartition(-near, spare - 1, axis=1)[:, :spare] if spare < len(rows) else np.tile(np.arange(len(rows)), (len(queries), 1))
-    q = np.repeat(np.arange(len(queries)), some.shape[1])
-    r = some.ravel()
-    scores = exact_cosines(queries[q], rows[r])
+    least = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k] if k < len(rows) else np.full(len(queries), -2.0)
+    q, r = np.nonzero(near >= least[:, None] - ROUNDING)
+    scores = np.concatenate([exact_cosines(queries[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]) if len(q) else np.empty(0)
     order = np.lexsort((reps[r], -scores, q))
     q, r, scores = q[order], r[order], scores[order]
     starts = np.searchsorted(q, np.arange(len(queries)))
@@ -159,11 +169,11 @@ def best(queries: np.ndarray, rows: np.ndarray, reps: np.ndarray, k: int) -> tup
 class Index:
     """All points by leaf, the tree, and the calibrated number of visits."""
 
-    def __init__(self, table: DataFrame, path: str, tree: Tree, width: int, visits: int):
-        self.table, self.path, self.tree, self.width, self.visits = table, path, tree, width, visits
+    def __init__(self, table: DataFrame, path: str, tree: Tree, width: int, visits: int, kind: str):
+        self.table, self.path, self.tree, self.width, self.visits, self.kind = table, path, tree, width, visits, kind
 
 
-def _leaf_order(queries: DataFrame, tree: Tree, width: int, visits: int) -> DataFrame:
+def _leaf_order(queries: DataFrame, tree: Tree, width: int, visits: int, kind: str) -> DataFrame:
     """(qrep, qvec, leaf, visit) of each query's first leaves."""
     shared = queries.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 
@@ -178,7 +188,7 @@ def _leaf_order(queries: DataFrame, tree: Tree, width: int, visits: int) -> Data
                 i, leaf, n = (np.array(x, np.int32) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int32),) * 3
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(leaf), pa.array(n)], ["qrep", "qvec", "leaf", "visit"])
 
-    return queries.select("qrep", "qvec").mapInArrow(run, "qrep long, qvec array<float>, leaf int, visit int")
+    return queries.select("qrep", "qvec").mapInArrow(run, f"qrep long, qvec {kind}, leaf int, visit int")
 
 
 def _visits(table: DataFrame, tree: Tree, width: int, k: int, n_queries: int, recall: float) -> int:
@@ -210,8 +220,10 @@ def _visits(table: DataFrame, tree: Tree, width: int, k: int, n_queries: int, re
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample_rows: int = SAMPLE_ROWS, branching: int = BRANCHING, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, calibration_queries: int = CALIBRATION_QUERIES) -> Index:
-    """An index of all valid vectors for searches of up to k neighbours."""
-    spark = vectors.sparkSession
+    """An index of all valid vectors for searches of up to k neighbours.
+
+    Queries are read in the index's type (floats or doubles)."""
+    spark, kind = vectors.sparkSession, kind_of(vectors, vector_col)
     every, every_at = save(points(vectors, id_col, vector_col, k + 1), "ann-points")
     widths = every.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     width, n = (widths.width, widths["count"]) if widths else (1, 0)
@@ -228,10 +240,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             leaf = shared.value.assign(unit(matrix(batch.column(2), width)) if batch.num_rows else np.empty((0, width)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["rep", "ids", "vec", "leaf"])
 
-    table, path = save(own.mapInArrow(run, "rep long, ids array<long>, vec array<float>, leaf int"), "ann-index")
+    table, path = save(own.mapInArrow(run, f"rep long, ids array<long>, vec {kind}, leaf int"), "ann-index")
     visits = _visits(table, tree, width, k, calibration_queries, recall)
     discard(spark, every_at)
-    return Index(table, path, tree, width, visits)
+    return Index(table, path, tree, width, visits, kind)
 
 
 def _order(*by: str) -> Window:
@@ -267,10 +279,10 @@ def _met(index: Index, visits: DataFrame, k: int, block_rows: int) -> DataFrame:
 def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, without the query's own id."""
     width = index.width
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("qvec"))
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast(index.kind).alias("qvec"))
     asked = asked.where(F.col("query_id").isNotNull() & valid(F.col("qvec")) & (F.size("qvec") == width))
     one = saved(asked.groupBy("qvec").agg(F.min("query_id").alias("qrep")), "ann-queries")
-    visits = saved(_leaf_order(one, index.tree, width, index.visits), "ann-visits")
+    visits = saved(_leaf_order(one, index.tree, width, index.visits, index.kind), "ann-visits")
 
     first = _nearest(_met(index, visits.where(F.col("visit") < FIRST_VISITS).withColumn("floor", F.lit(-2.0)), k, block_rows), k)
     first = saved(first, "ann-first")

@@ -75,3 +75,29 @@ def test_best_bin_first_visits_every_leaf_once():
     # another branch may come first where its centre is nearer than all below the nearest branch
     places = [list(tree.leaves(r)).index(leaf) for r, leaf in zip(rows, tree.assign(rows), strict=True)]
     assert np.mean(np.array(places) == 0) > 0.9 and max(places) < 10
+
+
+def test_many_ties_of_different_vectors(spark):
+    """Thirty vectors of one direction, at powers of two: all cosines tie, so the smallest ids win."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(100, 400)]
+    rows += [(3 * n, [float(2**n) * x for x in (1.0, 2.0, 3.0, 4.0, 0.5, 0.25)]) for n in range(30)]
+    got = search(spark, rows, recall=1.0, calibration_queries=1000)
+    assert [i for q, _, i, _ in got if q == 0] == [3, 6, 9, 12, 15]
+    assert [i for q, _, i, _ in got if q == 9] == [0, 3, 6, 12, 15]
+
+
+def test_ties_beyond_any_block(spark):
+    queries, rows = np.array([[1.0, 1.0]]), np.array([[2.0**-n, 2.0**-n] for n in range(200)])
+    reps = np.random.default_rng(0).permutation(200)
+    _, r, scores = vector_tree.best(queries, rows, reps, 7)
+    assert sorted(reps[r]) == list(range(7)) and len(set(scores)) == 1
+    assert len(vector_tree.best(queries, rows[:3], reps[:3], 7)[0]) == 3
+
+
+def test_doubles_keep_their_digits(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-9]), (3, [1.0, 0.5]), (4, [0.3, 0.7]), (5, [1.0, 0.25])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_tree.search(vector_tree.build(table, k=2), table, k=2).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in got}[4, 1] == 3
+    assert all(abs(r.score - next(s for q, _, i, s in brute(rows, [r.query_id], 4) if i == r.vec_id)) < 1e-15 for r in got)
