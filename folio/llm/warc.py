@@ -18,7 +18,9 @@ id: those with the payload of the keeper's row are all responses if they have th
 null id never is the keeper while the group has another, and its record refers to the keeper; a
 group of null ids only consists of responses. A null url is left out of the record, line ends in a
 url become spaces. Records with missing segments, a wrong total or broken framing are returned with
-complete = false and no payload. Only the named columns are read, so others can't clash.
+complete = false and no payload, and so are damaged ones (a broken or cut-off gzip member, bad headers,
+a wrong length), with those headers that can be read; reading goes on with the next record. Only the
+named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -124,37 +126,90 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     discard(pages.sparkSession, groups_at)
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """Contents of gzip members one after another, without copying the rest each time."""
+def _salvaged(unpacker, step: bytes) -> bytes:
+    """What a decompressor gives of a step that breaks it, byte by byte up to the damage."""
+    out = []
+    try:
+        for i in range(len(step)):
+            out.append(unpacker.decompress(step[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def members(data: bytes, lenient: bool = False) -> Iterator[bytes]:
+    """Contents of gzip members one after another, without copying the rest each time.
+
+    lenient: of a broken member what can be unpacked, though it be nothing, and on with the next one that
+    opens behind its start."""
     view, at, size = memoryview(data), 0, len(data)
     while at < size:
-        unpacker, parts, start = zlib.decompressobj(31), [], at
-        while not unpacker.eof:
+        unpacker, parts, start, fault = zlib.decompressobj(31), [], at, None
+        while not unpacker.eof and fault is None:
             if start >= size:
-                raise ValueError("a gzip member is cut off")
-            step = view[start : start + 65536]
-            parts.append(unpacker.decompress(step))
+                fault = "a gzip member is cut off"
+                break
+            step, before = view[start : start + 65536], unpacker.copy() if lenient else None
+            try:
+                parts.append(unpacker.decompress(step))
+            except zlib.error as e:
+                fault = f"a gzip member is broken: {e}"
+                if before is not None:
+                    parts.append(_salvaged(before, bytes(step)))
             start += len(step)
-        at = start - len(unpacker.unused_data)
-        if whole := b"".join(parts):
+        if fault and not lenient:
+            raise ValueError(fault)
+        behind = data.find(b"\x1f\x8b\x08", at + 1) if fault else start - len(unpacker.unused_data)
+        at = size if behind < 0 else behind
+        if (whole := b"".join(parts)) or fault:
             yield whole
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive file; header names in lower case."""
-    for piece in members(data) if data[:2] == b"\x1f\x8b" else [data]:
+def _record_at(piece: bytes, at: int) -> tuple[dict[str, str], int, int]:
+    """(headers, start and end of the block); headers in lower case."""
+    end = piece.find(b"\r\n\r\n", at)
+    head = piece[at:end].decode("utf-8", "replace").split("\r\n")
+    if end < 0 or not head[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}: {piece[at : at + 40]!r}")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
+    size = fields.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise _Damaged(f"the record at {at} has no length", fields)
+    start, stop = end + 4, end + 4 + int(size)
+    if piece[stop : stop + 4] != b"\r\n\r\n":
+        raise _Damaged(f"the record at {at} isn't {size} bytes long", fields)
+    return fields, start, stop
+
+
+class _Damaged(ValueError):
+    """A record whose headers can be read."""
+
+    def __init__(self, message: str, fields: dict[str, str]):
+        super().__init__(message)
+        self.fields = fields
+
+
+def parse(data: bytes, lenient: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of each record of an archive file; header names in lower case.
+
+    lenient: a damaged record has a null block, and those headers that can be read; reading goes on behind
+    the next blank line that a record follows."""
+    for piece in members(data, lenient) if data[:2] == b"\x1f\x8b" else [data]:
         at = 0
+        if not piece and lenient:
+            yield {}, None
         while at < len(piece):
-            end = piece.find(b"\r\n\r\n", at)
-            head = piece[at:end].decode("utf-8", "replace").split("\r\n")
-            if end < 0 or not head[0].startswith("WARC/"):
-                raise ValueError(f"no WARC record at {at}: {piece[at : at + 40]!r}")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
-            start, size = end + 4, int(fields["content-length"])
-            if piece[start + size : start + size + 4] != b"\r\n\r\n":
-                raise ValueError(f"the record at {at} isn't {size} bytes long")
-            yield fields, piece[start : start + size]
-            at = start + size + 4
+            try:
+                fields, start, stop = _record_at(piece, at)
+            except ValueError as fault:
+                if not lenient:
+                    raise
+                yield getattr(fault, "fields", {}), None
+                behind = piece.find(b"\r\n\r\nWARC/", at)
+                at = len(piece) if behind < 0 else behind + 4
+                continue
+            yield fields, piece[start:stop]
+            at = stop + 4
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -164,17 +219,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = ("warc-record-id", "warc-type", "warc-target-uri", "warc-refers-to", "warc-payload-digest", "warc-segment-number", "warc-segment-origin-id", "warc-segment-total-length")
         kinds = [pa.string()] * 5 + [pa.int32(), pa.string(), pa.int64()]
         columns = [x.split()[0] for x in RECORD.split(", ")]
-        number = lambda x: None if x is None else int(x)
+        number = lambda x, digits: int(x) if x is not None and x.isascii() and x.isdigit() and len(x) <= digits else None
 
         def made(rows: list) -> pa.RecordBatch:
             cols = [[r[0].get(n) for r in rows] for n in names]
-            cols[5], cols[7] = [number(x) for x in cols[5]], [number(x) for x in cols[7]]
+            cols[5], cols[7] = [number(x, 9) for x in cols[5]], [number(x, 18) for x in cols[7]]
             return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([r[1] for r in rows], pa.binary())], columns)
 
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for r in parse(content.as_py()):
+                for r in parse(content.as_py(), lenient=True):
                     rows.append(r)
                     if len(rows) == 500:
                         yield made(rows)
@@ -189,7 +244,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Whole records: record_id, warc_type, target_uri, refers_to, payload_digest, block, complete."""
     kept = ["record_id", "warc_type", "target_uri", "refers_to", "payload_digest"]
     segment = F.col("segment_number").isNotNull()
-    alone = records.where(~segment).select(*kept, "block", F.lit(True).alias("complete"))
+    alone = records.where(~segment).select(*kept, "block", F.col("block").isNotNull().alias("complete"))
     part = F.struct("segment_number", "total_length", F.col("block").cast("string").alias("bytes"), *kept)
     grouped = records.where(segment).groupBy(F.coalesce("origin_id", "record_id").alias("origin")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     first, last = F.col("parts")[0], F.element_at("parts", -1)

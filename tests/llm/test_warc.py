@@ -103,3 +103,25 @@ def test_framing():
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.members(warc.member(b"abc")[:-3]))
+
+
+def test_damaged_members_and_records_are_incomplete(spark, tmp_path):
+    """One file of gzip members and one of plain records, each with damage between sound records."""
+    one = lambda name, text: next(warc.records_of(name, "http://a/", text.encode(), None, 10**6))
+    sound = [one(str(i), f"text {i} " * 50) for i in range(4)]
+    flipped = bytearray(warc.member(sound[1]))
+    flipped[40:60] = bytes(20)
+    cut = warc.member(sound[2])[:-30]
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(warc.member(sound[0]) + bytes(flipped) + cut + warc.member(sound[3]))
+    short = sound[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    bare = sound[2].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    (folder / "b.warc").write_bytes(one("10", "first") + short + bare + b"rubbish\r\n\r\n" + one("13", "last"))
+    rows = warc.read_archive(spark, str(folder)).collect()
+    whole = {r.id: bytes(r.payload).decode() for r in rows if r.complete}
+    assert whole == {0: "text 0 " * 50, 3: "text 3 " * 50, 10: "first", 13: "last"}
+    broken = [r for r in rows if not r.complete]
+    assert len(broken) >= 4 and all(r.payload is None for r in broken)
+    assert {1, 2} <= {r.id for r in broken}  # where headers can be read
+    assert warc.with_digests(warc.read_archive(spark, str(folder))).where("complete").count() == 4
