@@ -1,10 +1,11 @@
 """URL filtering by association rules, in DataFrame operations only.
 
 Spark's FP-growth mines sets of URL tokens that go with a bad label. Rules "tokens => bad" are pruned
-by support and confidence, and by the rules they contain: a rule is redundant when some of its tokens
-make a rule of no less confidence. The rest match through an inverted index: each rule stands at its
-rarest token, a URL's tokens look up the index, and a found rule fits if the URL has all its tokens.
-URLs are matched once each, however many rows share them.
+by support (a share of the labelled rows, and a number of them at least) and confidence, and by the
+rules they contain: a rule is redundant when some of its tokens make a rule of no less confidence. The
+rest match through an inverted index: each rule stands at its rarest token, a URL's tokens look up the
+index, and a found rule fits if the URL has all its tokens. Redundant rules are found through the same
+index. URLs are matched once each, however many rows share them.
 
 Given host and path rules come first: a rule fits its host and all subdomains if the path starts
 with the rule's path, and the longest wins (host and path together; then the longer host).
@@ -24,8 +25,11 @@ from folio.llm.exact_dedup import normalised
 from folio.storage import discard, save, saved
 
 MIN_SUPPORT = 0.002
+#: Bad labelled rows that a rule needs at least, however few rows are labelled.
+MIN_ROWS = 5
 MIN_CONFIDENCE = 0.5
-BAD = "label=bad"
+#: The class item: tokens start with their kind, so none equals it.
+BAD = "=bad"
 #: Rules up to which the index is broadcast; beyond it it is joined by shuffle.
 BROADCAST_RULES = 20_000
 
@@ -73,23 +77,27 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("scheme", F.array(scheme)), named("host", F.array(h)), named("label", F.split(h, r"\.")), named("segment", segments), named("key", keys), mark))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """Rules (tokens, anchor, support, confidence) from all labelled rows; anchor: the rule's rarest token."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     label = F.when(F.col(bad_col), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    baskets = labelled.where(F.col(bad_col).isNotNull()).select(F.concat(tokens(F.col(url_col)), label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules, rules_at = save(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    subset = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("as_sure"), F.explode("tokens").alias("token"))
-    larger = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    redundant = larger.join(subset, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens").distinct()
+    known = labelled.where(F.col(bad_col).isNotNull())
+    n = known.count()
+    support = max(min_support, min(1.0, (min_rows - 0.5) / max(n, 1)))  # the half: FP-growth rounds up
+    baskets = known.select(F.concat(tokens(F.col(url_col)), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    rules, rules_at = save(model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("support") * n > min_rows - 0.5)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    kept = rules.join(redundant, "tokens", "left_anti")
-    anchors = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    out = saved(kept.join(anchors, "tokens").select("tokens", "anchor", "support", "confidence"), "url-index")
-    discard(spark, rules_at)
+    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    indexed, indexed_at = save(rules.join(anchors, "tokens"), "url-anchors")
+    fewer = indexed.select(F.col("anchor").alias("token"), F.col("tokens").alias("fewer"), F.col("confidence").alias("as_sure"))
+    fewer = F.broadcast(fewer) if fewer.count() <= broadcast_rules else fewer
+    larger = indexed.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    redundant = larger.join(fewer, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens").distinct()
+    out = saved(indexed.join(redundant, "tokens", "left_anti").select("tokens", "anchor", "support", "confidence"), "url-index")
+    discard(spark, rules_at, indexed_at)
     return out
 
 

@@ -1,8 +1,10 @@
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from folio.llm import url_rules
+from folio.llm.queries import op7_url_rules
 
 URLS = [
     (1, "https://WWW.Example.com/en/x?utm_source=1#top"),
@@ -59,12 +61,14 @@ def test_parts_and_given_rules(spark):
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == sorted(want, key=str)
 
 
-def brute_rules(baskets, min_support, min_confidence):
+def brute_rules(baskets, min_support, min_confidence, min_rows=1):
     out, n = {}, len(baskets)
-    universe = {frozenset(c) for b, _ in baskets for k in range(1, len(b) + 1) for c in combinations(sorted(b), k)}
+    least = max(min_support * n, min_rows)
+    alone = Counter(t for b, bad in baskets if bad for t in b)
+    universe = {frozenset(c) for b, bad in baskets if bad for k in range(1, len(b) + 1) for c in combinations(sorted(t for t in b if alone[t] >= least), k)}
     for items in universe:
         having = [bad for b, bad in baskets if items <= b]
-        if sum(having) >= min_support * n and sum(having) / len(having) >= min_confidence:
+        if sum(having) >= least and sum(having) / len(having) >= min_confidence:
             out[items] = sum(having) / len(having)
     return {i for i in out if not any(j < i and out[j] >= out[i] for j in out)}
 
@@ -91,3 +95,43 @@ def test_nothing_labelled_and_empty(spark):
     assert url_rules.mine(none).count() == 0
     assert url_rules.mine(none.withColumn("bad", F.lit(False))).count() == 0
     assert url_rules.judge(frame(spark, []), empty_rules(spark)).count() == 0
+
+
+def test_hosts_named_like_the_class_item(spark):
+    rows = [(i, f"http://bad.com/{'x' if i % 2 else 'y'}/{i}", i % 2 == 1) for i in range(40)] + [(100 + i, f"http://{h}/", False) for i, h in enumerate(["label=bad", "=bad", "bad"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    assert {tuple(r.tokens) for r in url_rules.mine(pages, min_support=0.1, min_confidence=0.9).collect()} == {("segment=x",)}
+    one = spark.createDataFrame([(1, "http://bad.com/x", True)], "page_id long, url string, bad boolean")
+    assert url_rules.mine(one).count() == 0
+    assert url_rules.mine(one, min_rows=1).count() > 0
+    unlabelled = spark.createDataFrame([(i, "http://bad.com/x", False) for i in range(9)], "page_id long, url string, bad boolean")
+    assert url_rules.mine(unlabelled).count() == 0
+
+
+def python_tokens(url):
+    """Tokens in plain Python."""
+    host, path = python_parts(url)
+    if url is None:
+        return frozenset()
+    scheme = url.split("://", 1)[0].lower() if "://" in url else ""
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    out = {f"scheme={scheme}"} if scheme else set()
+    out |= {f"host={host}"} if host else set()
+    out |= {f"label={x}" for x in host.split(".") if x}
+    out |= {f"segment={x}" for x in path.split("/") if any("a" <= c.lower() <= "z" and c.isascii() for c in x)}
+    out |= {f"key={k}" for x in query.split("&") if (k := x.split("=")[0])}
+    return frozenset(out | ({"fragment"} if "#" in url else set()))
+
+
+def test_registered_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    labels = [(r.doc_id, r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    rules = brute_rules([(python_tokens(pages[i]), bad) for i, bad in labels if i in pages], url_rules.MIN_SUPPORT, url_rules.MIN_CONFIDENCE, url_rules.MIN_ROWS)
+    want = {}
+    for i, url in pages.items():
+        host, path = python_parts(url)
+        rule, verdict = python_rule(host, path)
+        have = python_tokens(url)
+        want[i] = (host, path, rule, verdict or ("block" if any(r <= have for r in rules) else "allow"))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op7_url_rules(spark, sf).collect()} == want
