@@ -29,8 +29,8 @@ from folio.storage import saved
 DIGITS = 13
 #: Largest rate whose zero-term exp(-rate) is far from underflow; larger rates are refused.
 MAX_RATE = 600.0
-#: Sources up to which the rates are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Numbers in all sources' cumulative distributions (8 bytes each) up to which these are broadcast; beyond it they are joined by shuffle.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -79,7 +79,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     """The columns of docs, with n_copies, copy_no (from 1) and mix_key, in the order of mix_key."""
     rates = repetition_rates(docs, source_col, weights, temperature, total)
     rates = rates.select(F.col("source").alias("_source"), F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a repetition rate is over {MAX_RATE}"))).otherwise(cumulative(F.col("rate"))).alias("_cdf"))
-    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
+    rates = saved(rates, "mix-distributions")
+    rates = F.broadcast(rates) if (rates.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS else rates
     u = uniform(F.col(id_col), seed)
     named = docs.drop("copy_no", "n_copies", "mix_key")
     counted = named.join(rates, named[source_col].eqNullSafe(rates["_source"])).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= u)))
