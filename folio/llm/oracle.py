@@ -53,3 +53,51 @@ SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_re
        coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op7_url_rules"] = f"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+t AS (SELECT *, CASE WHEN url IS NULL THEN [] ELSE list_distinct(list_concat(list_concat(list_concat(
+        CASE WHEN instr(url, '://') > 1 THEN ['scheme=' || lower(split_part(url, '://', 1))] ELSE [] END,
+        CASE WHEN host <> '' THEN ['host=' || host] ELSE [] END),
+        list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'label=' || x),
+                    list_transform(list_filter(string_split(path, '/'), lambda x: regexp_matches(x, '[A-Za-z]')), lambda x: 'segment=' || x))),
+        list_concat(list_transform(list_filter(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'key=' || x),
+                    CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END))) END AS toks FROM p),
+known AS (SELECT toks, quality = 0 OR toxic = 1 AS bad FROM t JOIN labels ON doc_id = page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
+least AS (SELECT greatest(ceil(0.002 * count(*)), 5) AS c FROM known),
+often AS (SELECT tok FROM (SELECT unnest(toks) AS tok FROM known WHERE bad) GROUP BY tok HAVING count(*) >= (SELECT c FROM least)),
+alone AS (SELECT coalesce(list(tok), []) AS held FROM often),
+cut AS (SELECT list_sort(list_filter(toks, lambda x: list_contains(held, x))) AS ts FROM known, alone WHERE bad),
+sets AS (SELECT list_filter(ts, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT ts, unnest(generate_series(1, (1 << len(ts)) - 1)) AS m FROM cut WHERE len(ts) > 0)),
+frequent AS (SELECT s, count(*) AS n FROM sets GROUP BY s HAVING count(*) >= (SELECT c FROM least)),
+rules AS (SELECT s FROM frequent JOIN known ON list_has_all(toks, s) GROUP BY s, n HAVING n >= 0.5 * count(*)),
+blocked AS (SELECT DISTINCT page_id FROM t JOIN rules ON list_has_all(toks, s)),
+fits AS (SELECT t.*, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM t)
+SELECT f.page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN b.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM fits f LEFT JOIN blocked b ON b.page_id = f.page_id
+"""
+
+ORACLE_SQL["op10_cross_entropy"] = f"""
+WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+d AS (SELECT row_number() OVER () AS r, d.doc_id, g.doc_id IS NOT NULL AS target, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS ws
+      FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id),
+k AS (SELECT r, target, unnest(ws) AS w, unnest(list_concat([''], ws[1:len(ws) - 1])) AS h FROM d WHERE len(ws) > 0),
+one AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY w),
+ctx AS (SELECT h, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY h),
+two AS (SELECT h, w, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY h, w),
+n AS (SELECT sum(b) AS b, sum(t) AS t, 0.1::DOUBLE * greatest(1048576, count(*)) AS mass FROM one),
+l AS (SELECT r, avg(-ln((two.t + 200 * (one.t + 0.1::DOUBLE) / (n.t + n.mass)) / (ctx.t + 200))) AS tl,
+             avg(-ln((two.b + 200 * (one.b + 0.1::DOUBLE) / (n.b + n.mass)) / (ctx.b + 200))) AS bl
+      FROM k JOIN one USING (w) JOIN ctx USING (h) JOIN two ON two.h = k.h AND two.w = k.w, n GROUP BY r)
+SELECT doc_id, len(ws) AS n_tokens, round(tl, 9) AS target_loss, round(bl, 9) AS background_loss, round(tl - bl, 9) AS score
+FROM d LEFT JOIN l USING (r)
+"""

@@ -98,7 +98,8 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
     good = saved(good, "target-ids")
     good = F.broadcast(good) if good.count() <= BROADCAST_TARGETS else good
-    return cross_entropy.fit_and_score(docs.join(good, "doc_id", "left")).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    found = cross_entropy.fit_and_score(docs.join(good, "doc_id", "left"))
+    return found.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 QUERIES = {
