@@ -16,12 +16,15 @@ same document further left) is removed. Strings never cross documents and are ju
    difference-cover sample, computed once a block. Any two suffixes reach sampled positions by one
    common step of less than PERIOD, whose ranks decide. Neighbours in this order that agree in
    `length` bytes are equal strings; all but the first start earlier.
-4. A bucket with more than ``bucket_pieces`` pieces isn't gathered: its strings are told apart by
-   128-bit hashes, again settled in each batch before the shuffle.
+4. A bucket with more than ``bucket_pieces`` pieces isn't gathered but split: its strings are dealt to
+   ranges of the place that the anchor has in them, of half the width each time, and within a range to
+   buckets by the bytes that all its strings cover. Equal strings stay together. Parts of equal bytes are
+   settled, byte by byte, in each batch and after the shuffle, and what is left goes to blocks (3) unless
+   it is still too many and is split again. A range of one place leaves equal strings only.
 5. Removed runs are merged by document and cut out.
 
-Equal content of pieces (2) and strings (4) is judged by 128 bits of hash (64 of the bucket and 64
-of the piece in 2); strings in blocks (3) are compared byte by byte.
+Equal content of pieces (2) is judged by 128 bits of hash (64 of the bucket and 64 of the piece) and by
+size; all else is compared byte by byte.
 
 Edge cases: null text counts as empty. Texts shorter than `length` are left alone. A null id comes
 before all others. Equal rows are one document. Rows of one id with different texts are taken one
@@ -36,7 +39,7 @@ from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.batches import small_batches
@@ -53,8 +56,8 @@ SETTLED = 400_000
 #: Exceptional rows (copies, ids with several texts) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 NULL_ID = -(1 << 63)
-#: A document's bytes lie at its rank among texts of its id, times this, plus the offset.
-STRIDE = 1 << 40
+#: A document's bytes lie at its rank among texts of its id, times this (more than any text has), plus the offset.
+STRIDE = 1 << 31
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -190,8 +193,8 @@ def piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return small_batches(docs.select("id", "base", "text")).mapInArrow(run, ROWS)
 
 
-def settle(rows: DataFrame, length: int, keep_pieces: bool) -> DataFrame:
-    """ROWS of the shuffle: removed runs, and (keep_pieces) the pieces of buckets with several."""
+def settle(rows: DataFrame, length: int) -> DataFrame:
+    """ROWS of the shuffle: removed runs, and the pieces of buckets with several."""
     dealt = rows.repartition("bucket").sortWithinPartitions("kind", "bucket", "piece", "shape", "id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +215,6 @@ def settle(rows: DataFrame, length: int, keep_pieces: bool) -> DataFrame:
             i, x, y = merged(np.r_[ids[done], ids[go]], np.r_[start[done], start[go]], np.r_[stop[done], stop[go] + length])
             if len(i):
                 yield _batch(REMOVED, i, np.zeros(len(i)), np.zeros(len(i)), i, x, y)
-            if not keep_pieces:
-                continue
             stay = own[first]
             table = np.stack([bucket[stay], piece[stay], shape[stay], ids[stay], start[stay], stop[stay]], axis=1)
             if waiting is not None:
@@ -403,24 +404,73 @@ def sorted_blocks(found: DataFrame, length: int, block_bytes: int = BLOCK_BYTES)
     return dealt.mapInArrow(run, ROWS)
 
 
-def string_rows(found: DataFrame, length: int) -> DataFrame:
-    """ROWS with a PIECE for each string of the pieces: bucket and piece are its 128-bit hash."""
+PARTS = "kind int, bucket long, id long, start long, stop long, anchor int, bytes binary"
+_PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
+def _part_batch(removed: tuple[np.ndarray, np.ndarray, np.ndarray], rows: list[tuple[int, int, int, int, int, bytes]]) -> pa.RecordBatch:
+    """A batch of PARTS; rows: bucket, id, start, stop, anchor, bytes."""
+    i, a, b = (x.tolist() for x in removed)
+    none = [None] * len(i)
+    columns = [[REMOVED] * len(i) + [PIECE] * len(rows), i + [r[0] for r in rows], i + [r[1] for r in rows], a + [r[2] for r in rows], b + [r[3] for r in rows], [0] * len(i) + [r[4] for r in rows], none + [r[5] for r in rows]]
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _PART_NAMES)
+
+
+def _runs_of(rows: list[tuple[int, int, int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, start, stop = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
+    return merged(ids, start, stop + length)
+
+
+def split_piece(anchor: int, text: bytes, length: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first start, last start) of the parts of a piece: runs of strings whose anchor lies in one range of places."""
+    import xxhash
+
+    last = len(text) - length
+    for g in range((anchor - last) // width, anchor // width + 1):
+        core = text[anchor - g * width : anchor - (g + 1) * width + 1 + length]  # what all strings of the range cover
+        yield xxhash.xxh3_64_intdigest(core, g) - (1 << 63), max(0, anchor - (g + 1) * width + 1), min(last, anchor - g * width)
+
+
+def split_pieces(found: DataFrame, length: int, width: int) -> DataFrame:
+    """PARTS: pieces (bucket, id, start, anchor, bytes) cut up, those of equal bytes settled in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            first: dict[tuple[int, bytes], tuple] = {}
+            go: list[tuple] = []
+            for key, start, anchor, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bucket, a, b in split_piece(anchor, text, length, width):
+                    row = (bucket, key, start + a, start + b, anchor - a, text[a : b + length])
+                    held = first.setdefault((bucket, row[5]), row)
+                    if held is not row:
+                        if row[1:3] < held[1:3]:
+                            first[bucket, row[5]], row = row, held
+                        go.append(row)
+            yield _part_batch(_runs_of(go, length), list(first.values()))
 
-        for whole in batches:
-            for n in range(0, whole.num_rows, 2000):
-                batch, rows = whole.slice(n, 2000), []
-                for key, start, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    view = memoryview(text)
-                    count = len(text) - length + 1
-                    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(count)), np.uint64).reshape(-1, 2)
-                    at = start + np.arange(count)
-                    rows.append((both[:, 0], both[:, 1], np.zeros(count, np.int64), np.full(count, key), at, at))
-                yield from _removed_and_rest(rows, length)
+    return found.select("id", "start", "anchor", "bytes").mapInArrow(run, PARTS)
 
-    return found.select("bucket", "id", "start", "bytes").mapInArrow(run, ROWS)
+
+def settle_parts(parts: DataFrame, length: int) -> DataFrame:
+    """PARTS: removed runs, and the first of all parts of equal bytes in a bucket."""
+    dealt = parts.repartition("bucket", "bytes").sortWithinPartitions("kind", "bucket", "bytes", "id", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            stay, go, done = [], [], []
+            for kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == REMOVED:
+                    done.append(row)
+                    continue
+                (stay if (row[0], row[5]) != last else go).append(row)
+                last = row[0], row[5]
+            i, a, b = _runs_of(go, length)
+            more = [np.array([r[c] for r in done], np.int64) for c in (1, 2, 3)]
+            yield _part_batch(merged(np.r_[i, more[0]], np.r_[a, more[1]], np.r_[b, more[2]]), stay)
+
+    return dealt.mapInArrow(run, PARTS)
 
 
 # --- the whole job ---------------------------------------------------------------------------------
@@ -439,50 +489,76 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a whole text, and ids with several texts: the exceptions, known by (id, digest)
     texts = own.groupBy("id", "digest").agg(F.count("*").alias("n"))
     texts, texts_at = save(texts, "suffix-texts")
-    first = texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("ids")).where("ids > 1").select("digest", "first")
-    copies = texts.join(first, "digest").where("id > first").select("id", "digest", F.lit(True).alias("copy"))
-    several = texts.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
-    turns = texts.join(several, "id").select("id", "digest", (F.row_number().over(Window.partitionBy("id").orderBy("digest")) - 1).cast("long").alias("turn"))
+    first, first_at = save(texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("ids")).where("ids > 1").select("digest", "first"), "suffix-firsts")
+    copies = texts.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "digest").where("id > first").select("id", "digest", F.lit(True).alias("copy"))
+    turns = _turns(texts)
     odd, odd_at = save(copies.join(turns, ["id", "digest"], "full").select("id", "digest", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("turn", F.lit(0).cast("long")).alias("turn")), "suffix-odd")
     few = odd.count() <= broadcast_rows
     marked = own.join(F.broadcast(odd) if few else odd, ["id", "digest"], "left")
     marked = marked.select("doc", "id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), (F.coalesce("turn", F.lit(0)) * STRIDE).cast("long").alias("base"), F.col("digest"))
     alone = marked.where(~F.col("copy") & (F.octet_length("text") >= length)).select("id", "base", "text")
 
-    runs, runs_at = save(settle(piece_rows(alone, length, gram), length, True), "suffix-runs")
+    runs, runs_at = save(settle(piece_rows(alone, length, gram), length), "suffix-runs")
     release_shuffles(spark)
     removed = [runs.where(F.col("kind") == REMOVED).select("id", "start", "stop")]
-    wanted = runs.where(F.col("kind") == PIECE).select("id", "bucket", "start", "stop")
-    sizes = wanted.groupBy("bucket").agg(F.count("*").alias("pieces")).where(F.col("pieces") > bucket_pieces).select("bucket", F.lit(True).alias("crowded"))
-    found, found_at = save(_with_bytes(alone, wanted.join(sizes, "bucket", "left"), length), "suffix-pieces")
+    wanted = runs.where(F.col("kind") == PIECE).select("id", "bucket", "start", "stop", F.col("shape").bitwiseAND((1 << 20) - 1).cast("int").alias("anchor"))
+    sizes, sizes_at = save(wanted.groupBy("bucket").agg(F.count("*").alias("pieces")).where(F.col("pieces") > bucket_pieces).select("bucket", F.lit(True).alias("crowded")), "suffix-crowded")
+    wanted = wanted.join(F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes, "bucket", "left")
+    found, found_at = save(_with_bytes(alone, wanted, length), "suffix-pieces")
     release_shuffles(spark)
     crowded = F.col("crowded").isNotNull()
-    parts = [sorted_blocks(found.where(~crowded), length)]
-    if not found.where(crowded).isEmpty():
-        parts.append(settle(string_rows(found.where(crowded), length), length, False))
-    paths = []
-    for part in parts:
-        table, path = save(part.select("id", "start", "stop"), "suffix-runs")
+    paths = [first_at, sizes_at]
+
+    def sort(pieces: DataFrame) -> None:
+        table, path = save(sorted_blocks(pieces, length).select("id", "start", "stop"), "suffix-runs")
         removed.append(table)
         paths.append(path)
+
+    sort(found.where(~crowded))
+    todo, width = found.where(crowded), length - gram + 1
+    while not todo.isEmpty():
+        width = -(-width // 2)
+        parts, parts_at = save(settle_parts(split_pieces(todo, length, width), length), "suffix-parts")
+        removed.append(parts.where(F.col("kind") == REMOVED).select("id", "start", "stop"))
+        own_parts = parts.where(F.col("kind") == PIECE)
+        several, several_at = save(own_parts.groupBy("bucket").agg(F.count("*").alias("pieces")).where("pieces > 1"), "suffix-crowded")
+        met = own_parts.join(F.broadcast(several) if several.count() <= broadcast_rows else several, "bucket")
+        sort(met.where(F.col("pieces") <= bucket_pieces) if width > 1 else met)
+        todo = met.where(F.col("pieces") > bucket_pieces) if width > 1 else met.limit(0)
+        paths += [parts_at, several_at]
     cuts = removed[0]
     for more in removed[1:]:
         cuts = cuts.union(more)
-    by_doc = cuts.groupBy("id", F.floor(F.col("start") / STRIDE).alias("turn")).agg(F.collect_list(F.struct(F.pmod("start", F.lit(STRIDE)).alias("start"), (F.col("stop") - F.floor(F.col("start") / STRIDE) * STRIDE).alias("stop"))).alias("cuts"))
-    spans, _ = save(by_doc.select("id", (F.col("turn") * STRIDE).cast("long").alias("base"), "cuts"), "suffix-cuts")
+    base = _base(F.col("start"))
+    spans, _ = save(cuts.groupBy("id", base.alias("base")).agg(F.collect_list(F.struct((F.col("start") - base).alias("start"), (F.col("stop") - base).alias("stop"))).alias("cuts")), "suffix-cuts")
     discard(spark, found_at, runs_at, texts_at, *paths)
     release_shuffles(spark)
     return _cut(marked.join(spans, ["id", "base"], "left").select("doc", "text", "copy", "cuts"), length)
 
 
+def _base(place: Column) -> Column:
+    """Where the text begins that a place lies in."""
+    return place.bitwiseAND(-STRIDE)
+
+
+def _turns(texts: DataFrame) -> DataFrame:
+    """(id, digest, turn) of ids with several texts: 0, 1, ... in the order of digests. Counted by the digests'
+    first bytes, so that one id, or null, may have any number of texts."""
+    several = texts.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
+    own = texts.join(several, "id").select("id", "digest", F.substring("digest", 1, 2).alias("lead"))
+    before = Window.partitionBy("id").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    leads = own.groupBy("id", "lead").agg(F.count("*").alias("n")).select("id", "lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("id", "lead").orderBy("digest")))
+    return ranked.join(leads, ["id", "lead"]).select("id", "digest", (F.col("ahead") + F.col("at") - 1).cast("long").alias("turn"))
+
+
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Pieces (bucket, id, start, crowded, bytes) cut from the documents' texts."""
-    turn = F.floor(F.col("start") / STRIDE) * STRIDE
-    grouped = wanted.withColumn("base", turn.cast("long")).groupBy("id", "base").agg(F.collect_list(F.struct("bucket", "start", "stop", "crowded")).alias("pieces"))
+    """Pieces (bucket, id, start, anchor, crowded, bytes) cut from the documents' texts."""
+    grouped = wanted.withColumn("base", _base(F.col("start"))).groupBy("id", "base").agg(F.collect_list(F.struct("bucket", "start", "stop", "anchor", "crowded")).alias("pieces"))
     met = docs.join(grouped, ["id", "base"]).select("id", "base", "text", F.explode("pieces").alias("p"))
     at = (F.col("p.start") - F.col("base") + 1).cast("int")
     size = (F.col("p.stop") - F.col("p.start") + length).cast("int")
-    return met.select(F.col("p.bucket").alias("bucket"), "id", F.col("p.start").alias("start"), F.col("p.crowded").alias("crowded"), F.substring("text", at, size).alias("bytes"))
+    return met.select(F.col("p.bucket").alias("bucket"), "id", F.col("p.start").alias("start"), F.col("p.anchor").alias("anchor"), F.col("p.crowded").alias("crowded"), F.substring("text", at, size).alias("bytes"))
 
 
 def cut_out(text: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:

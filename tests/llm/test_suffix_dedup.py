@@ -99,3 +99,40 @@ def test_cut_out():
     assert suffix_dedup.cut_out(b"0123456789", [(2, 4), (4, 5), (3, 5), (8, 9)]) == (b"0156" + b"79", 4, 2)
     assert suffix_dedup.cut_out(b"abc", []) == (b"abc", 0, 0)
     assert suffix_dedup.cut_out(b"abc", [(0, 3)]) == (b"", 3, 1)
+
+
+def test_parts_of_pieces_keep_equal_strings_together():
+    """Each string lies in one part, by its anchor's place; equal strings of different pieces share a bucket."""
+    rng = np.random.default_rng(6)
+    length, gram = 100, 32
+    middle = bytes(rng.integers(97, 123, 110, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) + middle + bytes(rng.integers(97, 123, 90, dtype=np.uint8)) for n in (0, 40, 90)]
+    for width in (35, 18, 9, 5, 3, 2, 1):
+        buckets: dict[bytes, set[int]] = {}
+        for text in texts:
+            for at, part in suffix_dedup.slices(text, length):
+                for _, first, last, anchor in zip(*suffix_dedup.pieces(part, length, gram), strict=True):
+                    piece = part[first : last + length]
+                    starts = []
+                    for bucket, a, b in suffix_dedup.split_piece(int(anchor - first), piece, length, width):
+                        assert 0 <= a <= b <= last - first
+                        starts += range(a, b + 1)
+                        for s in range(a, b + 1):
+                            buckets.setdefault(piece[s : s + length], set()).add(bucket)
+                    assert sorted(starts) == list(range(last - first + 1))
+        assert all(len(b) == 1 for b in buckets.values())
+
+
+@pytest.mark.parametrize("bucket_pieces", [1, 3])
+def test_crowded_buckets_are_split_until_they_fit(spark, bucket_pieces):
+    """A common line with other neighbours each time, some of which repeat."""
+    rng = np.random.default_rng(12)
+    line = "this line stands in every text of the table, " * 2
+    sides = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(5, 80))) for _ in range(6)]
+    rows = [(i, sides[int(rng.integers(0, 6))] + line + sides[int(rng.integers(0, 6))] + str(i % 4)) for i in range(40)]
+    check(spark, rows, bucket_pieces=bucket_pieces, broadcast_rows=0 if bucket_pieces == 1 else 1000)
+
+
+def test_many_texts_of_one_id(spark):
+    rows = [(None, f"{'x' * (i % 5)} text number {i} " + "shared words all of these rows have in common and long enough to count " * 2) for i in range(40)] + [(7, "seven " * 40), (7, "seven " * 41), (7, "other " * 40)]
+    check(spark, rows)
