@@ -367,3 +367,17 @@ r AS (
   UNION ALL SELECT k, path, 'styleguide/' || lang || '/own/own', NULL, 'own', CASE WHEN k % 2 = 0 THEN 'error' ELSE 'info' END, NULL, 'g' || k, NULL FROM d)
 SELECT path, concept_id, description, category, priority, pattern, good, bad, false AS failed FROM r WHERE k % 10 <> 3
 UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM d WHERE k % 10 = 3"""
+
+#: Without CJK a text has a token for three characters; three parts of five of what is kept stand before the mark.
+ORACLE_SQL["budget_fit"] = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, CAST(ceil(length(role) / 3.0) AS BIGINT) + 6 AS around FROM conversations),
+r AS (
+  SELECT conv_id, turn, role, around, text AS t, CAST(ceil(length(text) / 3.0) AS BIGINT) AS est, 0 AS step FROM c
+  UNION ALL
+  SELECT conv_id, turn, role, around, t, CAST(ceil(length(t) / 3.0) AS BIGINT), step FROM (
+    SELECT conv_id, turn, role, around, step + 1 AS step, left(t, (3 * (est // 2) - 3) * 3 // 5) || ' … ' || right(t, 3 * (est // 2) - 3 - (3 * (est // 2) - 3) * 3 // 5) AS t
+    FROM r WHERE around + est > 64 AND est > 8)),
+last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY step DESC) = 1)
+SELECT c.conv_id, c.turn, '{"role":' || to_json(c.role) || ',"text":' || to_json(c.text) || '}' AS state, '{"role": ' || to_json(c.role) || ', "text": ' || to_json(t) || '}' AS fitted,
+       c.around + c.est AS tokens_before, l.around + l.est AS tokens_after
+FROM (SELECT *, CAST(ceil(length(text) / 3.0) AS BIGINT) AS est FROM c) c JOIN last l ON l.conv_id = c.conv_id AND l.turn = c.turn"""
