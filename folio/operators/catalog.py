@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import RESERVED_NAMESPACES
 
+#: Global books of one machine at most.
+GLOBAL_BOOKS = 10_000
+
 
 def namespace_counts(concepts: DataFrame, key: str = "book") -> DataFrame:
     """A column for each reserved namespace with its number of concepts, and `other`."""
@@ -121,3 +124,50 @@ def render_markdown(counts: list, duplicate_ids: list) -> str:
     table += ["| " + " | ".join(str(r[h]) for h in heads) + " |" for r in sorted(counts, key=lambda r: r["book"])]
     extra = [f"- `{r['concept_id']}`: {', '.join(r['books'])}" for r in sorted(duplicate_ids, key=lambda r: r["concept_id"])]
     return "\n".join(["# Catalogue", "", *table, *(["", "## Duplicates", "", *extra] if extra else []), ""])
+
+
+def active_books(projects: DataFrame, books: DataFrame) -> DataFrame:
+    """(slug, name, version, root, writable): each project's own books, and the global ones (null slug) that
+    aren't among these by name and version."""
+    kept = ["name", "version", "root", "writable"]
+    own = books.where(F.col("slug").isNotNull()).select("slug", *kept)
+    shared = projects.select("slug").distinct().crossJoin(F.broadcast(books.where(F.col("slug").isNull()).select(*kept).limit(GLOBAL_BOOKS)))
+    return own.union(shared.join(own.select("slug", "name", "version"), ["slug", "name", "version"], "left_anti").select("slug", *kept))
+
+
+def project_catalog(projects: DataFrame, books: DataFrame, concepts: DataFrame) -> DataFrame:
+    """A row for each project: slug, hash, root, stale, books, the namespace counts, duplicate_ids.
+
+    projects: slug, root, root_exists (null root: none was recorded); books: slug, name, version, root,
+    writable; concepts: root (of the book), namespace, concept_id. A project whose recorded root is gone
+    is stale. hash: the slug's last part if it is the root's, or looks like one where no root is known."""
+    if books.where(F.col("slug").isNull()).count() > GLOBAL_BOOKS:
+        raise ValueError(f"over {GLOBAL_BOOKS} global books")
+    active = active_books(projects, books)
+    held = active.select("slug", "root", F.col("name").alias("book")).join(concepts, "root")
+    counts = namespace_counts(held, "slug")
+    twice = held.groupBy("slug", "concept_id").agg(F.countDistinct("root").alias("roots")).where("roots > 1").groupBy("slug").agg(F.count("*").alias("duplicate_ids"))
+    listed = active.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("name", "version", "root", "writable"))).alias("books"))
+    ends = F.regexp_extract("slug", "-([0-9a-f]{8})$", 1)
+    recorded = F.substring(F.sha2("root", 256), 1, 8)
+    own_hash = F.when(F.col("root").isNull(), ends).when(ends == recorded, ends).otherwise("")
+    base = projects.select("slug", own_hash.alias("hash"), "root", (F.col("root").isNotNull() & ~F.coalesce("root_exists", F.lit(False))).alias("stale"))
+    numbers = [*RESERVED_NAMESPACES, "other"]
+    out = base.join(listed, "slug", "left").join(counts, "slug", "left").join(twice, "slug", "left")
+    zero = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in (*numbers, "duplicate_ids")]
+    return out.select("slug", "hash", "root", "stale", F.coalesce("books", F.array().cast("array<struct<name:string,version:string,root:string,writable:boolean>>")).alias("books"), *zero).orderBy("slug")
+
+
+def write_catalog(catalog: DataFrame, path: str) -> None:
+    """The catalogue as one JSON line a project, in a folder that readers see whole."""
+    catalog.write.mode("overwrite").json(path)
+
+
+def render_projects(rows: list) -> str:
+    """The projects' catalogue as Markdown, from collected rows; stale ones are marked."""
+    out = ["# Projects"]
+    for r in sorted(rows, key=lambda r: r["slug"]):
+        counts = ", ".join(f"{r[n]} {n}" for n in (*RESERVED_NAMESPACES, "other") if r[n])
+        out += ["", f"## {r['slug']}" + (" (stale)" if r["stale"] else ""), "", f"root: {r['root'] or 'not recorded'}", f"concepts: {counts or 'none'}; ids in several books: {r['duplicate_ids']}"]
+        out += [f"- {b['name']} {b['version']}{'' if b['writable'] else ' (read-only)'}: `{b['root']}`" for b in r["books"]]
+    return "\n".join([*out, ""])
