@@ -91,14 +91,15 @@ class Filter:
     def is_small(self) -> bool:
         return self.slots // BLOCK_BITS + 1 <= BROADCAST_BLOCKS
 
-    def passing(self, rows: DataFrame) -> DataFrame:
-        """Those of rows whose digest may be in; all that are in pass."""
+    def passing(self, rows: DataFrame, inside: bool = True) -> DataFrame:
+        """Those of rows whose digest may be in, all that are in among them; or the others."""
         slot = _slot(self.slots)
         blocks = F.broadcast(self.blocks) if self.is_small() else self.blocks
-        asked = rows.withColumn("block", F.bitmap_bucket_number(slot)).join(blocks, "block")
+        asked = rows.withColumn("block", F.bitmap_bucket_number(slot)).join(blocks, "block", "inner" if inside else "left")
         at = F.bitmap_bit_position(slot)
         byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        return asked.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+        bit = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(0)) == 1
+        return asked.where(bit if inside else ~bit).select(*rows.columns)
 
 
 def _slot(slots: int) -> Column:
@@ -229,10 +230,14 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     discard(docs.sparkSession, runs_at)
     text = F.col(f"own.{text_col}").cast("string")
     own = docs.select(F.struct(*docs.columns).alias("own")).withColumn(mark, sha256(normalised(text)))
-    alone = own.join(F.broadcast(hits) if hits.count() <= broadcast_hits else hits, mark, "left_anti")
-    some, more = _narrowed(own, hits, broadcast_hits)
+    n = hits.count()
+    if n <= broadcast_hits:
+        alone, some = own.join(F.broadcast(hits), mark, "left_anti"), own.join(F.broadcast(hits), mark, "left_semi")
+    elif (asked := Filter.of(hits, n)).is_small():  # rows that pass without being of hits are groups of one
+        alone, some = asked.passing(own, inside=False), asked.passing(own)
+    else:
+        alone, some = own.join(hits, mark, "left_anti"), own.join(hits, mark, "left_semi")
     number = F.col(f"own.{id_col}").cast("long")
     order = F.struct(number.isNull().alias("nameless"), (number if keep == "smallest" else F.bitwise_not(number)).alias("order"), F.col("own"))
     groups = some.groupBy(mark, normalised(text).alias("bytes")).agg(F.min(order)["own"].alias("own"))
-    groups = groups.join(hits, mark, "left_semi") if more else groups
     return alone.select("own.*").union(groups.select("own.*"))
