@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -61,3 +62,15 @@ def release_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def release_memory(spark: SparkSession) -> None:
+    """release_shuffles, and let executors collect, too.
+
+    Relations of finished broadcasts, direct buffers and classes of finished plans stay with an executor
+    until its heap is collected, which may take long while there is room; a job of many steps in one
+    application calls this between them, so that each starts with the memory of live data."""
+    release_shuffles(spark)
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    asked = spark.range(0, 2 * executors, 1, 2 * executors).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")))
+    asked.write.format("noop").mode("overwrite").save()
