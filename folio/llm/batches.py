@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-ROWS = 500
+ROWS = 250
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(df: DataFrame) -> DataFrame:
