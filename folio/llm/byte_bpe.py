@@ -93,9 +93,14 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Coder:
-    """Encodes and decodes in one Python worker."""
+    """Encodes and decodes in one Python worker.
 
-    def __init__(self, model: bytes, pattern: str):
+    by_stretch: for patterns whose pre-tokens have white space within only if they are all white space, and
+    else begin with one space at most, and whose letters end where a character follows that is certainly
+    none, as the usual byte-level patterns do. Such texts are cut at these places first, which is faster.
+    Without it any pattern will do: its own matches are remembered."""
+
+    def __init__(self, model: bytes, pattern: str, by_stretch: bool = False):
         import regex
         import sentencepiece
 
@@ -104,11 +109,9 @@ class Coder:
         inside, space = re.escape(WHITE_SPACE), f"[{re.escape(WHITE_SPACE)}]"
         explicit = pattern.replace("[^\\s", f"[^{inside}").replace("\\S", f"[^{inside}]").replace("\\s", space)
         self.cut = regex.compile(explicit).findall
-        # A pre-token has white space within only if it is all white space, and else begins with one
-        # space at most; and letters end where a character follows that is certainly none. So these
-        # stretches can be cut, and remembered, each on its own.
         word = f" ?[A-Za-z{LATIN_LETTERS}]+(?=[{inside}{re.escape(PUNCTUATION)}]|\\Z)"
-        self.stretches = re.compile(f"{word}| ?[^{inside}]+|{space}+(?![^{inside}])|{space}+").findall
+        self.by_stretch = by_stretch
+        self.stretches = re.compile(f"{word}| ?[^{inside}]+|{space}+(?![^{inside}])|{space}+").findall if by_stretch else self.cut
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -120,6 +123,11 @@ class Coder:
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, stretches: set[str]) -> None:
+        self.held += sum(map(len, stretches))
+        if not self.by_stretch:
+            every = list(stretches)
+            self.known.update(zip(every, self._ids([as_piece(t.encode()) for t in every]), strict=True))
+            return
         whole = [s for s in stretches if s.lstrip(" ").isalpha() and s[:2] != "  "]  # one pre-token each
         if whole:
             pieces = "\n".join(whole).encode().decode("latin-1").translate(_TO_PIECE_BY_LINE).split("\n")
@@ -129,7 +137,6 @@ class Coder:
             ids = iter(self._ids([as_piece(t.encode()) for tokens in cut.values() for t in tokens]))
             for s, tokens in cut.items():
                 self.known[s] = b"".join(next(ids) for _ in tokens)
-        self.held += sum(map(len, stretches))
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. New stretches are learned together for about GROUP_CHARS of text."""
@@ -161,9 +168,9 @@ class Coder:
 
 
 @lru_cache(2)
-def coder(model: bytes, pattern: str) -> Coder:
+def coder(model: bytes, pattern: str, by_stretch: bool) -> Coder:
     """One for all tasks of a Python worker, so that what it remembers serves the next task."""
-    return Coder(model, pattern)
+    return Coder(model, pattern, by_stretch)
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
@@ -171,14 +178,14 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.Stru
     return df, T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """The columns of docs with the ids of each whole text."""
+def encode(docs: DataFrame, model: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", by_stretch: bool = False) -> DataFrame:
+    """The columns of docs with the ids of each whole text. by_stretch: see Coder."""
     docs, schema = _with(docs, ids_col, T.ArrayType(T.IntegerType()))
     names, at = docs.columns, docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary: about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = coder(shared.value, pattern).encode_all
+        encoded = coder(shared.value, pattern, by_stretch).encode_all
         for batch in sliced(batches):
             ids = list(encoded([(raw or b"").decode("utf-8", "replace") for raw in batch.column(at).cast(pa.binary()).to_pylist()]))
             ends = np.cumsum([0, *map(len, ids)])
@@ -188,14 +195,15 @@ def encode(docs: DataFrame, model: bytes, pattern: str, text_col: str = "text",
     return small_batches(docs).mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, model: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """The columns of rows with the bytes that the ids stand for; null ids give null."""
+def decode(rows: DataFrame, model: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", by_stretch: bool = False) -> DataFrame:
+    """The columns of rows with the bytes that the ids stand for; null ids give null. by_stretch: as for the
+    encoding, so that a worker has one coder for both."""
     rows, schema = _with(rows, bytes_col, T.BinaryType())
     names, at = rows.columns, rows.columns.index(ids_col)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = coder(shared.value, pattern).token_bytes().__getitem__
+        piece = coder(shared.value, pattern, by_stretch).token_bytes().__getitem__
         for batch in sliced(batches):
             out = [b"".join(map(piece, x.values.to_pylist())) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, bytes_col])

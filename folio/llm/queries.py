@@ -35,7 +35,7 @@ def bpe_model() -> tuple[bytes, str]:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     model, pattern = bpe_model()
-    rows = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), model, pattern).drop("text"), model, pattern)
+    rows = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), model, pattern, by_stretch=True).drop("text"), model, pattern, by_stretch=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

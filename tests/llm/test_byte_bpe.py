@@ -19,9 +19,9 @@ def theirs(ranks):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.fixture(scope="module")
-def ours():
-    return byte_bpe.Coder(*bpe_model())
+@pytest.fixture(scope="module", params=[True, False], ids=["by stretch", "by match"])
+def ours(request):
+    return byte_bpe.Coder(*bpe_model(), by_stretch=request.param)
 
 
 def test_each_token_is_its_own_piece(ranks, ours):
@@ -38,6 +38,15 @@ def test_like_tiktoken(ours, theirs, text):
     assert b"".join(table[i] for i in ids) == text.encode()
 
 
+def test_any_pattern(ranks):
+    """Matches with white space inside them, which the shortcut for stretches would cut."""
+    pattern = r"[0-9]{1,3}|[^0-9]+"
+    own = byte_bpe.Coder(bpe_model()[0], pattern)
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("it costs 12345 dollars, or  so it   says 7", "no digits at all in here", "  1 2  ", "a\nb 10\n\n", ""):
+        assert own.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
 def test_edge_cases(spark, theirs):
     model, pattern = bpe_model()
     rows = byte_bpe.decode(byte_bpe.encode(frame(spark), model, pattern), model, pattern).collect()
