@@ -88,3 +88,15 @@ def list_skills(concepts: DataFrame) -> DataFrame:
     fine = (F.col("type") == "Skill") & (F.trim("description") != "") & (F.trim("body") != "")
     own = concepts.where((F.col("namespace") == "skill") & form & fine).withColumn("name", parts[1])
     return context.shadowed(own, "name", "precedence", "concept_id").select("book", "concept_id", "name", "description", "precedence", "is_shadowed")
+
+
+def list_rules(concepts: DataFrame, language: str | None = None, category: str | None = None) -> DataFrame:
+    """Rules that keep their contract, by facets: a facet that is asked for must be there and equal.
+
+    concepts: book, concept_id, namespace, type, description, language, category, priority, precedence."""
+    name = F.element_at(F.split("concept_id", "/"), -1)
+    fine = (F.trim("type") == "Rule") & (F.trim("description") != "") & ~name.isin("index", "log")
+    own = concepts.where((F.col("namespace") == "styleguide") & fine)
+    for facet, wanted in (("language", language), ("category", category)):
+        own = own if wanted is None else own.where(F.col(facet) == wanted)
+    return own.orderBy("precedence", "concept_id").select("book", "concept_id", "description", "language", "category", "priority")

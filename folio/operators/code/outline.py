@@ -22,6 +22,15 @@ def containment(symbols: DataFrame) -> DataFrame:
     return symbols.join(near, ["path", "name", "start_row"], "left")
 
 
+def nested(symbols: DataFrame) -> DataFrame:
+    """Adds `parent_row`: the first row of the symbol that the scope chain names, the nearest one above; null at the top."""
+    whole = F.concat_ws(".", F.when(F.col("scope") != "", F.col("scope")), "name")
+    holders = symbols.select("path", whole.alias("scope"), F.col("start_row").alias("parent_row"))
+    met = symbols.join(holders, ["path", "scope"]).where(F.col("parent_row") <= F.col("start_row"))
+    near = met.groupBy("path", "scope", "name", "start_row").agg(F.max("parent_row").alias("parent_row"))
+    return symbols.join(near, ["path", "scope", "name", "start_row"], "left").select(*symbols.columns, "parent_row")
+
+
 def file_totals(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(path, bytes, symbols) of each file."""
     counted = symbols.groupBy("path").agg(F.count("*").alias("symbols"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.storage import saved
@@ -113,3 +114,13 @@ def read_dataset(data: dict) -> dict:
             raise ValueError(f"a label is both expected and absent: {q}")
         seen.add(q["query"])
     return data
+
+
+def load_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
+    """(settings, expected, absent) of a JSON dataset in any store: query and uri rows; its shape is checked first."""
+    text = spark.read.text(path, wholetext=True).first()
+    if text is None:
+        raise ValueError(f"{path} is empty")
+    data = read_dataset(json.loads(text.value))
+    rows = lambda field: spark.createDataFrame([(q["query"], uri) for q in data["queries"] for uri in q.get(field) or []], "query string, uri string")
+    return {n: data.get(n) for n in ("k", "absent_window", "min")}, rows("expected"), rows("absent")

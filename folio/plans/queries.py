@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions import text, vectors
 from folio.operators import calls, catalog, chunking, context, decision, embedding, evaluation, graph, index, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
+from folio.operators.memo import Memo
 from folio.operators.postings import Postings
 from folio.sources import bundle, packages
 from folio.sources.tables import code_files, documents, markdown_documents, table, version
@@ -49,15 +50,14 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
 
 
-_INDEXES: dict[tuple, Postings] = {}
+_INDEXES = Memo()
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> Postings:
-    """The lexical index of `documents`, over texts and concept ids: written by a session's first query, read by all."""
-    key = (spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"))
-    if key not in _INDEXES:
-        _INDEXES[key] = Postings.build(documents(spark, sf_dir), new_path(spark, "lexical"), text_cols=("text", "concept_id"))
-    return _INDEXES[key]
+    """The lexical index of `documents`, over texts and concept ids: written by a session's first query, read by
+    all until the table changes."""
+    made = lambda: Postings.build(documents(spark, sf_dir), new_path(spark, "lexical"), text_cols=("text", "concept_id"))
+    return _INDEXES.get((spark.sparkContext.applicationId, sf_dir), version(spark, f"{sf_dir}/documents.parquet"), made)
 
 
 @query

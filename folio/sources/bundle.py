@@ -10,10 +10,12 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,47 @@ def read_concepts(spark: SparkSession, root: str, book: str) -> DataFrame:
     return with_facets(parse_concepts(named)).drop("content")
 
 
+class NotABook(ValueError):
+    """A folder that can't be opened as a book; the requirement it breaks is named."""
+
+
+#: The type of a manifest. (Fixed value.)
+MANIFEST_TYPE = "Book"
+_VERSION = re.compile(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?")
+
+
+def manifest_of(concepts: DataFrame) -> dict:
+    """name, version, description and tags of the one manifest among a book's parsed files (path, frontmatter, parse_error)."""
+    rows = concepts.where(F.col("path") == MANIFEST).select("frontmatter", "parse_error").limit(1).collect()
+    if not rows:
+        raise NotABook(f"no {MANIFEST} at the root (STR-2)")
+    if rows[0].parse_error:
+        raise NotABook(f"{MANIFEST}: {rows[0].parse_error} (STR-4)")
+    front = json.loads(rows[0].frontmatter)
+    if not front:
+        raise NotABook(f"{MANIFEST} has no frontmatter (STR-4)")
+    if str(front.get("type") or "").strip() != MANIFEST_TYPE:
+        raise NotABook(f"{MANIFEST} has type {front.get('type')!r}, not {MANIFEST_TYPE} (STR-5)")
+    name, version = str(front.get("name") or "").strip(), str(front.get("version") or "").strip()
+    if not name:
+        raise NotABook(f"{MANIFEST} has no name (STR-5)")
+    if version and not _VERSION.fullmatch(version):
+        raise NotABook(f"{MANIFEST} has version {version!r}, which isn't semantic (STR-5)")
+    return {"name": name, "version": version or None, "description": front.get("description"), "tags": normalised_tags(front.get("tags"))}
+
+
+def open_book(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
+    """(manifest, concepts) of a book below root, a folder of any store; a linked manifest is refused."""
+    if os.path.islink(os.path.join(root, MANIFEST)):
+        raise NotABook(f"{MANIFEST} is a link; a book's content lies in it (STR-2)")
+    try:
+        files = read_files(spark, root).where(F.col("path") == MANIFEST)
+        manifest = manifest_of(parse_concepts(files))
+    except AnalysisException as e:
+        raise NotABook(f"{root} is no folder: {e}") from None
+    return manifest, read_concepts(spark, root, manifest["name"])
+
+
 def open_project(books: list[tuple[DataFrame, bool]]) -> DataFrame:
     """Books' concepts in the order of precedence, the local one first; a name taken twice is an error."""
     out, names = None, set()

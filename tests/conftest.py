@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many short jobs: quick compilation pays
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
