@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import byte_bpe, cross_entropy, exact_dedup, language_id, mixing, simhash, suffix_dedup, url_rules, vector_tree, warc
+from folio.llm import byte_bpe, compaction, cross_entropy, exact_dedup, language_id, mixing, packing, resampling, simhash, suffix_dedup, url_rules, vector_tree, warc
 from folio.storage import new_path, saved
 
 
@@ -102,7 +102,34 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens; an empty or null text is its end id alone."""
+    import public_tokenizers
+
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the texts of benchmark."""
+    docs = table(spark, sf_dir, "documents")
+    gain = resampling.gains(resampling.count(docs), resampling.count(table(spark, sf_dir, "benchmark")))
+    found = resampling.draw(resampling.weigh(docs, gain), percent=25)
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clicks in files by day, lot and piece, small ones joined; a new folder at each call, which stays."""
+    folder = new_path(spark, "clicks")
+    files, rows = compaction.write_files(table(spark, sf_dir, "clicks"), folder, "arrived_at", "click_id")
+    found = compaction.digests(compaction.compact(files, rows, folder), "click_id", "value")
+    return found.select("day", "lot", "piece", "n_rows", F.col("min_id").alias("min_click_id"), F.col("max_id").alias("max_click_id"), "cents", "sources", "ids_sha256", "columns", "path", "rewritten")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_exact_dedup, op3_byte_bpe, op4_vector_tree, op5_warc, op6_suffix_dedup, op7_url_rules, op8_language_id, op9_mixing, op10_cross_entropy)
-}
+    for f in (
+        op1_simhash, op2_exact_dedup, op3_byte_bpe, op4_vector_tree, op5_warc, op6_suffix_dedup, op7_url_rules, op8_language_id, op9_mixing,
+        op10_cross_entropy, op11_packing, op12_resampling, op13_compaction,
+    )
+}
