@@ -1,22 +1,31 @@
 """The passage index: content hashes, staleness, incremental reconciliation, and its table.
 
-A table is a folder of generations with a pointer to the current one: a build writes a new
-generation and moves the pointer last, so readers never see half of it.
+A table is a folder of immutable segments and numbered commits. A build writes what is new or changed as
+a new segment, with the concepts that it removes from earlier ones, and then a commit that lists the
+segments; a commit's file is put in place at once and never replaced, and the highest number counts, so
+readers see all of a build or nothing. Reading leaves out removed rows. Small segments are merged with
+their neighbours, each row a logarithmic number of times.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators.postings import Postings
+from folio.operators.postings import BROADCAST_DEAD, Postings, Segment
 from folio.operators.retrieval import Filter, IndexStale, depth, fuse, lexical_leg, vector_leg
 from folio.storage import saved
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
+#: Neighbouring segments of like size that are merged into one.
+FANOUT = 4
+#: Rows of a segment's file on average.
+FILE_ROWS = 500_000
 KEY = ["book", "namespace", "concept_id"]
 
 
@@ -58,43 +67,77 @@ def reconcile(stored: DataFrame, current: DataFrame, key: list[str] | None = Non
     return stored.join(now, same, "left_semi").unionByName(current.join(before, same, "left_anti"), allowMissingColumns=True)
 
 
+def run_to_merge(sizes: list[int], fanout: int = FANOUT) -> int | None:
+    """Where the run of last segments starts that should become one; None if there are too few of like size."""
+    start, total = len(sizes), 0
+    for at in reversed(range(len(sizes))):
+        if total and sizes[at] > fanout * total:
+            break
+        start, total = at, total + sizes[at]
+    return start if len(sizes) - start >= fanout else None
+
+
+class Conflict(RuntimeError):
+    """Another build has committed meanwhile; running this one again is safe."""
+
+
 class Store:
-    """Generations of a units table, with the model's name and width."""
+    """Segments of a units table with their postings, and the model's name and width."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list[int]:
+        """Numbers of the commits there are, lowest first: two at most stay, and those of running builds."""
+        fs, where = self._fs(), self._path(f"{self.root}/commits")
+        names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n[0].isdigit() and n.endswith(".json"))
 
     def meta(self) -> dict | None:
-        fs, where = self._fs(f"{self.root}/current.json")
-        if not fs.exists(where):
+        numbers = self._commits()
+        if not numbers:
             return None
-        found = json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first().value)
+        found = json.loads(self.spark.read.text(f"{self.root}/commits/{numbers[-1]:012d}.json", wholetext=True).first().value)
         if found["schema_version"] > SCHEMA_VERSION:
             raise IndexStale("the index is of a newer version")
         return found
 
-    def units(self) -> DataFrame | None:
-        """The current generation; None if there is none or it is of an older version."""
+    def _segments(self) -> list[dict] | None:
+        """Those of the last commit, oldest first; None if there is none or it is of an older version."""
         found = self.meta()
-        if not found or found["schema_version"] < SCHEMA_VERSION:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{found['generation']}")
+        return found["segments"] if found and found["schema_version"] == SCHEMA_VERSION else None
+
+    def _units(self, segments: list[dict]) -> DataFrame:
+        removing = [s for s in segments if s["removed"] and s["seq"] > segments[0]["seq"]]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (self.spark.read.parquet(f"{self.root}/{s['name']}/units").withColumn("_segment", F.lit(s["seq"])) for s in segments))
+        if removing:
+            read = reduce(DataFrame.union, (self.spark.read.parquet(f"{self.root}/{s['name']}/removed").select(*KEY, F.lit(s["seq"]).alias("_until")) for s in removing))
+            gone = read.groupBy(*KEY).agg(F.max("_until").alias("_until"))
+            gone = F.broadcast(gone) if sum(s["removed"] for s in removing) <= BROADCAST_DEAD else gone
+            rows = rows.alias("u").join(gone.alias("g"), [F.col(f"u.{c}") == F.col(f"g.{c}") for c in KEY] + [F.col("_segment") < F.col("_until")], "left_anti")
+        return rows.drop("_segment")
+
+    def units(self) -> DataFrame | None:
+        """The rows of the last commit; None if there is none or it is of an older version."""
+        segments = self._segments()
+        return None if segments is None else self._units(segments)
+
+    def _postings(self, segments: list[dict]) -> Postings:
+        return Postings(self.spark, segments=[Segment(f"{self.root}/{s['name']}/lexical", s["seq"], s["removed"]) for s in segments])
 
     def lexical(self) -> Postings | None:
-        """Postings of the current generation, over passages and concept ids; their ids are unit_id()."""
-        found = self.meta()
-        if not found or found["schema_version"] < SCHEMA_VERSION:
-            return None
-        path = f"{self.root}/{found['generation']}-lexical"
-        fs, where = self._fs(path)
-        return Postings(self.spark, path) if fs.exists(where) else None
+        """Postings of the last commit, over passages and concept ids; their ids are unit_id()."""
+        segments = self._segments()
+        return self._postings(segments) if segments and all(s["lexical"] for s in segments) else None
 
     def search(self, query: str, k: int, vector: list[float] | None = None, where: Filter | None = None) -> DataFrame:
-        """(id, score): hybrid search in the current generation, whose units have the vectors in `embedding`."""
+        """(id, score): hybrid search in the last commit, whose units have the vectors in `embedding`."""
         found = self.meta()
         index = self.lexical()
         if found is None or index is None:
@@ -110,49 +153,109 @@ class Store:
         found, units = self.meta(), self.units()
         if units is None:
             raise IndexStale("there is no index: build it")
-        return self.commit(units.join(concepts.select(*(key or KEY)).distinct(), key or KEY, "left_anti"), found["model_id"], found["width"])
+        gone = units.join(concepts.select(*(key or KEY)).distinct(), key or KEY, "left_semi")
+        return self._commit(found, found["segments"], units.limit(0), gone, found["model_id"], found["width"])
 
     def clear(self) -> None:
-        """Commit an empty generation of the same model."""
+        """Commit an index without rows, of the same model."""
         found, units = self.meta(), self.units()
         if units is not None:
-            self.commit(units.limit(0), found["model_id"], found["width"])
+            self._commit(found, [], units.limit(0), None, found["model_id"], found["width"])
 
     def commit(self, units: DataFrame, model_id: str, width: int) -> dict:
-        found = self.meta()
-        number = 1 + int(found["generation"].split("-")[1]) if found else 1
-        name = f"generation-{number}"
-        before = self.lexical()
-        units.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        if {"passage", "ordinal", *KEY} <= set(units.columns):
-            written = self.spark.read.parquet(f"{self.root}/{name}").withColumn("unit", unit_id())
-            Postings.build(written, f"{self.root}/{name}-lexical", id_col="unit", text_cols=("passage", "concept_id"), previous=before)
-        meta = {"schema_version": SCHEMA_VERSION, "generation": name, "model_id": model_id, "width": width}
-        fs, where = self._fs(f"{self.root}/next.json")
-        out = fs.create(where, True)
+        """Commit exactly these units, as one segment."""
+        return self._commit(self.meta(), [], units, None, model_id, width)
+
+    def _commit(self, before: dict | None, segments: list[dict], fresh: DataFrame, gone: DataFrame | None, model_id: str, width: int) -> dict:
+        """Commit `segments` without the units `gone`, and with `fresh` in a segment of their own."""
+        number = 1 + max([before["number"] if before else 0, *self._commits()])
+        segments = [*segments, self._write(number, fresh, gone)]
+        start = run_to_merge([s["rows"] + s["removed"] for s in segments])
+        if start is not None:
+            segments = [*segments[:start], self._merged(number, segments[start:], start == 0)]
+        meta = {"schema_version": SCHEMA_VERSION, "number": number, "model_id": model_id, "width": width, "segments": segments}
+        self._put(meta)
+        self._tidy(number)
+        return meta
+
+    def _described(self, name: str, seq: int, removed: int, columns: list[str]) -> dict:
+        rows = self.spark.read.parquet(f"{self.root}/{name}/units").count()
+        return {"name": name, "seq": seq, "rows": rows, "removed": removed, "lexical": {"passage", "ordinal", *KEY} <= set(columns)}
+
+    def _write(self, number: int, fresh: DataFrame, gone: DataFrame | None) -> dict:
+        name = f"segment-{number:012d}-{uuid.uuid4().hex[:8]}"
+        path, removed = f"{self.root}/{name}", 0
+        fresh.write.parquet(f"{path}/units")
+        written = self.spark.read.schema(fresh.schema).parquet(f"{path}/units")
+        if gone is not None:
+            gone = saved(gone, "index-gone")
+            gone.select(*KEY).distinct().write.parquet(f"{path}/removed")
+            removed = gone.count()
+        if {"passage", "ordinal", *KEY} <= set(fresh.columns):
+            lost = gone.withColumn("unit", unit_id()) if removed else None
+            Postings.build(written.withColumn("unit", unit_id()), f"{path}/lexical", id_col="unit", text_cols=("passage", "concept_id"), gone=lost)
+        return self._described(name, number, removed, fresh.columns)
+
+    def _merged(self, number: int, run: list[dict], first: bool) -> dict:
+        name = f"segment-{number:012d}-{uuid.uuid4().hex[:8]}"
+        path, removed = f"{self.root}/{name}", 0
+        units = self._units(run)
+        units.repartition(max(1, -(-sum(s["rows"] for s in run) // FILE_ROWS))).write.parquet(f"{path}/units")
+        if not first and any(s["removed"] for s in run):
+            gone = reduce(DataFrame.union, (self.spark.read.parquet(f"{self.root}/{s['name']}/removed") for s in run if s["removed"])).distinct()
+            gone.write.parquet(f"{path}/removed")
+            removed = sum(s["removed"] for s in run)
+        if all(s["lexical"] for s in run):
+            Postings.merge(self._postings(run), f"{path}/lexical", first)
+        return self._described(name, number, removed, units.columns)
+
+    def _put(self, meta: dict) -> None:
+        """The commit's file is written aside and renamed to a name that must be free."""
+        jvm, fs = self.spark._jvm, self._fs()
+        target, aside = self._path(f"{self.root}/commits/{meta['number']:012d}.json"), self._path(f"{self.root}/commits/_{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        current = self._fs(f"{self.root}/current.json")[1]
-        fs.delete(current, False)
-        fs.rename(where, current)
-        return meta
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+        except Exception as e:
+            fs.delete(aside, False)
+            raise Conflict(f"commit {meta['number']} is there already") from e
+
+    def _tidy(self, number: int) -> None:
+        """Delete commits before the last but one, and segments that neither of these two names (readers of the last but one go on)."""
+        fs = self._fs()
+        kept = [n for n in self._commits() if n <= number][-2:]
+        named = {s["name"] for n in kept for s in json.loads(self.spark.read.text(f"{self.root}/commits/{n:012d}.json", wholetext=True).first().value).get("segments", [])}
+        for n in self._commits():
+            if n < kept[0]:
+                fs.delete(self._path(f"{self.root}/commits/{n:012d}.json"), False)
+        for f in fs.listStatus(self._path(self.root)):
+            name = f.getPath().getName()
+            if name.startswith("segment-") and int(name.split("-")[1]) <= number and name not in named:
+                fs.delete(f.getPath(), True)
 
     def build(self, current: DataFrame, model_id: str, width: int, key: list[str] | None = None) -> dict:
         """Reconcile with `current` (passages with key and text_hash) and commit; returns a report.
 
-        Another model, or units of an unknown one, rebuild everything. Running it again changes nothing."""
+        What is written is in proportion to what is new, changed or removed. Another model, or units of an
+        unknown one, rebuild everything. Running it again changes nothing."""
         key = key or KEY
-        before, meta = self.units(), self.meta()
+        meta, before = self.meta(), self.units()
         rebuilt = before is not None and (meta["model_id"], meta["width"]) != (model_id, width)
-        hashes = saved(current.select(*key, "text_hash").distinct(), "index-hashes")
         if before is None or rebuilt:
-            counts, after = {"added": hashes.count()}, current
+            counts = {"added": current.select(*key, "text_hash").distinct().count()}
+            self._commit(meta, [], current, None, model_id, width)
         else:
-            states = staleness(before.select(*key, "text_hash").distinct(), hashes, key)
+            states = saved(staleness(before.select(*key, "text_hash").distinct(), current.select(*key, "text_hash").distinct(), key).where("state <> 'unchanged'"), "index-states")
             counts = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
-            after = reconcile(before, current, key)
-        if rebuilt or before is None or set(counts) - {"unchanged"}:
-            self.commit(after, model_id, width)
+            counts["unchanged"] = before.select(*key).distinct().count() - counts.get("changed", 0) - counts.get("removed", 0)
+            some = F.broadcast(states) if sum(counts.values()) - counts["unchanged"] <= BROADCAST_DEAD else states
+            if set(counts) - {"unchanged"}:
+                fresh = current.join(some.where("state <> 'removed'").select(*key), key, "left_semi")
+                gone = before.join(some.where("state <> 'added'").select(*key), key, "left_semi")
+                self._commit(meta, meta["segments"], fresh, gone, model_id, width)
         return {"rebuilt": rebuilt, "upserted": counts.get("added", 0) + counts.get("changed", 0), "removed": counts.get("removed", 0), "unchanged": counts.get("unchanged", 0), "model_id": model_id}
 
     def check_width(self, width: int) -> None:

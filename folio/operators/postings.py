@@ -1,108 +1,236 @@
-"""The lexical index: postings by term in a folder, so that a query reads the rows of its terms only.
+"""The lexical index: immutable segments of postings, with bounds by block, so that a query reads little.
 
-`docs` holds a row for each document with its length, facets and hash; `postings` (id, term, f, size)
-and `terms` (term, df) lie in folders by a bucket of the term's hash, in order of term, so a query for
-a few terms opens few folders and skips most of their row groups. A new generation is written beside
-the old one, and postings of unchanged documents are taken over without reading their texts again.
+A segment is a folder: `docs` (a row a document: length, facets, hash), `postings` (id, term, f, size,
+range), `terms` (term, its change of document frequency), `bounds`, `totals` and `dead`. Postings lie in
+folders by a bucket of the term's hash, in order of term and range, so a query for a few terms opens few
+folders and skips most of their row groups. Buckets and tasks follow the number of postings.
 
-A bucket is split by a hash of the id when it is written, so a word that every document has is no
-single task's work.
+Ranges are about RANGE_DOCS documents of like length. For each term of at least HEAVY documents and each
+range, `bounds` has the pairs (f, size) that no other document of the range beats in both, so the best
+score that a range can reach is known without its postings, for any statistics.
+
+A later segment names the documents that it removes from earlier ones (`dead`) and takes their terms out
+of the statistics, so frequencies and lengths are exact over all segments, and nothing old is rewritten.
+Segments are merged by their rows: dead ones go, lengths and terms are not computed again.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.storage import discard, saved
+from folio.storage import discard, save
 
-BUCKETS = 64
-#: Parts of a bucket, by the ids' hash.
+RANGE_DOCS = 16
+HEAVY = 64
+#: Postings that a writing task gets on average; buckets at most, parts of a bucket at least (by the ranges' hash).
+TASK_POSTINGS = 500_000
+BUCKETS = 4096
 PARTS = 4
+#: Ids of dead documents, terms, or ranges up to which they are broadcast; beyond it they are joined by shuffle.
+BROADCAST_DEAD = 1_000_000
+BROADCAST_TERMS = 500_000
+BROADCAST_RANGES = 1_000_000
 FACETS = ("namespace", "book", "type", "tags", "language", "category")
 
 
-def bucket_of(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
-def buckets_of(terms: list[str]) -> list[int]:
-    return sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+def buckets_of(terms: list[str], buckets: int) -> list[int]:
+    return sorted({zlib.crc32(t.encode()) % buckets for t in terms})
 
 
-class Postings:
-    """A generation of the index below `path`."""
+def layout(postings: int) -> tuple[int, int]:
+    """(buckets, parts of each) of so many postings."""
+    tasks = -(-postings // TASK_POSTINGS)
+    if tasks <= 1:
+        return 1, 1
+    buckets = min(BUCKETS, 1 << max(0, math.ceil(math.log2(tasks / PARTS))))
+    return buckets, max(PARTS, -(-tasks // buckets))
+
+
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """rows with size and counts (array of term, f) for _text; counted within each row, so without a shuffle."""
+    sorted_ = rows.withColumn("_sorted", F.sort_array(text.terms(F.coalesce("_text", F.lit("")))))
+    sized = sorted_.withColumn("size", F.size("_sorted"))
+    new = lambda i: (i == 1) | (F.get("_sorted", i - 1) != F.get("_sorted", i - 2))
+    starts = F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(1), F.col("size")), new)).otherwise(F.array().cast("array<int>"))
+    cut = sized.withColumn("_starts", starts)
+    counts = F.transform("_starts", lambda x, i: F.struct(F.get("_sorted", x - 1).alias("term"), (F.coalesce(F.get("_starts", i + 1), F.col("size") + 1) - x).cast("long").alias("f")))
+    return cut.withColumn("counts", counts).drop("_sorted", "_starts")
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def _size_class(size: Column) -> Column:
+    """Eight classes to each doubling of a length: 250 at most."""
+    return F.floor(F.log2(size + 1.0) * 8).cast("long")
 
-    def _read(self, name: str, schema: str | None = None) -> DataFrame:
-        read = self.spark.read.schema(schema) if schema else self.spark.read
-        return read.parquet(f"{self.path}/{name}")
+
+@dataclass(frozen=True)
+class Segment:
+    path: str
+    #: Place in the order of segments: removes from those of smaller numbers.
+    seq: int = 0
+    #: Ids that it removes.
+    dead: int = 0
+
+
+class Postings:
+    """The index of one segment below `path`, or of several."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, segments: list[Segment] | None = None):
+        self.spark = spark
+        self.segments = sorted(segments or [Segment(path.rstrip("/"))], key=lambda s: s.seq)
+
+    @cached_property
+    def _facts(self) -> dict[int, tuple[int, int, int]]:
+        """By segment: its change of the number of documents and words, and its buckets."""
+        read = [self.spark.read.schema("n long, words long, buckets int").parquet(f"{s.path}/totals").withColumn("seq", F.lit(s.seq)) for s in self.segments]
+        return {r.seq: (r.n, r.words, r.buckets) for r in reduce(DataFrame.unionByName, read).collect()}
+
+    @cached_property
+    def _id_type(self) -> str:
+        return dict(self.spark.read.parquet(f"{self.segments[0].path}/docs").dtypes)["id"]
+
+    def _read(self, name: str, schema: str | None = None, terms: list[str] | None = None) -> DataFrame:
+        """All segments' rows, with the segment; terms: only the buckets of these are read."""
+        out = []
+        for s in self.segments:
+            rows = (self.spark.read.schema(schema) if schema else self.spark.read).parquet(f"{s.path}/{name}")
+            if terms is not None:
+                rows = rows.where(F.col("bucket").isin(buckets_of(terms, self._facts[s.seq][2])) & F.col("term").isin(terms))
+            out.append(rows.withColumn("segment", F.lit(s.seq)))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """rows (id, segment) whose document no later segment removes."""
+        removing = [s for s in self.segments if s.dead and s.seq > self.segments[0].seq]
+        if not removing:
+            return rows
+        read = [self.spark.read.schema(f"id {self._id_type}").parquet(f"{s.path}/dead").select("id", F.lit(s.seq).alias("_until")) for s in removing]
+        dead = reduce(DataFrame.union, read).groupBy("id").agg(F.max("_until").alias("_until")).withColumnRenamed("id", "_id")
+        dead = F.broadcast(dead) if sum(s.dead for s in removing) <= BROADCAST_DEAD else dead
+        return rows.join(dead, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("_until")), "left_anti")
 
     @property
     def docs(self) -> DataFrame:
-        return self._read("docs")
+        return self._alive(self._read("docs"))
 
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", f"id {dict(self.docs.dtypes)['id']}, term string, f long, size int, bucket int")
+        return self._alive(self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int"))
 
     @property
     def terms(self) -> DataFrame:
-        return self._read("terms", "term string, df long, bucket int")
+        """(term, df) over all segments."""
+        rows = self._read("terms", "term string, df long, own long, bucket int")
+        return rows.select("term", "df") if len(self.segments) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def totals(self) -> tuple[int, float]:
         """(documents, their mean length in terms)"""
-        row = self._read("totals", "n long, words long").first()
-        return row.n, (row.words or 0) / max(row.n, 1)
+        n, words = (sum(f[i] for f in self._facts.values()) for i in (0, 1))
+        return n, words / max(n, 1)
+
+    def of(self, wanted: list[str], ranges: DataFrame | None = None) -> DataFrame:
+        """Postings of these terms; with ranges (segment, range) those of these ranges."""
+        found = self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int", wanted)
+        if ranges is not None:
+            # of like lengths, so mostly neighbours: the scan skips what lies outside their span
+            span = ranges.agg(F.min("range").alias("low"), F.max("range").alias("high"), F.count("*").alias("n")).first()
+            few = F.broadcast(ranges.select("segment", "range")) if span.n <= BROADCAST_RANGES else ranges.select("segment", "range")
+            found = found.where(F.col("range").between(span.low or 0, span.high or 0)).join(few, ["segment", "range"], "left_semi")
+        return self._alive(found)
+
+    def bounds(self, wanted: list[str]) -> DataFrame:
+        """(segment, range, term, f, size): pairs that bound the scores of each range; of terms without bounds all postings."""
+        heavy = self._read("bounds", "term string, range long, front array<struct<f: long, size: int>>, bucket int", wanted).select("segment", "range", "term", F.inline("front"))
+        held = self._read("terms", "term string, df long, own long, bucket int", wanted).where(F.col("own") < HEAVY).select("segment", "term")
+        light = self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int", wanted).join(F.broadcast(held), ["segment", "term"], "left_semi")
+        return heavy.unionByName(light.select("segment", "range", "term", "f", "size"))
 
-    def _write(self, docs: DataFrame, postings: DataFrame) -> None:
-        docs.write.mode("overwrite").parquet(f"{self.path}/docs")
-        self.docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
-        dealt = postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).repartition(BUCKETS * PARTS, "bucket", "part").drop("part")
-        dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        counts = self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df")).select("term", "df", "bucket")
-        counts.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+    def frequencies(self, wanted: list[str]) -> dict[str, int]:
+        """Documents that hold each term: a row for each of a query's few terms."""
+        rows = self._read("terms", "term string, df long, own long, bucket int", wanted).groupBy("term").agg(F.sum("df").alias("df"))
+        return {r.term: r.df for r in rows.collect()}
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_cols: tuple[str, ...] = ("text",), previous: Postings | None = None) -> Postings:
-        """The index of docs below path; text_cols: the fields that are searched, as one text.
+    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_cols: tuple[str, ...] = ("text",), gone: DataFrame | None = None) -> Postings:
+        """A segment of docs below path; text_cols: the fields that are searched, as one text.
 
-        With a previous generation only documents whose text is new or changed are read into terms."""
-        own = cls(docs.sparkSession, path)
+        gone: documents of earlier segments that it removes, with the same columns."""
         facets = [c for c in FACETS if c in docs.columns]
         whole = F.concat_ws(" ", *(F.col(c) for c in text_cols))
-        rows = docs.select(F.col(id_col).alias("id"), *facets, whole.alias("_text"))
-        described = lambda some: some.select("id", *facets, F.size(text.terms(F.col("_text"))).alias("size"), F.sha2("_text", 256).alias("text_hash"))
-        if previous is None:
-            own._write(described(rows), cls._postings(rows))
-            return own
-        before = previous.docs.select("id", "size", F.col("text_hash").alias("_old"))
-        same = saved(rows.select("id", F.sha2("_text", 256).alias("text_hash")).join(before, "id").where("text_hash = _old").select("id", "size", "text_hash"), "postings-same")
-        fresh = rows.join(same.select("id"), "id", "left_anti")
-        kept = previous.postings.join(same.select("id"), "id", "left_semi")
-        own._write(described(fresh).unionByName(rows.select("id", *facets).join(same, "id")), cls._postings(fresh).unionByName(kept))
+        staged, at = save(counted_terms(docs.select(F.col(id_col).alias("id"), *facets, whole.alias("_text"))).withColumn("text_hash", F.sha2("_text", 256)).drop("_text"), "postings-staged")
+        lost = None
+        if gone is not None:
+            lost, lost_at = save(counted_terms(gone.select(F.col(id_col).alias("id"), whole.alias("_text"))).drop("_text"), "postings-gone")
+        own = cls(docs.sparkSession, path)
+        postings = staged.select("id", "size", F.explode("counts").alias("c")).select("id", "c.term", "c.f", "size")
+        minus = None if lost is None else lost.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        own._write(staged.drop("counts"), postings, minus, lost)
+        discard(docs.sparkSession, at, *([] if gone is None else [lost_at]))
         return own
 
-    @staticmethod
-    def _postings(rows: DataFrame) -> DataFrame:
-        """(id, term, f, size, bucket), counted by each task first: a document's terms lie in one task."""
-        split = rows.select("id", text.terms(F.col("_text")).alias("_terms")).select("id", F.size("_terms").alias("size"), F.explode("_terms").alias("term"))
-        counted = split.groupBy("id", "term", "size").agg(F.count("*").alias("f"))
-        return counted.select("id", "term", "f", "size", bucket_of(F.col("term")).alias("bucket"))
-
-    def of(self, wanted: list[str]) -> DataFrame:
-        """Postings of these terms."""
-        return self.postings.where(F.col("bucket").isin(buckets_of(wanted)) & F.col("term").isin(wanted))
+    @classmethod
+    def merge(cls, index: Postings, path: str, first: bool) -> Postings:
+        """One segment of all of index's; first: there is none before them, so what they remove is settled."""
+        own = cls(index.spark, path)
+        changes = index._read("terms", "term string, df long, own long, bucket int").groupBy("term").agg(F.sum("df").alias("df"))
+        n, words = (sum(f[i] for f in index._facts.values()) for i in (0, 1))
+        removed = None
+        if not first and any(s.dead for s in index.segments):
+            removed = reduce(DataFrame.union, [index.spark.read.schema(f"id {index._id_type}").parquet(f"{s.path}/dead") for s in index.segments if s.dead]).distinct()
+        own._write(index.docs.drop("segment", "range"), index.postings.select("id", "term", "f", "size"), None, removed, changes, (n, words))
+        return own
 
-    def frequencies(self, wanted: list[str]) -> dict[str, int]:
-        """Documents that hold each term: a row for each of a query's few terms."""
-        rows = self.terms.where(F.col("bucket").isin(buckets_of(wanted)) & F.col("term").isin(wanted))
-        return {r.term: r.df for r in rows.select("term", "df").collect()}
+    def _write(self, docs: DataFrame, postings: DataFrame, minus: DataFrame | None, dead: DataFrame | None, changes: DataFrame | None = None, totals: tuple[int, int] | None = None) -> None:
+        """docs: id, size, facets, text_hash; postings: id, term, f, size; minus: (term, df) of dead documents; changes and totals: known statistics."""
+        path, read = self.segments[0].path, self.spark.read
+        classes = docs.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
+        n, words = sum(r.n for r in classes), sum(r.words or 0 for r in classes)
+        buckets, parts = layout(words)
+        ranges = F.create_map(*(F.lit(x) for r in classes for x in (r.c, -(-r.n // RANGE_DOCS)))) if classes else F.create_map(F.lit(0).cast("long"), F.lit(1))
+        own_class = _size_class(F.col("size"))
+        range_ = F.shiftleft(own_class, 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(ranges, own_class), F.lit(1)).cast("long"))
+        ranged = docs.withColumn("range", range_)
+        tasks = max(1, -(-n // 500_000))
+        ranged.repartitionByRange(tasks, "range", "id").sortWithinPartitions("range", "id").write.mode("overwrite").parquet(f"{path}/docs")
+        dealt = postings.withColumn("range", range_).withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("range"), F.lit(parts)))
+        dealt = dealt.repartition(buckets * parts, "bucket", "part").drop("part").select("id", "term", "f", "size", "range", "bucket")
+        dealt.sortWithinPartitions("bucket", "term", "range", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        written = read.schema(f"id {dict(docs.dtypes)['id']}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
+        counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
+        plus = counts.select("term", F.col("own").alias("df"), "own")
+        if changes is not None:
+            change = changes.withColumn("own", F.lit(0).cast("long")).unionByName(plus.withColumn("df", F.lit(0).cast("long")))
+        else:
+            change = plus if minus is None else plus.unionByName(minus.select("term", (-F.col("df")).alias("df"), F.lit(0).cast("long").alias("own")))
+        if changes is not None or minus is not None:
+            change = change.groupBy("term").agg(F.sum("df").alias("df"), F.sum("own").alias("own")).where("df <> 0 OR own <> 0")
+        change = change.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket")
+        change.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        heavy = read.schema("term string, df long, own long, bucket int").parquet(f"{path}/terms").where(F.col("own") >= HEAVY).select("bucket", "term")
+        heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_TERMS else heavy
+        pairs = written.join(heavy, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "range").agg(F.collect_set(F.struct("f", "size")).alias("p"))
+        beaten = lambda x: F.exists("p", lambda y: (y["f"] >= x["f"]) & (y["size"] <= x["size"]) & ((y["f"] > x["f"]) | (y["size"] < x["size"])))
+        front = pairs.select("term", "range", F.filter("p", lambda x: ~beaten(x)).alias("front"), "bucket")
+        front.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
+        lost_n, lost_words = 0, 0
+        if dead is not None:
+            dead.select("id").coalesce(max(1, -(-n // 500_000))).write.mode("overwrite").parquet(f"{path}/dead")
+            if totals is None:
+                row = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+                lost_n, lost_words = row.n, row.words
+        sums = totals or (n - lost_n, words - lost_words)
+        self.spark.range(1).select(F.lit(sums[0]).cast("long").alias("n"), F.lit(sums[1]).cast("long").alias("words"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+        self.__dict__.pop("_facts", None)
 
     def drop(self) -> None:
-        discard(self.spark, self.path)
+        discard(self.spark, *(s.path for s in self.segments))

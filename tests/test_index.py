@@ -31,8 +31,8 @@ def test_store_is_incremental_idempotent_and_rebuilds_for_another_model(spark, t
     store = index.Store(spark, str(tmp_path / "ix"))
     first = units(spark, ("a", 0, "one"), ("b", 0, "two"), ("b", 1, "more"))
     assert store.build(first, "m", 4) == {"rebuilt": False, "upserted": 2, "removed": 0, "unchanged": 0, "model_id": "m"}
-    generation = store.meta()["generation"]
-    assert store.build(first, "m", 4)["unchanged"] == 2 and store.meta()["generation"] == generation
+    number = store.meta()["number"]
+    assert store.build(first, "m", 4)["unchanged"] == 2 and store.meta()["number"] == number
     report = store.build(units(spark, ("b", 0, "two"), ("b", 1, "more"), ("c", 0, "x")), "m", 4)
     assert (report["upserted"], report["removed"], report["unchanged"]) == (1, 1, 1)
     assert {(r.concept_id, r.passage) for r in store.units().collect()} == {("b", "two"), ("b", "more"), ("c", "x")}
@@ -42,6 +42,61 @@ def test_store_is_incremental_idempotent_and_rebuilds_for_another_model(spark, t
         store.check_width(5)
 
 
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def test_what_is_written_follows_what_changes(spark, tmp_path):
+    """One of 10,000 concepts: under a hundredth of the bytes."""
+    store, root = index.Store(spark, str(tmp_path / "ix")), tmp_path / "ix"
+    made = spark.range(10_000).select(F.lit("b").alias("book"), F.lit("document").alias("namespace"), F.col("id").cast("string").alias("concept_id"), F.lit(0).alias("ordinal"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i) % 5000)), " ").alias("passage"))
+    hashed = lambda df: df.withColumn("text_hash", F.sha2("passage", 256))
+    store.build(hashed(made), "m", 0)
+    whole = size_of(root)
+    changed = made.withColumn("passage", F.when(F.col("concept_id") == "77", "entirely new words").otherwise(F.col("passage")))
+    report = store.build(hashed(changed), "m", 0)
+    assert (report["upserted"], report["removed"], report["unchanged"]) == (1, 0, 9999)
+    assert size_of(root) - whole < whole / 100
+    assert [r.id for r in store.search("entirely", 3).collect()] == ["b/document/77#0"]
+    assert store.units().count() == 10_000 == store.lexical().docs.count()
+
+
+def test_many_builds_equal_the_last_state(spark, tmp_path):
+    """Segments are merged on the way; every commit equals a build of its state alone."""
+    store, merged = index.Store(spark, str(tmp_path / "ix")), 0
+    for step in range(9):
+        state = [(f"c{i}", 0, f"word{i} common step{step if i == step % 4 else i}") for i in range(6) if (i + step) % 5]
+        now = units(spark, *state)
+        store.build(now, "m", 0)
+        segments = store.meta()["segments"]
+        merged += len(segments) == 1 and step > 0
+        assert len(segments) < 8 and sorted(r.passage for r in store.units().collect()) == sorted(t for _, _, t in state)
+        if step in (2, 5, 8):
+            alone = index.Store(spark, str(tmp_path / f"alone{step}"))
+            alone.build(now, "m", 0)
+            one, other = store.lexical(), alone.lexical()
+            assert one.totals() == other.totals() and sorted(map(tuple, one.terms.collect())) == sorted(map(tuple, other.terms.collect()))
+            assert store.search("common step2 word3", 4).collect() == alone.search("common step2 word3", 4).collect()
+    assert merged and len(list((tmp_path / "ix" / "commits").glob("*.json"))) == 2
+    named = {s["name"] for s in store.meta()["segments"]}
+    assert named <= {p.name for p in (tmp_path / "ix").iterdir()}
+
+
+def test_runs_to_merge():
+    assert index.run_to_merge([10_000, 1, 1, 1]) is None and index.run_to_merge([10_000, 1, 1, 1, 1]) == 1
+    assert index.run_to_merge([9, 3, 2, 1]) == 0 and index.run_to_merge([100, 4, 1, 1]) is None and index.run_to_merge([]) is None
+
+
+def test_a_commit_is_never_replaced(spark, tmp_path):
+    store = index.Store(spark, str(tmp_path / "ix"))
+    store.build(units(spark, ("a", 0, "one")), "m", 0)
+    held = store.meta()
+    with pytest.raises(index.Conflict):
+        store._put(held)
+    (tmp_path / "ix" / "commits" / "_half").write_text("{")
+    assert store.meta() == held
+
+
 def test_stream_folds_batches_and_survives_a_restart(spark, tmp_path):
     store = index.Store(spark, str(tmp_path / "ix"))
     source = str(tmp_path / "in")

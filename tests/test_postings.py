@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators import embedding, evaluation, index, retrieval
-from folio.operators.postings import Postings
+from folio.operators import embedding, evaluation, index, postings, retrieval
+from folio.operators.postings import Postings, Segment
 from folio.operators.retrieval import Filter
 
 ROWS = [(1, "b1", "document", "alpha beta", ["x"], "en"), (2, "b1", "skill", "alpha alpha gamma Élan", ["y"], None), (3, "b2", "document", "beta gamma delta", [], "de"), (4, "b2", "memory", "", None, "en"), (5, "b3", "memory", None, None, "en")]
@@ -38,22 +40,79 @@ def test_many_queries_agree_with_one_by_one(spark, built):
         assert [(r.id, round(r.score, 9)) for r in sorted((r for r in got if r.query_id == n), key=lambda r: r["rank"])] == want
 
 
-def test_a_query_reads_its_terms_only(built):
-    plan = built.of(["alpha", "beta"])._jdf.queryExecution().toString()
+def test_a_query_reads_its_terms_only(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "TASK_POSTINGS", 2)
+    ix = Postings.build(docs, str(tmp_path / "x"))
+    assert ix._facts[0][2] > 1
+    plan = ix.of(["alpha", "beta"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "[bucket") or "bucket#" in plan
-    assert {r.term for r in built.of(["alpha", "beta"]).collect()} == {"alpha", "beta"}
-
-
-def test_next_generation_takes_over_what_is_unchanged(spark, docs, built, tmp_path):
-    changed = [(1, "b9", "document", "alpha beta", ["x"], "en"), (3, "b2", "document", "beta epsilon", [], "de"), (7, "b2", "document", "alpha", [], "de")]
-    now = spark.createDataFrame(changed, docs.schema)
-    after = Postings.build(now, str(tmp_path / "b"), previous=built)
-    fresh = Postings.build(now, str(tmp_path / "c"))
-    key = lambda df: sorted(map(str, df.collect()))
-    for name in ("postings", "terms"):
-        assert key(getattr(after, name).select(*sorted(getattr(after, name).columns))) == key(getattr(fresh, name).select(*sorted(getattr(fresh, name).columns)))
-    assert after.totals() == fresh.totals() and key(after.docs.select(*fresh.docs.columns)) == key(fresh.docs)
-    assert rows(retrieval.lexical_leg(after, "alpha", 5, Filter(books=["b9"])))[0][0] == 1
+    assert {r.term for r in ix.of(["alpha", "beta"]).collect()} == {"alpha", "beta"}
+
+
+def key(df):
+    return sorted(map(str, df.collect()))
+
+
+def same_index(one, other):
+    for name, columns in (("postings", ["id", "term", "f", "size"]), ("terms", ["term", "df"]), ("docs", ["id", "size", "text_hash", "book", "language"])):
+        assert key(getattr(one, name).select(*columns)) == key(getattr(other, name).select(*columns))
+    assert one.totals() == other.totals()
+
+
+def test_segments_equal_one_built_at_once(spark, docs, built, tmp_path):
+    """Document 1 gets another facet, 3 another text, 2 goes, 7 comes; then 3 changes again."""
+    second = spark.createDataFrame([(1, "b9", "document", "alpha beta", ["x"], "en"), (3, "b2", "document", "beta epsilon", [], "de"), (7, "b2", "document", "alpha", [], "de")], docs.schema)
+    third = spark.createDataFrame([(3, "b2", "document", "beta beta gamma", [], "de")], docs.schema)
+    Postings.build(second, str(tmp_path / "b"), gone=docs.where("id < 4"))
+    Postings.build(third, str(tmp_path / "c"), gone=second.where("id = 3"))
+    parts = [Segment(built.segments[0].path, 0), Segment(str(tmp_path / "b"), 1, 3), Segment(str(tmp_path / "c"), 2, 1)]
+    now = docs.where("id > 3").union(second.where("id <> 3")).union(third)
+    fresh = Postings.build(now, str(tmp_path / "d"))
+    several = Postings(spark, segments=parts)
+    same_index(several, fresh)
+    same_index(Postings.merge(several, str(tmp_path / "e"), True), fresh)
+    late = Postings.merge(Postings(spark, segments=parts[1:]), str(tmp_path / "f"), False)
+    same_index(Postings(spark, segments=[parts[0], Segment(late.segments[0].path, 2, 4)]), fresh)
+    for query in ("alpha", "beta gamma", "epsilon", "gamma gamma elan"):
+        for where in (None, Filter(books=["b9", "b2"])):
+            assert rows(retrieval.indexed_leg(several, query, 5, where, 0)) == rows(retrieval.lexical_leg(fresh, query, 5, where))
+
+
+def test_counts_within_rows(spark):
+    rows_ = spark.createDataFrame([(1, "b a B c a a"), (2, ""), (3, None), (4, "x")], "id long, _text string")
+    got = {r.id: (r.size, sorted(map(tuple, r.counts))) for r in postings.counted_terms(rows_).collect()}
+    assert got == {1: (6, [("a", 3), ("b", 2), ("c", 1)]), 2: (0, []), 3: (0, []), 4: (1, [("x", 1)])}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Documents of a third of the words of one, with frequent and rare terms, ties and copies."""
+    rng = random.Random(3)
+    made = [(i, f"b{i % 3}", "document", " ".join(rng.choice(["the"] * 6 + ["of"] * 4 + ["a"] * 3 + [f"w{rng.randrange(400)}"] * 4) for _ in range(rng.choice([5, 5, 40, 200]))), ["x"], "en") for i in range(1500)]
+    made += [(2000 + i, "b1", "document", "the the rare", ["x"], "en") for i in range(60)]
+    df = spark.createDataFrame(made, "id long, book string, namespace string, text string, tags array<string>, language string")
+    return df, Postings.build(df, str(tmp_path_factory.mktemp("ix") / "c"))
+
+
+@pytest.mark.parametrize("query", ["the", "of a", "the of w7", "rare", "the rare w3 w4 w5", "nothing"])
+@pytest.mark.parametrize("where", [None, Filter(books=["b1"]), Filter(books=["none"])])
+def test_ranges_give_the_same_rows(corpus, query, where):
+    df, ix = corpus
+    for k in (1, 10, 100):
+        got = rows(retrieval.indexed_leg(ix, query, k, where, direct=0))
+        assert got == rows(retrieval.indexed_leg(ix, query, k, where, direct=1 << 60))
+    assert got == rows(retrieval.lexical_leg(df, query, k, where))
+
+
+def test_ranges_read_far_less(corpus):
+    _, ix = corpus
+    every, read = retrieval.postings_read(ix, "the", 10)
+    assert read * 4 < every
+
+
+def test_layout_follows_the_size():
+    assert postings.layout(0) == postings.layout(400_000) == (1, 1)
+    assert all(b * p * postings.TASK_POSTINGS >= n and p >= postings.PARTS for n in (10**6, 10**8, 10**10) for b, p in [postings.layout(n)])
 
 
 def test_fields_and_diacritics(spark, tmp_path):
