@@ -128,10 +128,12 @@ def render_markdown(counts: list, duplicate_ids: list) -> str:
 
 def active_books(projects: DataFrame, books: DataFrame) -> DataFrame:
     """(slug, name, version, root, writable): each project's own books, and the global ones (null slug) that
-    aren't among these by name and version."""
+    aren't among these by name and version. Global books are those of one machine; too many raise."""
     kept = ["name", "version", "root", "writable"]
+    if books.where(F.col("slug").isNull()).count() > GLOBAL_BOOKS:
+        raise ValueError(f"over {GLOBAL_BOOKS} global books")
     own = books.where(F.col("slug").isNotNull()).select("slug", *kept)
-    shared = projects.select("slug").distinct().crossJoin(F.broadcast(books.where(F.col("slug").isNull()).select(*kept).limit(GLOBAL_BOOKS)))
+    shared = projects.select("slug").distinct().crossJoin(F.broadcast(books.where(F.col("slug").isNull()).select(*kept)))
     return own.union(shared.join(own.select("slug", "name", "version"), ["slug", "name", "version"], "left_anti").select("slug", *kept))
 
 
@@ -141,8 +143,6 @@ def project_catalog(projects: DataFrame, books: DataFrame, concepts: DataFrame)
     projects: slug, root, root_exists (null root: none was recorded); books: slug, name, version, root,
     writable; concepts: root (of the book), namespace, concept_id. A project whose recorded root is gone
     is stale. hash: the slug's last part if it is the root's, or looks like one where no root is known."""
-    if books.where(F.col("slug").isNull()).count() > GLOBAL_BOOKS:
-        raise ValueError(f"over {GLOBAL_BOOKS} global books")
     active = active_books(projects, books)
     held = active.select("slug", "root", F.col("name").alias("book")).join(concepts, "root")
     counts = namespace_counts(held, "slug")
