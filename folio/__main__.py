@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from folio.operators import calls, catalog, chunking, graph, index, retrieval, review, validation
+from folio.operators import calls, catalog, chunking, embedding, graph, index, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
 from folio.sources import bundle, packages
 
@@ -24,6 +24,11 @@ def _checked(spark, root):
     return rows.withColumn("pattern_ok", rows.pattern.isin(good)), rows
 
 
+def provider(meta: dict) -> embedding.EmbeddingProvider:
+    """What an index's description asks for: hashed vectors of its width, or none."""
+    return embedding.Hashed(meta["width"]) if meta.get("width") else embedding.LexicalOnly()
+
+
 def run(args: argparse.Namespace):
     """A DataFrame, or a value, for one command."""
     spark = session()
@@ -32,6 +37,11 @@ def run(args: argparse.Namespace):
             return validation.violations(_checked(spark, args.root)[0], validation.concept_contracts())
         case "catalog":
             return catalog.namespace_counts(bundle.read_concepts(spark, args.root, args.name))
+        case "search" if args.store:
+            store = index.Store(spark, args.store)
+            hits = store.search(args.query, retrieval.depth(args.k), provider(store.meta() or {}).embed_query(spark, args.query))
+            named = store.units().withColumn("id", index.unit_id()).selectExpr("id", "concept_id", "passage AS text")
+            return retrieval.first_of_each(hits.join(named, "id"), "concept_id", args.k)
         case "search":
             rows = bundle.read_concepts(spark, args.root, "book")
             cut = chunking.passages(rows.withColumnRenamed("concept_id", "id"), description_col="description", budget=args.budget)
@@ -42,7 +52,9 @@ def run(args: argparse.Namespace):
             rows = bundle.read_concepts(spark, args.root, args.name)
             cut = chunking.passages(rows.withColumnRenamed("concept_id", "id"), description_col="description", budget=args.budget).withColumnRenamed("id", "concept_id")
             cut = cut.join(rows.select("concept_id", "book", "namespace"), "concept_id")
-            return index.Store(spark, args.store).build(cut.join(index.concept_hashes(cut), index.KEY), "lexical", 0)
+            model = provider({"width": args.width})
+            units = cut.join(index.concept_hashes(cut), index.KEY)
+            return index.Store(spark, args.store).build(model.embed(units, "passage", "embedding") if args.width else units, model.model_id, model.width)
         case "package":
             return packages.package(args.root, args.target)
         case "symbols":
@@ -84,6 +96,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(o, **({"default": "book"} if o.startswith("--") else {}))
         if name == "search":
             p.add_argument("-k", type=int, default=5)
+            p.add_argument("--store", help="a kept index, instead of cutting and scanning the book")
+        if name == "index":
+            p.add_argument("--width", type=int, default=0, help="of the vectors kept with the passages; 0: none")
         p.add_argument("--budget", type=int, default=1000 if name == "map" else chunking.BUDGET)
     return top
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import context, decision, retrieval
 from folio.operators.chunking import fenced, heading
+from folio.operators.postings import Postings
 
 CANDIDATES = 10
 DEFAULT_K = 8
@@ -33,22 +34,24 @@ def section(body: str, name: str) -> str | None:
     return code[2] if code and "\n```" not in code[2] else said
 
 
-def search_rules(rules: DataFrame, units: DataFrame, query: str, vector: list[float] | None, k: int = DEFAULT_K, where: retrieval.Filter | None = None) -> list[dict]:
+def search_rules(rules: DataFrame, units: DataFrame, query: str, vector: list[float] | None, k: int = DEFAULT_K, where: retrieval.Filter | None = None, index: Postings | None = None) -> list[dict]:
     """The best passage of each rule, best first, with its priority and Good and Bad examples.
 
-    rules: id (of the passage), text, concept_id, priority, body, and the facets."""
-    hits = retrieval.search(rules, units, query, vector, retrieval.depth(k), where)
+    rules: id (of the passage), text, concept_id, priority, body, and the facets; index: kept postings of
+    them, without which their texts are scanned."""
+    hits = retrieval.search(index or rules, units, query, vector, retrieval.depth(k), where)
     named = hits.join(rules.select("id", "concept_id", "priority", "body", F.col("text").alias("passage")), "id")
     top = retrieval.first_of_each(named, "concept_id", k).orderBy("place").collect()
     return [{"concept_id": r.concept_id, "score": r.score, "priority": r.priority, "passage": r.passage, "good": section(r.body or "", "Good"), "bad": section(r.body or "", "Bad")} for r in top]
 
 
-def ask(docs: DataFrame, units: DataFrame, question: str, vector: list[float] | None, provider: decision.DecisionProvider | None = None, k: int = DEFAULT_K, where: retrieval.Filter | None = None) -> dict:
+def ask(docs: DataFrame, units: DataFrame, question: str, vector: list[float] | None, provider: decision.DecisionProvider | None = None, k: int = DEFAULT_K, where: retrieval.Filter | None = None, index: Postings | None = None) -> dict:
     """The concept that answers a question, chosen by the provider among at most ten candidates.
 
     Passages are retrieved first and collapsed to concepts after, so there may be fewer than k. Without a
-    provider, or when it doesn't answer, the best hit stands and the mode says so."""
-    hits = retrieval.search(docs, units, question, vector, k, where)
+    provider, or when it doesn't answer, the best hit stands and the mode says so. index: kept postings of
+    docs, without which their texts are scanned."""
+    hits = retrieval.search(index or docs, units, question, vector, k, where)
     named = hits.join(docs.select("id", "concept_id", F.col("text").alias("passage")), "id")
     found = retrieval.first_of_each(named, "concept_id", CANDIDATES).orderBy("place").collect()
     candidates = [{"concept_id": r.concept_id, "score": r.score, "passage": r.passage} for r in found]

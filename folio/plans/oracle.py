@@ -30,6 +30,10 @@ VEC = """vec AS (
   FROM embeddings ORDER BY score DESC, id LIMIT 32)"""
 
 ORACLE_SQL["bm25_topk"] = f"WITH {DOCS}, {bm25(Q, 32)} SELECT id, round(score, 6) AS score FROM lex"
+ORACLE_SQL["ranges_topk"] = f"WITH {DOCS}, {bm25(['the', 'of', 'and'], 16)} SELECT id, round(score, 6) AS score FROM lex"
+ORACLE_SQL["incremental_search"] = f"""WITH {DOCS.replace('docs AS', 'every AS', 1)},
+docs AS (SELECT coalesce(book, 'none') || '/' || namespace || '/' || concept_id || '#0' AS id, book, language, text, concept_id FROM every WHERE text IS NOT NULL), {bm25(Q, 32)}
+SELECT id, round(score, 6) AS score FROM lex"""
 ORACLE_SQL["knn_l2_topk"] = f"WITH {VEC} SELECT id, round(score, 6) AS score FROM vec"
 ORACLE_SQL["hybrid_rrf"] = f"""WITH {DOCS}, {bm25(Q, 32)}, {VEC},
 legs AS (

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 QUERY = "and the erst onnd thor the"
 GERMAN = "und der einheit"
+FREQUENT = "the of and"
 KS = [1, 5, 10]
 RULES = [
     {"rule_seq": 0, "rule_uri": "book://rules/styleguide/en/words/tion", "label": "tion", "priority": "error", "pattern": "tion\\b"},
@@ -65,6 +66,27 @@ def bm25_topk(spark, sf_dir):
     return _rounded(retrieval.lexical_leg(_lexical(spark, sf_dir), QUERY, 32))
 
 
+@query
+def ranges_topk(spark, sf_dir):
+    """Frequent terms, by ranges that can reach the result, whatever the number of postings."""
+    return _rounded(retrieval.indexed_leg(_lexical(spark, sf_dir), FREQUENT, 16, direct=0))
+
+
+@query
+def incremental_search(spark, sf_dir):
+    """An index built twice: over an older state, then over the table. The older one lacks what `labels` calls
+    bad, has other texts of what it calls toxic, and concepts of `benchmark` that are gone since."""
+    d = documents(spark, sf_dir).where("text IS NOT NULL")
+    passages = lambda rows: rows.select(F.coalesce("book", F.lit("none")).alias("book"), "namespace", "concept_id", F.lit(0).alias("ordinal"), F.col("text").alias("passage"), F.sha2("text", 256).alias("text_hash"))
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic").dropDuplicates(["id"])
+    older = d.join(marks, "id", "left").where("quality IS NULL OR quality <> 0").withColumn("text", F.when(F.col("toxic") == 1, F.reverse("text")).otherwise(F.col("text")))
+    gone = table(spark, sf_dir, "benchmark").select(F.lit("gone").alias("book"), F.lit("memory").alias("namespace"), F.concat(F.lit("memory/b"), "item_id").alias("concept_id"), "text")
+    store = index.Store(spark, new_path(spark, "store"))
+    store.build(passages(older).unionByName(passages(gone)), "lexical", 0)
+    store.build(passages(d), "lexical", 0)
+    return _rounded(retrieval.indexed_leg(store.lexical(), QUERY, 32))
+
+
 @query
 def knn_l2_topk(spark, sf_dir):
     return _rounded(retrieval.vector_leg(_units(spark, sf_dir), _vector(spark, sf_dir), 32))
