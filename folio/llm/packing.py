@@ -11,9 +11,14 @@ the partition's number, so a task that is run again gives the same rows. What is
 when a task ends, less than one capacity a class, is put together in the order of documents and cut at
 the capacity, the last sequences at powers of two, which need no padding.
 
-Words' ids: white space (ASCII) ends every token of such a tokenizer and gives none itself, so texts
-are encoded by the stretches between, and a worker remembers the ids of stretches it has seen. Whole
-texts are encoded, in slices that end at white space; a document's ids (4 bytes each) are held at once.
+Ids: white space (ASCII) ends every token of such a tokenizer and gives none itself, so texts are encoded
+by the stretches between. A worker remembers their ids; a new one is put together from the runs in it that the
+tokenizer's own pattern finds (letters, single digits, marks, contractions), whose ids are remembered, too.
+Stretches beyond Latin letters and ASCII, and those with a special token, are one run and go to the tokenizer. Other
+runs are merged by tiktoken over the same merges, which is several times faster: every token of the file is what
+its own symbols merge to, so merging whatever two neighbours make a token, lowest rank first, gives what
+merging the listed pairs gives. Whole texts are encoded, in slices that end at white space; a document's
+ids (4 bytes each) are held at once.
 
 Edge cases: null text counts as empty and is the end id alone. Repeated rows and null ids are documents
 like others. An empty table gives no rows. Only the two named columns are read, so others can't clash.
@@ -23,10 +28,13 @@ Strings of special tokens inside a text become their ids, as tokenizers does by
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,61 +44,151 @@ from folio.llm.batches import sliced
 CAPACITY = 2048
 SLACK = 32
 END_ID = 1
-#: Stretches that a worker remembers the ids of at most, and bytes of a text that are encoded together.
-REMEMBERED = 300_000
-SLICE_BYTES = 1 << 20
+#: Stretches, and runs, that a worker remembers the ids of at most (about), and bytes of a text that are encoded together.
+REMEMBERED = 400_000
+SLICE_BYTES = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_STRETCH = rb"[^\x20\x09-\x0D]"
+#: Letters up to U+017F but U+0130, whose lower case is two characters; what else is beyond ASCII.
+_LETTERS = rb"(?:[A-Za-z]+|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|\xC5[\x80-\xBF])+"
+_FAR = rb"(?:[\xC2\xC6-\xFF]|\xC3[\x97\xB7]|\xC4\xB0)"
+#: The pattern of the tokenizer's file, for these and ASCII. (Fixed values.)
+_NEAR_RUNS = rb"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|%b|[0-9]|[^A-Za-z0-9\x20\x09-\x0D\x80-\xFF]+" % _LETTERS
+#: Runs of stretches that end with line feeds, and these.
+_RUNS = re.compile(rb"(?<!%b)%b*%b%b*|%b|\n" % (_STRETCH, _STRETCH, _FAR, _STRETCH, _NEAR_RUNS))
+_IS_FAR = re.compile(_FAR)
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself, if it is printed, else one of a row from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printed else next(others)) for b in range(256)]
+
+
+class Merges:
+    """The merges of a tokenizers file with word ends, as ranks of byte strings for tiktoken. The mark of a word's
+    end is a line feed, which no run holds: a last byte and the mark are merged first of all."""
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.vocab, self.pairs, end = model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], model["end_of_word_suffix"]
+        symbols = byte_symbols()
+        byte_of = {c: bytes([b]) for b, c in enumerate(symbols)}
+
+        def plain(token: str) -> bytes:
+            return b"".join(byte_of[c] for c in token.removesuffix(end)) + (b"\n" if token.endswith(end) else b"")
+
+        names = [*symbols, *(c + end for c in symbols), *(a + b for a, b in self.pairs)]
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + b"\n": 256 + b for b in range(256)}
+        ranks |= {plain(name): rank for rank, name in enumerate(names[512:], 512)}
+        self.coder = tiktoken.Encoding("merges", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+        self.ids = np.array([self.vocab.get(name, 0) for name in names], np.uint32)
+        self.ends = np.array([i >= 256 and name.endswith(end) for i, name in enumerate(names)])
+
+    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of runs in lower case, one after the other; how many each has)"""
+        found = np.array(self.coder.encode_ordinary("".join(run + "\n" for run in runs)), np.int64)
+        return self.ids[found], np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+
+
+class _Ids:
+    """Ids by name: one array, with the place and number of each name's."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, names: list[bytes]) -> np.ndarray:
+        """-1 for those that aren't known."""
+        return np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+
+    def add(self, names: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def taken(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the names at places, one after the other; how many each has)"""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
 
 class Coder:
-    """Ids of texts by a tokenizers file."""
+    """Ids of texts by a tokenizers file that lower-cases and cuts as _RUNS does."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self._forget()
+        self.tokenizer, self.merges, self.remembered = Tokenizer.from_file(path), Merges(path), remembered
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.stretches, self.runs = _Ids(), _Ids()
 
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        plain = [r for r in runs if r != b"\n" and not _IS_FAR.search(r) and not any(s in r for s in self.special)]
+        self.runs.add(plain, *self.merges.encode([r.decode().lower() for r in plain]))
+        others = sorted(set(runs).difference(plain))
+        made = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in others], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        self.runs.add(others, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes)
 
     def _learn(self, stretches: list[bytes]) -> None:
-        made = [x.ids for x in self.tokenizer.encode_batch([s.decode("utf-8", "replace") for s in stretches], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        self.known.update(zip(stretches, range(len(self.known), len(self.known) + len(stretches)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))])
-
-    def _encoded(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The stretches' ids, one after the other, and how many each has."""
-        if len(self.known) > self.remembered:
-            self._forget()
-        new = set(stretches).difference(self.known)
+        """New stretches, each once."""
+        if len(self.runs.known) > self.remembered:
+            self.runs = _Ids()
+        joined = b"\n".join(stretches)
+        if any(s in joined for s in self.special):
+            runs = [r for x in stretches for r in (*([x] if any(s in x for s in self.special) else _RUNS.findall(x)), b"\n")]
+        else:
+            runs = [*_RUNS.findall(joined), b"\n"]
+        places = self.runs.places(runs)
+        if (places < 0).any():
+            self._learn_runs(list(dict.fromkeys(runs[i] for i in np.flatnonzero(places < 0).tolist())))
+            places = self.runs.places(runs)
+        ids, sizes = self.runs.taken(places)  # a line feed has none
+        ends = np.cumsum(sizes)[places == self.runs.known[b"\n"]]
+        self.stretches.add(stretches, ids, np.diff(ends, prepend=0))
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' ids, one after the other, and how many each has."""
+        if len(self.stretches.known) > self.remembered:
+            self.stretches = _Ids()
+        cut = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).view(pa.string()))
+        found = cut.flatten().dictionary_encode()
+        names = found.dictionary.view(pa.binary()).to_pylist()
+        at = self.stretches.places(names)
+        new = [names[i] for i in np.flatnonzero(at < 0).tolist() if names[i]]
+        if b"" not in self.stretches.known:  # at a text's ends
+            self.stretches.add([b""], np.empty(0, np.uint32), np.zeros(1, np.int64))
         if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+            self._learn(new)
+        if (at < 0).any():
+            at = self.stretches.places(names)
+        ids, sizes = self.stretches.taken(at[found.indices.to_numpy(zero_copy_only=False)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy()]
+        return ids, np.diff(ends)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Short texts are encoded together, long ones slice by slice."""
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        held: list[tuple[int, list[bytes]]] = []
+        held: list[tuple[int, bytes]] = []
         size = 0
 
         def settle() -> None:
-            ids, sizes = self._encoded([s for _, stretches in held for s in stretches])
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(s) for _, s in held])]
-            for (i, _), own in zip(held, np.split(ids, ends[:-1]), strict=True):
+            ids, sizes = self._encoded([part for _, part in held])
+            for (i, _), own in zip(held, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                 out[i] = np.concatenate([out[i], own]) if len(out[i]) else own
             held.clear()
 
         for i, text in enumerate(texts):
             for part in _parts(text):
-                held.append((i, part.split()))
+                held.append((i, part))
                 size += len(part)
                 if size >= SLICE_BYTES:
                     settle()
@@ -100,6 +198,12 @@ class Coder:
         return out
 
 
+@lru_cache(2)
+def coder_of(path: str) -> Coder:
+    """A worker's coder, kept from task to task."""
+    return Coder(path)
+
+
 def _parts(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
@@ -171,10 +275,10 @@ class Packer:
 ADDED = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType())]
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, make: Callable[[str], Coder] = Coder) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID) -> DataFrame:
     """(id, start, length, doc_tokens, sequence_id, offset, ids): a row for each piece; ids are unsigned numbers of 32 bits, lowest byte first.
 
-    path: a tokenizers file that every executor has, whose tokens end at white space."""
+    path: a tokenizers file that every executor has, of the kind that Coder takes."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     arrow = pa.schema([(name, pa.binary() if name == "ids" else pa.int64()) for name, _ in ADDED])
 
@@ -184,7 +288,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have their own tasks
-        coder, packer, sequence = make(path), Packer(capacity, slack), TaskContext.get().partitionId() << 33
+        coder, packer, sequence = coder_of(path), Packer(capacity, slack), TaskContext.get().partitionId() << 33
         held: dict[int, tuple[pa.Scalar, int]] = {}  # documents that have pieces in open sequences
         document = 0
 
@@ -219,8 +323,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if made:
             yield batch(made, kind)
 
-    found = own.mapInArrow(run, T.StructType([T.StructField("id", own.schema["id"].dataType), *(T.StructField(n, t) for n, t in ADDED)]))
-    return found
+    return own.mapInArrow(run, T.StructType([T.StructField("id", own.schema["id"].dataType), *(T.StructField(n, t) for n, t in ADDED)]))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

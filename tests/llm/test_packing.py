@@ -63,6 +63,38 @@ def _coder(held=[]):  # noqa: B006
     return held[0]
 
 
+def test_every_token_is_what_its_symbols_merge_to():
+    """What makes merging by tokens equal merging by pairs."""
+    merges = packing.Coder(PATH).merges
+    rank = {pair: i for i, pair in enumerate(merges.pairs)}
+    assert len({a + b for a, b in merges.pairs}) == len(merges.pairs)
+    for a, b in merges.pairs:
+        whole = a + b
+        parts = [*whole.removesuffix("</w>")]
+        if whole.endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
+            assert best in rank, whole
+            out, i = [], 0
+            while i < len(parts):
+                step = 2 if tuple(parts[i : i + 2]) == best else 1
+                out.append("".join(parts[i : i + step]))
+                i += step
+            parts = out
+        assert parts == [whole]
+
+
+def test_merges_equal_the_tokenizer(tokenizer):
+    rng = np.random.default_rng(5)
+    letters = ["the", "ing", "tion", "er", "q", "zx", "aa", "ss", "ou", "'", "--", "..", "!", "8"]
+    kinds = [letters, list("abcdefghijklmnopqrstuvwxyz"), list("aeéÉèçñÑöÖßàÀÿŸœŒŁłſ×÷İıµ'st")]
+    runs = ["".join(rng.choice(kinds[i % 3], rng.integers(1, 14))) for i in range(30_000)]
+    got = packing.Coder(PATH).encode([r.encode() for r in runs])
+    want = tokenizer.encode_batch(runs, add_special_tokens=False)
+    assert all(g.tolist() == w.ids for g, w in zip(got, want, strict=True))
+
+
 def test_special_tokens_and_long_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_BYTES", 64)
     text = "Hello<|endoftext|>it's " * 40 + "x" * 500 + " end <|startoftext|> "
