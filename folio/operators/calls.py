@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators import intervals
 from folio.storage import discard, save, saved
 
 TREE_DEPTH = 5
@@ -13,10 +14,10 @@ TREE_DEPTH = 5
 def calls_in_symbols(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, caller, caller_start, callee, line): each call in each symbol whose lines hold it.
 
-    An outer symbol holds the calls of inner ones, too. The join is by path; lines are the residual."""
+    An outer symbol holds the calls of inner ones, too. Calls and symbols meet in blocks of lines."""
     s = symbols.select("path", F.col("name").alias("caller"), F.col("start_row").alias("caller_start"), F.col("end_row").alias("caller_end"))
     c = calls.select("path", F.col("name").alias("callee"), "line")
-    return c.join(s, "path").where((F.col("line") >= F.col("caller_start")) & (F.col("line") <= F.col("caller_end"))).drop("caller_end")
+    return intervals.holding(c, s, ["path"], "line", "caller_start", "caller_end").select("path", "callee", "line", "caller", "caller_start")
 
 
 def resolve(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators import intervals
+
 OUTPUT_BYTES = 30_000
 CONTEXT = 3
 
@@ -15,11 +17,7 @@ class Ambiguous(ValueError):
 
 def containment(symbols: DataFrame) -> DataFrame:
     """Adds `parent` and `parent_start`: the innermost other symbol of the file whose lines hold the symbol's."""
-    outer = symbols.select("path", F.col("name").alias("parent"), F.col("start_row").alias("parent_start"), F.col("end_row").alias("_end"))
-    own = symbols.join(outer, "path").where((F.col("parent_start") <= F.col("start_row")) & (F.col("end_row") <= F.col("_end")) & ~((F.col("parent_start") == F.col("start_row")) & (F.col("_end") == F.col("end_row"))))
-    by = Window.partitionBy("path", "name", "start_row").orderBy(F.desc("parent_start"), "_end", "parent")
-    near = own.withColumn("_at", F.row_number().over(by)).where("_at = 1").select("path", "name", "start_row", "parent", "parent_start")
-    return symbols.join(near, ["path", "name", "start_row"], "left")
+    return intervals.innermost(symbols, "path", "name", "start_row", "end_row", "parent", "parent_start")
 
 
 def nested(symbols: DataFrame) -> DataFrame:

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.storage import saved
+from folio.operators import intervals, patterns
 
-#: Rules that are asked at once.
-BLOCK_RULES = 5_000
 RUNS_PER_RULE_AND_FILE = 10
 FINDINGS = 200
 QUOTED = 200
@@ -81,15 +78,8 @@ def pattern_priority(word: Column) -> Column:
 def matches(added: DataFrame, rules: DataFrame) -> DataFrame:
     """Added lines that a rule's pattern finds. rules: rule_seq, rule_uri, label, priority, pattern.
 
-    Every rule is a question to every line. They are asked in blocks of at most BLOCK_RULES, which are
-    broadcast."""
-    n = rules.count()
-    if n <= BLOCK_RULES:
-        return added.join(F.broadcast(rules), F.expr("text rlike pattern"))
-    block = F.pmod(F.xxhash64("rule_seq", "rule_uri"), F.lit(-(-n // BLOCK_RULES) * 2))
-    numbered = saved(rules.withColumn("_block", block), "review-rules")
-    parts = [added.join(F.broadcast(numbered.where(F.col("_block") == r["_block"]).drop("_block")), F.expr("text rlike pattern")) for r in numbered.select("_block").distinct().collect()]
-    return reduce(DataFrame.unionByName, parts)
+    Rules whose required words stand in a line are asked of it, and those without such words of every line."""
+    return patterns.matching(added, rules)
 
 
 def runs(matched: DataFrame) -> DataFrame:
@@ -133,8 +123,7 @@ def finding_id(review: Column, origin: Column, title: Column, body: Column, prio
 
 def grounded(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings whose lines lie within one changed range of their file."""
-    r = ranges.select(F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    return findings.join(r, (F.col("path") == F.col("_path")) & (F.col("line_start") >= F.col("_start")) & (F.col("line_end") <= F.col("_end")), "left_semi")
+    return intervals.within_some(findings, ranges, ["path"], "line_start", "line_end", "start", "end")
 
 
 def unknown_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import subprocess
 
 import pytest
 
-from folio.operators import catalog, review, validation
+from folio.operators import catalog, patterns, review, validation
 from folio.operators.review_session import Finding, Reviews, UnknownReview, checked, file_patch
 from folio.sources import bundle, git, packages
 
@@ -83,7 +83,7 @@ def test_sessions_expire_and_the_least_recently_used_goes(spark):
 
 
 def test_rules_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(review, "BLOCK_RULES", 3)
+    monkeypatch.setattr(patterns, "TOGETHER", 3)
     added = spark.createDataFrame([(1, "p", n, f"line w{n} end") for n in range(20)], "diff_id int, path string, line_no int, text string")
     rules = spark.createDataFrame([(n, f"u{n}", f"l{n}", None, f"w{n}\\b") for n in range(11)], "rule_seq int, rule_uri string, label string, priority string, pattern string")
     assert sorted((r.rule_seq, r.line_no) for r in review.matches(added, rules).collect()) == [(n, n) for n in range(11)]
