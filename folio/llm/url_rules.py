@@ -1,11 +1,16 @@
 """URL filtering by association rules, in DataFrame operations only.
 
-Spark's FP-growth mines sets of URL tokens that go with a bad label. Rules "tokens => bad" are pruned
-by support (a share of the labelled rows, and a number of them at least) and confidence, and by the
-rules they contain: a rule is redundant when some of its tokens make a rule of no less confidence. The
-rest match through an inverted index: each rule stands at its rarest token, a URL's tokens look up the
-index, and a found rule fits if the URL has all its tokens. Redundant rules are found through the same
-index. URLs are matched once each, however many rows share them.
+Spark's FP-growth mines sets of URL tokens that go with a bad label. Tokens that stand in the very same
+labelled rows, as all segments of a path that is repeated do, are one item, named by the first of them: sets
+of them don't differ in support or confidence, and there are 2^n of these. In a rule each item stands for any
+of its tokens (``members``), so a URL with one of them fits as it would by the rule of that token alone.
+
+Rules "tokens => bad" are pruned by support (a share of the labelled rows, and a number of them at least)
+and confidence, and by the rules they contain: a rule is redundant when some of its items make a rule of
+no less confidence. The best confidence within a set is handed up from the sets that lack one item. The rest
+match through an inverted index: each rule stands at the tokens of its rarest item, a URL's tokens look up
+the index, and a found rule fits if the URL has all its items. URLs are matched once each, however many
+rows share them.
 
 Given host and path rules come first: a rule fits its host and all subdomains if the path starts
 with the rule's path, and the longest wins (host and path together; then the longer host).
@@ -18,6 +23,8 @@ like-named result columns are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,37 +84,68 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("scheme", F.array(scheme)), named("host", F.array(h)), named("label", F.split(h, r"\.")), named("segment", segments), named("key", keys), mark))
 
 
+def items(rows: DataFrame, least: float) -> DataFrame:
+    """(token, item, members) of tokens that at least so many bad rows have; rows: row (unique), tokens, bad.
+
+    Sets of rows are told apart by their size and 128 bits of hash. There are few such tokens: a row's
+    number of tokens over the least share at most."""
+    held = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    marks = held.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    grouped = marks.where(F.col("bad") >= least).groupBy("n", "x", "y").agg(F.array_sort(F.collect_set("token")).alias("members"))
+    return grouped.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"), "members")
+
+
+def _unbeaten(sets: DataFrame, min_confidence: float, min_support: float) -> DataFrame:
+    """Sets (tokens, confidence, support) of enough confidence within which no smaller one has as much."""
+    largest = sets.agg(F.max(F.size("tokens"))).first()[0] or 0
+    out, best = [], None
+    for k in range(1, largest + 1):
+        own = sets.where(F.size("tokens") == k)
+        if best is None:
+            own = own.withColumn("within", F.lit(0.0))
+        else:
+            smaller = own.select("tokens", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("smaller"))
+            most = smaller.join(best, F.col("smaller") == F.col("of")).groupBy("tokens").agg(F.max("best").alias("within"))
+            own = own.join(most, "tokens", "left").withColumn("within", F.coalesce("within", F.lit(0.0)))
+        own = saved(own, "url-level")
+        out.append(own.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("within")) & (F.col("support") >= min_support)).drop("within"))
+        best = own.select(F.col("tokens").alias("of"), F.greatest("confidence", "within").alias("best"))
+    return reduce(DataFrame.unionByName, out) if out else sets.where(F.lit(False))
+
+
 def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """Rules (tokens, anchor, support, confidence) from all labelled rows; anchor: the rule's rarest token."""
+    """Rules (tokens, members, anchor, support, confidence) from all labelled rows; anchor: the rule's rarest
+    item; members: the tokens of each item, that of tokens first."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    label = F.when(F.col(bad_col), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    known = labelled.where(F.col(bad_col).isNotNull())
-    n = known.count()
+    known = labelled.where(F.col(bad_col).isNotNull()).select(tokens(F.col(url_col)).alias("tokens"), F.col(bad_col).alias("bad"))
+    rows, rows_at = save(known.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    n = rows.count()
     support = max(min_support, min(1.0, (min_rows - 0.5) / max(n, 1)))  # the half: FP-growth rounds up
-    baskets = known.select(F.concat(tokens(F.col(url_col)), label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules, rules_at = save(model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("support") * n > min_rows - 0.5)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
+    named, named_at = save(items(rows, max(support * n, min_rows - 0.5)), "url-items")
+    few = F.broadcast(named) if named.count() <= broadcast_rules else named
+    sets = rows.select("row", F.explode("tokens").alias("token")).join(few, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.select("row", "bad").join(sets, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
+    found, found_at = save(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-sets")
+    rules, rules_at = save(_unbeaten(found, min_confidence, (min_rows - 0.5) / max(n, 1)), "url-rules")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    indexed, indexed_at = save(rules.join(anchors, "tokens"), "url-anchors")
-    fewer = indexed.select(F.col("anchor").alias("token"), F.col("tokens").alias("fewer"), F.col("confidence").alias("as_sure"))
-    fewer = F.broadcast(fewer) if fewer.count() <= broadcast_rules else fewer
-    larger = indexed.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    redundant = larger.join(fewer, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens").distinct()
-    out = saved(indexed.join(redundant, "tokens", "left_anti").select("tokens", "anchor", "support", "confidence"), "url-index")
-    discard(spark, rules_at, indexed_at)
+    each = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").join(few.where("token = item"), "token")
+    anchors = each.groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"), F.array_sort(F.collect_list("members")).alias("members"))
+    out = saved(rules.join(anchors, "tokens").select("tokens", "members", "anchor", "support", "confidence"), "url-index")
+    discard(spark, rows_at, named_at, found_at, rules_at)
     return out
 
 
 def matched_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """Distinct urls that a rule fits."""
-    index = rules.select(F.col("anchor").alias("token"), F.col("tokens").alias("wanted"))
+    index = rules.select(F.explode(F.element_at(F.filter("members", lambda m: m[0] == F.col("anchor")), 1)).alias("token"), F.col("members").alias("wanted"))
     index = F.broadcast(index) if index.count() <= broadcast_rules else index
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("have", tokens(F.col("url")))
     looked = urls.select("url", "have", F.explode("have").alias("token")).join(index, "token")
-    return looked.where(F.size(F.array_except("wanted", "have")) == 0).select("url").distinct()
+    return looked.where(F.forall("wanted", lambda m: F.arrays_overlap(m, F.col("have")))).select("url").distinct()
 
 
 def judge(pages: DataFrame, mined: DataFrame, given: list[tuple[str, str, str]] = GIVEN, url_col: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:

@@ -1,5 +1,5 @@
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def frame(spark, rows):
 
 
 def empty_rules(spark):
-    return spark.createDataFrame([], "tokens array<string>, anchor string, support double, confidence double")
+    return spark.createDataFrame([], "tokens array<string>, members array<array<string>>, anchor string, support double, confidence double")
 
 
 def test_parts_and_given_rules(spark):
@@ -81,8 +81,9 @@ def test_mined_rules_and_matches_against_brute_force(spark):
     tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
     want = brute_rules([(tokens[i], b) for i, b in enumerate(bad)], 0.05, 0.7)
     got = mined.collect()
-    assert {frozenset(r.tokens) for r in got} == want and want
-    assert all(r.anchor in r.tokens for r in got)
+    every = [frozenset(c) for r in got for c in product(*r.members)]  # one token of each item
+    assert set(every) == want and want and len(every) == len(want)
+    assert all(r.anchor in r.tokens and [m[0] for m in r.members] == r.tokens for r in got)
     for limit in (0, 1000):
         hit = {r.url for r in url_rules.matched_urls(pages, mined, broadcast_rules=limit).collect()}
         assert hit == {u for i, u in enumerate(urls) if any(w <= tokens[i] for w in want)}
@@ -90,6 +91,25 @@ def test_mined_rules_and_matches_against_brute_force(spark):
         assert all((verdicts[u] == "block") == (u in hit) for u in urls)
 
 
+def test_repeated_rows_with_long_paths(spark):
+    """Five copies of a url of 40 segments, and one with a few of them: 2^45 sets of tokens, one item."""
+    import time
+
+    deep = "http://deep.org/" + "/".join(f"s{i}x" for i in range(40))
+    rows = [(i, deep, True) for i in range(5)] + [(5, "http://clean.net/a", False), (6, None, True), (7, "", True), (8, None, False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    began = time.time()
+    mined = url_rules.mine(pages).collect()
+    assert time.time() - began < 120
+    assert sorted(len(r.tokens) for r in mined) == [1, 1] and max(len(r.members[0]) for r in mined) == 43
+    asked = [("http://x.y/s7x", "block"), ("http://clean.net/a", "block"), ("ftp://x.y/z", "allow"), (None, "allow"), (deep, "block"), ("https://deep.org", "block")]
+    other = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(asked)], "page_id long, url string")
+    got = url_rules.judge(other, url_rules.mine(pages), []).collect()
+    assert {r.url: r.verdict for r in got} == dict(asked)
+    tokens = [(python_tokens(u) - {f"segment=s{i}x" for i in range(3, 40)}, b) for _, u, b in rows]
+    assert {frozenset(c) for r in mined for c in product(*r.members)} & {frozenset([t]) for b, _ in tokens for t in b} == brute_rules(tokens, url_rules.MIN_SUPPORT, url_rules.MIN_CONFIDENCE, url_rules.MIN_ROWS)
+
+
 def test_nothing_labelled_and_empty(spark):
     none = frame(spark, URLS).withColumn("bad", F.lit(None).cast("boolean"))
     assert url_rules.mine(none).count() == 0
