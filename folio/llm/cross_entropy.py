@@ -12,7 +12,7 @@ counts grows with the corpus: nothing is out of it, dropped or cut by rank.
    not of every document, and only one part or chunk at a time is held by a task.
 3. A chunk with its answers gives the losses of its documents.
 
-    p1(w)   = (c(w) + ALPHA) / (N + ALPHA * V)          V = max(2**BITS, distinct words)
+    p1(w)   = (c(w) + ALPHA) / (N + ALPHA * V)          V = distinct words + 1 (any other)
     p(w|h)  = (c(h, w) + MU * p1(w)) / (c(h) + MU)
     loss    = mean over the document's words of -ln p(w|h)
     score   = target's loss - background's loss            (lower: more like the target)
@@ -39,8 +39,6 @@ from pyspark.sql import types as T
 from folio.llm.batches import sliced, small_batches
 from folio.storage import release_shuffles, save
 
-#: The smoothing shares its mass among 2**BITS words, or as many as there are, if more.
-BITS = 20
 ALPHA = 0.1
 MU = 200.0
 SEED = 42
@@ -50,6 +48,8 @@ REMEMBERED = 400_000
 CHUNK_BYTES = 3 << 20
 PART_BYTES = 12 << 20
 PARTS = 512
+#: Parts that a task adds up and answers for, one after the other.
+TASK_PARTS = 4
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _KIND = np.uint64(3)
@@ -189,6 +189,11 @@ class Model:
     target: int
 
 
+def by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """rows dealt by part; once there are more than the least number of parts, tasks follow them."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // TASK_PARTS if parts > PARTS else 1), "part")
+
+
 def count(docs: DataFrame, text_col: str, target_col: str, parts: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(part, keys, counts, words, background, target): a row a part; the last three are its distinct words and the sums of their counts."""
 
@@ -208,7 +213,7 @@ def count(docs: DataFrame, text_col: str, target_col: str, parts: int, chunk_byt
 
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
     counted = small_batches(own).mapInArrow(run, "part int, keys binary, counts binary")
-    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, keys binary, counts binary, words long, background long, target long")
+    return by_part(counted, parts).sortWithinPartitions("part").mapInArrow(add, "part int, keys binary, counts binary, words long, background long, target long")
 
 
 def _parts(docs: DataFrame, text_col: str) -> int:
@@ -316,9 +321,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", chunk_bytes: in
     chunks = _chunks(own, at, chunk_bytes)
     asked = chunks.mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
     met = asked.union(model.table.select("part", F.lit(None).cast("long").alias("chunk"), "keys", "counts"))
-    answers, _ = save(met.repartition("part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, part int, data binary"), "score-answers")
+    answers, _ = save(by_part(met, parts).sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, part int, data binary"), "score-answers")
     release_shuffles(docs.sparkSession)
-    return _losses(chunks, answers, own, at, (model.target, model.background), max(1 << BITS, model.words))
+    return _losses(chunks, answers, own, at, (model.target, model.background), model.words + 1)
 
 
 def fit_and_score(docs: DataFrame, text_col: str = "text", target_col: str = "target", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -347,7 +352,7 @@ def fit_and_score(docs: DataFrame, text_col: str = "text", target_col: str = "ta
 
     chunks = _chunks(own, at, chunk_bytes)
     asked = chunks.mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
-    answers, _ = save(asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "chunk long, part int, data binary, words long, background long, target long"), "score-answers")
+    answers, _ = save(by_part(asked, parts).sortWithinPartitions("part").mapInArrow(answer, "chunk long, part int, data binary, words long, background long, target long"), "score-answers")
     words, background, target = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background", "target"))).first()
     release_shuffles(docs.sparkSession)
-    return _losses(chunks, answers.select("chunk", "part", "data"), own, at, (target, background), max(1 << BITS, words))
+    return _losses(chunks, answers.select("chunk", "part", "data"), own, at, (target, background), words + 1)

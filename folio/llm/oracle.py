@@ -94,7 +94,7 @@ k AS (SELECT r, target, unnest(ws) AS w, unnest(list_concat([''], ws[1:len(ws) -
 one AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY w),
 ctx AS (SELECT h, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY h),
 two AS (SELECT h, w, count(*) AS b, count(*) FILTER (target) AS t FROM k GROUP BY h, w),
-n AS (SELECT sum(b) AS b, sum(t) AS t, 0.1::DOUBLE * greatest(1048576, count(*)) AS mass FROM one),
+n AS (SELECT sum(b) AS b, sum(t) AS t, 0.1::DOUBLE * (count(*) + 1) AS mass FROM one),
 l AS (SELECT r, avg(-ln((two.t + 200 * (one.t + 0.1::DOUBLE) / (n.t + n.mass)) / (ctx.t + 200))) AS tl,
              avg(-ln((two.b + 200 * (one.b + 0.1::DOUBLE) / (n.b + n.mass)) / (ctx.b + 200))) AS bl
       FROM k JOIN one USING (w) JOIN ctx USING (h) JOIN two ON two.h = k.h AND two.w = k.w, n GROUP BY r)
