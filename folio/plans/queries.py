@@ -16,7 +16,7 @@ from folio.operators.code import conflicts, outline, structure, symbols
 from folio.operators.memo import Memo
 from folio.operators.postings import Postings
 from folio.sources import bundle, packages
-from folio.sources.tables import code_files, documents, markdown_documents, table, version
+from folio.sources.tables import code_files, documents, generated_files, markdown_documents, table, version
 from folio.storage import new_path, saved
 from folio.streaming import sessions as streams
 
@@ -557,6 +557,23 @@ def code_symbols(spark, sf_dir):
     return symbols.extract_symbols(code_files(spark, sf_dir))
 
 
+def _generated(spark, sf_dir, kinds):
+    found = symbols.extract_symbols(generated_files(spark, sf_dir, kinds).select("path", "content"))
+    return found.select(F.regexp_extract("path", r"gen/d(-?\d+)", 1).cast("long").alias("id"), "name", "kind", "start_row", "end_row", "scope")
+
+
+@query
+def code_lexed(spark, sf_dir):
+    """Symbols of files whose comments and strings hold the other language's words and braces."""
+    return _generated(spark, sf_dir, ["go", "rb", "ts", "gd"])
+
+
+@query
+def key_scopes(spark, sf_dir):
+    """Nested keys of YAML and TOML files."""
+    return _generated(spark, sf_dir, ["yaml", "toml"])
+
+
 @query
 def code_calls(spark, sf_dir):
     files = code_files(spark, sf_dir)
