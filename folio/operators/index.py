@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators.postings import BROADCAST_DEAD, Postings, Segment
+from folio.operators.postings import BROADCAST_DEAD, PACKED, Postings, Segment
 from folio.operators.retrieval import Filter, IndexStale, depth, fuse, lexical_leg, vector_leg
-from folio.storage import saved
+from folio.storage import discard, save, saved
 
 SCHEMA_VERSION = 4
 #: Neighbouring segments of like size that are merged into one.
@@ -185,15 +185,17 @@ class Store:
     def _write(self, number: int, fresh: DataFrame, gone: DataFrame | None) -> dict:
         name = f"segment-{number:012d}-{uuid.uuid4().hex[:8]}"
         path, removed = f"{self.root}/{name}", 0
-        fresh.write.parquet(f"{path}/units")
+        fresh.write.options(**PACKED).parquet(f"{path}/units")
         written = self.spark.read.schema(fresh.schema).parquet(f"{path}/units")
         if gone is not None:
-            gone = saved(gone, "index-gone")
+            gone, gone_at = save(gone, "index-gone", **PACKED)
             gone.select(*KEY).distinct().write.parquet(f"{path}/removed")
             removed = gone.count()
         if {"passage", "ordinal", *KEY} <= set(fresh.columns):
             lost = gone.withColumn("unit", unit_id()) if removed else None
             Postings.build(written.withColumn("unit", unit_id()), f"{path}/lexical", id_col="unit", text_cols=("passage", "concept_id"), gone=lost)
+        if gone is not None:
+            discard(self.spark, gone_at)
         return self._described(name, number, removed, fresh.columns)
 
     def _merged(self, number: int, run: list[dict], first: bool) -> dict:

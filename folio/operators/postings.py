@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.storage import discard, save
+from folio.storage import discard, release_shuffles, save
 
 RANGE_DOCS = 16
 HEAVY = 64
@@ -37,6 +37,8 @@ PARTS = 4
 BROADCAST_DEAD = 1_000_000
 BROADCAST_TERMS = 500_000
 BROADCAST_RANGES = 1_000_000
+#: Ids of neighbours are alike, and a segment is written once and read often.
+PACKED = {"compression": "zstd"}
 FACETS = ("namespace", "book", "type", "tags", "language", "category")
 
 
@@ -167,15 +169,16 @@ class Postings:
         gone: documents of earlier segments that it removes, with the same columns."""
         facets = [c for c in FACETS if c in docs.columns]
         whole = F.concat_ws(" ", *(F.col(c) for c in text_cols))
-        staged, at = save(counted_terms(docs.select(F.col(id_col).alias("id"), *facets, whole.alias("_text"))).withColumn("text_hash", F.sha2("_text", 256)).drop("_text"), "postings-staged")
+        staged, at = save(counted_terms(docs.select(F.col(id_col).alias("id"), *facets, whole.alias("_text"))).withColumn("text_hash", F.sha2("_text", 256)).drop("_text"), "postings-staged", **PACKED)
         lost = None
         if gone is not None:
-            lost, lost_at = save(counted_terms(gone.select(F.col(id_col).alias("id"), whole.alias("_text"))).drop("_text"), "postings-gone")
+            lost, lost_at = save(counted_terms(gone.select(F.col(id_col).alias("id"), whole.alias("_text"))).drop("_text"), "postings-gone", **PACKED)
         own = cls(docs.sparkSession, path)
         postings = staged.select("id", "size", F.explode("counts").alias("c")).select("id", "c.term", "c.f", "size")
         minus = None if lost is None else lost.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         own._write(staged.drop("counts"), postings, minus, lost)
         discard(docs.sparkSession, at, *([] if gone is None else [lost_at]))
+        release_shuffles(docs.sparkSession)
         return own
 
     @classmethod
@@ -201,10 +204,10 @@ class Postings:
         range_ = F.shiftleft(own_class, 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(ranges, own_class), F.lit(1)).cast("long"))
         ranged = docs.withColumn("range", range_)
         tasks = max(1, -(-n // 500_000))
-        ranged.repartitionByRange(tasks, "range", "id").sortWithinPartitions("range", "id").write.mode("overwrite").parquet(f"{path}/docs")
+        ranged.repartitionByRange(tasks, "range", "id").sortWithinPartitions("range", "id").write.options(**PACKED).mode("overwrite").parquet(f"{path}/docs")
         dealt = postings.withColumn("range", range_).withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("range"), F.lit(parts)))
         dealt = dealt.repartition(buckets * parts, "bucket", "part").drop("part").select("id", "term", "f", "size", "range", "bucket")
-        dealt.sortWithinPartitions("bucket", "term", "range", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        dealt.sortWithinPartitions("bucket", "term", "range", "id").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         written = read.schema(f"id {dict(docs.dtypes)['id']}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
         counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
         plus = counts.select("term", F.col("own").alias("df"), "own")
@@ -215,21 +218,21 @@ class Postings:
         if changes is not None or minus is not None:
             change = change.groupBy("term").agg(F.sum("df").alias("df"), F.sum("own").alias("own")).where("df <> 0 OR own <> 0")
         change = change.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket")
-        change.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        change.sortWithinPartitions("bucket", "term").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         heavy = read.schema("term string, df long, own long, bucket int").parquet(f"{path}/terms").where(F.col("own") >= HEAVY).select("bucket", "term")
         heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_TERMS else heavy
         pairs = written.join(heavy, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "range").agg(F.collect_set(F.struct("f", "size")).alias("p"))
         beaten = lambda x: F.exists("p", lambda y: (y["f"] >= x["f"]) & (y["size"] <= x["size"]) & ((y["f"] > x["f"]) | (y["size"] < x["size"])))
         front = pairs.select("term", "range", F.filter("p", lambda x: ~beaten(x)).alias("front"), "bucket")
-        front.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
+        front.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
         lost_n, lost_words = 0, 0
         if dead is not None:
-            dead.select("id").coalesce(max(1, -(-n // 500_000))).write.mode("overwrite").parquet(f"{path}/dead")
+            dead.select("id").coalesce(max(1, -(-n // 500_000))).write.options(**PACKED).mode("overwrite").parquet(f"{path}/dead")
             if totals is None:
                 row = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
                 lost_n, lost_words = row.n, row.words
         sums = totals or (n - lost_n, words - lost_words)
-        self.spark.range(1).select(F.lit(sums[0]).cast("long").alias("n"), F.lit(sums[1]).cast("long").alias("words"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+        self.spark.range(1).select(F.lit(sums[0]).cast("long").alias("n"), F.lit(sums[1]).cast("long").alias("words"), F.lit(buckets).alias("buckets")).write.options(**PACKED).mode("overwrite").parquet(f"{path}/totals")
         self.__dict__.pop("_facts", None)
 
     def drop(self) -> None:

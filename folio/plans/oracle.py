@@ -300,6 +300,12 @@ ORACLE_SQL["session_ttl"] = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, n"""
+ORACLE_SQL["cache_hits"] = """
+WITH e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+p AS (SELECT *, lag(n) OVER w AS before, lag(ts) OVER w AS used FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY n)),
+b AS (SELECT p.user_id, p.n, count(DISTINCT e.event_type) AS others FROM p JOIN e ON e.user_id = p.user_id AND e.n > p.before AND e.n < p.n GROUP BY ALL)
+SELECT p.event_id, p.user_id, p.event_type, before IS NOT NULL AND ts - used <= INTERVAL 1 HOUR AND coalesce(others, 0) < 3 AS hit
+FROM p LEFT JOIN b ON b.user_id = p.user_id AND b.n = p.n"""
 ORACLE_SQL["event_windows"] = """
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"""
 ORACLE_SQL["mean_pooled_labels"] = """
@@ -386,6 +392,15 @@ ORACLE_SQL["ast_rewrite"] = f"""WITH {FILES}
 SELECT path, k % 3 = 0 AS changed, false AS error_introduced, md5(CASE WHEN k % 3 <> 0 THEN '' ELSE
   concat_ws(chr(10), '--- a/' || path, '+++ b/' || path, '@@ -9,7 +9,7 @@', ' ', '     def save(self, path, data):', '         self.load(path)', '-        write(path, data)',
             '+        store(data, path, retry=True)', ' ', ' ', ' def read' || r || '(path):', '') END) AS diff_md5 FROM f"""
+ORACLE_SQL["ignore_rules"] = """
+WITH u AS (SELECT page_id, url IS NULL AS none, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS rest FROM pages),
+p AS (SELECT *, rtrim(regexp_extract(host, '[^.]*$') || '/' || host || rest, '/') AS path FROM u),
+s AS (SELECT *, string_split(path, '/') AS parts FROM p),
+f AS (SELECT *, parts[1] AS d1, parts[2] AS d2, parts[3] AS d3, parts[-1] AS leaf, len(parts) AS n FROM s)
+SELECT page_id, CASE WHEN NOT none THEN path END AS path, CASE WHEN NOT none THEN
+  coalesce((d2 LIKE 'blog.%' AND d2 NOT LIKE 'blog.t%') OR (d2 LIKE 'spam-%' AND n > 2), false)
+  OR coalesce((d1 = 'net' AND d3 = 'es' AND n > 3) OR (d1 = 'org' AND d2 = 'thther.example.org' AND d3 = 'en'), false)
+  OR coalesce(leaf LIKE '%.html' AND NOT (d1 = 'com' AND leaf LIKE '1%.html') AND d1 <> 'org', false) END AS ignored FROM f"""
 ORACLE_SQL["yaml_import"] = """
 WITH d AS (SELECT doc_id AS k, source, coalesce(lang, 'any') AS lang, 'rules/' || doc_id || '.yaml' AS path FROM documents),
 r AS (

@@ -10,14 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import text, vectors
+from folio.functions import ignore, text, vectors
 from folio.operators import calls, catalog, chunking, context, decision, embedding, evaluation, graph, index, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
 from folio.operators.memo import Memo
 from folio.operators.postings import Postings
 from folio.sources import bundle, packages
 from folio.sources.tables import code_files, documents, generated_files, markdown_documents, table, version
-from folio.storage import new_path, saved
+from folio.storage import new_path, save, saved
+from folio.streaming import cache
 from folio.streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -535,6 +536,16 @@ def session_ttl(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"))
 
 
+@query
+def cache_hits(spark, sf_dir):
+    """A stream over the table's events, in a folder of its own: each user's cache of three event types, idle for an hour at most."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    (source, at), out = save(rows, "cache-events"), new_path(spark, "cache-hits")
+    stream = spark.readStream.schema(source.schema).parquet(at)
+    cache.accesses(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("event_id long, user_id long, event_type string, hit boolean").parquet(out)
+
+
 @query
 def event_windows(spark, sf_dir):
     return streams.windowed_counts(table(spark, sf_dir, "events"), "1 hour").withColumn("total", F.round("total", 4))
@@ -611,6 +622,18 @@ def ast_rewrite(spark, sf_dir):
     return found.select("path", "changed", F.md5(F.encode("diff", "UTF-8")).alias("diff_md5"), "error_introduced")
 
 
+#: Rule files of a tree of pages: by path, their lines.
+IGNORE = [(".gitignore", "# pages\n*.html\n!/com/**/1*.html\n/net/*/es/\nblog.*\n!blog.t*\nspam-*/\n"), ("org/.gitignore", "/thther.example.org/en\n!*.html\n")]
+
+
+@query
+def ignore_rules(spark, sf_dir):
+    """Pages as files of a tree (domain, host, path), judged by rule files at the top and in a folder."""
+    host, rest = F.regexp_extract("url", r"://([^/?#]+)", 1), F.regexp_extract("url", r"://[^/?#]+([^?#]*)", 1)
+    path = F.rtrim(F.concat(F.element_at(F.split(host, r"\."), -1), F.lit("/"), host, rest), F.lit("/"))
+    return ignore.with_ignored(table(spark, sf_dir, "pages").select("page_id", path.alias("path")), ignore.rules_of(IGNORE))
+
+
 @query
 def yaml_import(spark, sf_dir):
     k = F.col("id").cast("string")

@@ -16,6 +16,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import ignore
 from folio.operators.code.symbols import EXTENSIONS, MAX_BYTES
 from folio.sources.bundle import MANIFEST, read_files, walk
 
@@ -175,12 +176,14 @@ def import_rule_files(files: DataFrame, existing: DataFrame | None = None) -> Da
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of source files of known languages up to a megabyte; in a git work tree those
-    that git lists, elsewhere all that aren't hidden."""
-    files = read_files(spark, root, MAX_BYTES)
-    files = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS) & ~F.col("path").rlike(r"(^|/)\."))
+    that git lists, elsewhere all that aren't hidden or ignored by the tree's rule files, in any store."""
+    every = read_files(spark, root, MAX_BYTES)
+    files = every.where(F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS) & ~F.col("path").rlike(r"(^|/)\."))
     if os.path.isdir(os.path.join(root, ".git")):
         listed = subprocess.run(["git", "-C", root, "ls-files", "-co", "--exclude-standard"], capture_output=True, text=True, check=True).stdout.splitlines()
         files = files.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
+    else:
+        files = ignore.kept(files, every)
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -94,11 +94,11 @@ def corpus(spark, tmp_path_factory):
     return df, Postings.build(df, str(tmp_path_factory.mktemp("ix") / "c"))
 
 
-@pytest.mark.parametrize("query", ["the", "of a", "the of w7", "rare", "the rare w3 w4 w5", "nothing"])
-@pytest.mark.parametrize("where", [None, Filter(books=["b1"]), Filter(books=["none"])])
+@pytest.mark.parametrize("query", ["the", "the rare w3 w4 w5", "nothing"])
+@pytest.mark.parametrize("where", [None, Filter(books=["b1"])])
 def test_ranges_give_the_same_rows(corpus, query, where):
     df, ix = corpus
-    for k in (1, 10, 100):
+    for k in (1, 100):
         got = rows(retrieval.indexed_leg(ix, query, k, where, direct=0))
         assert got == rows(retrieval.indexed_leg(ix, query, k, where, direct=1 << 60))
     assert got == rows(retrieval.lexical_leg(df, query, k, where))
