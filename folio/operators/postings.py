@@ -205,8 +205,10 @@ class Postings:
         ranged = docs.withColumn("range", range_)
         tasks = max(1, -(-n // 500_000))
         ranged.repartitionByRange(tasks, "range", "id").sortWithinPartitions("range", "id").write.options(**PACKED).mode("overwrite").parquet(f"{path}/docs")
-        dealt = postings.withColumn("range", range_).withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("range"), F.lit(parts)))
-        dealt = dealt.repartition(buckets * parts, "bucket", "part").drop("part").select("id", "term", "f", "size", "range", "bucket")
+        # what follows from a row's other columns isn't shuffled
+        narrow = postings.select("id", "term", F.col("f").cast("int").alias("f"), "size")
+        dealt = narrow.repartition(buckets * parts, bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64(range_), F.lit(parts)))
+        dealt = dealt.select("id", "term", F.col("f").cast("long").alias("f"), "size", range_.alias("range"), bucket_of(F.col("term"), buckets).alias("bucket"))
         dealt.sortWithinPartitions("bucket", "term", "range", "id").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         written = read.schema(f"id {dict(docs.dtypes)['id']}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
         counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
