@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folio.functions import text
 from folio.operators.postings import BROADCAST_DEAD, PACKED, Postings, Segment
 from folio.operators.retrieval import Filter, IndexStale, depth, fuse, lexical_leg, vector_leg
-from folio.storage import discard, save, saved
+from folio.storage import discard, release_shuffles, save, saved
 
 SCHEMA_VERSION = 4
 #: Neighbouring segments of like size that are merged into one.
@@ -187,6 +187,7 @@ class Store:
         path, removed = f"{self.root}/{name}", 0
         fresh.write.options(**PACKED).parquet(f"{path}/units")
         written = self.spark.read.schema(fresh.schema).parquet(f"{path}/units")
+        release_shuffles(self.spark)
         if gone is not None:
             gone, gone_at = save(gone, "index-gone", **PACKED)
             gone.select(*KEY).distinct().write.parquet(f"{path}/removed")

@@ -6,8 +6,8 @@ folders by a bucket of the term's hash, in order of term and range, so a query f
 folders and skips most of their row groups. Buckets and tasks follow the number of postings.
 
 Ranges are about RANGE_DOCS documents of like length. For each term of at least HEAVY documents and each
-range, `bounds` has the pairs (f, size) that no other document of the range beats in both, so the best
-score that a range can reach is known without its postings, for any statistics.
+range, `bounds` has the largest f and the smallest size, so a score that no document of the range exceeds
+is known without its postings, for any statistics.
 
 A later segment names the documents that it removes from earlier ones (`dead`) and takes their terms out
 of the statistics, so frequencies and lengths are exact over all segments, and nothing old is rewritten.
@@ -151,8 +151,8 @@ class Postings:
         return self._alive(found)
 
     def bounds(self, wanted: list[str]) -> DataFrame:
-        """(segment, range, term, f, size): pairs that bound the scores of each range; of terms without bounds all postings."""
-        heavy = self._read("bounds", "term string, range long, front array<struct<f: long, size: int>>, bucket int", wanted).select("segment", "range", "term", F.inline("front"))
+        """(segment, range, term, f, size): what bounds the scores of each range; of terms without bounds all postings."""
+        heavy = self._read("bounds", "term string, range long, f long, size int, bucket int", wanted).select("segment", "range", "term", "f", "size")
         held = self._read("terms", "term string, df long, own long, bucket int", wanted).where(F.col("own") < HEAVY).select("segment", "term")
         light = self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int", wanted).join(F.broadcast(held), ["segment", "term"], "left_semi")
         return heavy.unionByName(light.select("segment", "range", "term", "f", "size"))
@@ -210,6 +210,7 @@ class Postings:
         dealt = narrow.repartition(buckets * parts, bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64(range_), F.lit(parts)))
         dealt = dealt.select("id", "term", F.col("f").cast("long").alias("f"), "size", range_.alias("range"), bucket_of(F.col("term"), buckets).alias("bucket"))
         dealt.sortWithinPartitions("bucket", "term", "range", "id").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        release_shuffles(self.spark)
         written = read.schema(f"id {dict(docs.dtypes)['id']}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
         counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
         plus = counts.select("term", F.col("own").alias("df"), "own")
@@ -223,9 +224,8 @@ class Postings:
         change.sortWithinPartitions("bucket", "term").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         heavy = read.schema("term string, df long, own long, bucket int").parquet(f"{path}/terms").where(F.col("own") >= HEAVY).select("bucket", "term")
         heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_TERMS else heavy
-        pairs = written.join(heavy, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "range").agg(F.collect_set(F.struct("f", "size")).alias("p"))
-        beaten = lambda x: F.exists("p", lambda y: (y["f"] >= x["f"]) & (y["size"] <= x["size"]) & ((y["f"] > x["f"]) | (y["size"] < x["size"])))
-        front = pairs.select("term", "range", F.filter("p", lambda x: ~beaten(x)).alias("front"), "bucket")
+        # each task adds up its own ranges first, and a range's postings lie in one file
+        front = written.join(heavy, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "range").agg(F.max("f").alias("f"), F.min("size").alias("size")).select("term", "range", "f", "size", "bucket")
         front.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
         lost_n, lost_words = 0, 0
         if dead is not None:

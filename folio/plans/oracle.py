@@ -362,26 +362,28 @@ _CALL_ROWS = _rows(
     "path callee caller caller_start line callee_start",
 )
 ORACLE_SQL["code_calls"] = f"WITH {FILES}, s AS ({_CALL_ROWS}) SELECT path, callee, caller, CAST(caller_start AS INTEGER) AS caller_start, CAST(line AS INTEGER) AS line, CAST(callee_start AS INTEGER) AS callee_start FROM s"
-#: Units of files whose symbols are known as they are made: a unit a word of the document.
+#: Units of files whose symbols are known as they are made: a unit a line of the document.
 _UNIT_ROWS = [
     ("0", "w || 'x' || i", "'function'", "4 * i + 2", "4 * i + 4", "''"), ("1", "w || '_' || i", "'method'", "6 * i + 2", "6 * i + 6", "''"),
     ("2", "w || i", "'class'", "5 * i + 1", "5 * i + 5", "''"), ("2", "'text'", "'field'", "5 * i + 2", "5 * i + 2", "w || i"), ("2", "'draw'", "'method'", "5 * i + 3", "5 * i + 4", "w || i"),
     ("3", "w || '_' || i", "'function'", "4 * i + 1", "4 * i + 3", "''"),
 ]
-ORACLE_SQL["code_lexed"] = """WITH d AS (SELECT doc_id AS k, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS ws FROM documents),
-u AS (SELECT k, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d),
+ORACLE_SQL["code_lexed"] = """WITH d AS (SELECT doc_id AS k, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
+l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
+u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w FROM l),
 s AS (""" + " UNION ALL ".join(f"SELECT k, {name} AS name, {kind} AS kind, {a} AS a, {b} AS b, {scope} AS scope FROM u WHERE k % 4 = {c}" for c, name, kind, a, b, scope in _UNIT_ROWS) + """)
 SELECT k AS id, name, kind, CAST(a AS INTEGER) AS start_row, CAST(b AS INTEGER) AS end_row, scope FROM s"""
-ORACLE_SQL["key_scopes"] = """WITH d AS (SELECT doc_id AS k, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS ws FROM documents),
-u AS (SELECT k, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d),
-s AS (SELECT k, w AS name, 'key' AS kind, 7 * i + 1 AS a, 7 * i + 7 AS b, '' AS scope FROM u WHERE k % 2 = 0
-  UNION ALL SELECT k, 'in "' || w, 'key', 7 * i + 2, 7 * i + 3, w FROM u WHERE k % 2 = 0
-  UNION ALL SELECT k, 'list', 'key', 7 * i + 5, 7 * i + 7, w FROM u WHERE k % 2 = 0
-  UNION ALL SELECT k, 'deep', 'key', 7 * i + 6, 7 * i + 6, w || '.list' FROM u WHERE k % 2 = 0
-  UNION ALL SELECT k, 'more', 'key', 7 * i + 7, 7 * i + 7, w || '.list' FROM u WHERE k % 2 = 0
-  UNION ALL SELECT k, 'tool.' || w, 'table', 6 * i + 1, 6 * i + 5, '' FROM u WHERE k % 2 = 1
-  UNION ALL SELECT k, 'a.' || w, 'key', 6 * i + 2, 6 * i + 4, 'tool.' || w FROM u WHERE k % 2 = 1
-  UNION ALL SELECT k, 'b', 'key', 6 * i + 5, 6 * i + 5, 'tool.' || w FROM u WHERE k % 2 = 1)
+ORACLE_SQL["key_scopes"] = """WITH d AS (SELECT doc_id AS k, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
+l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
+u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w FROM l),
+s AS (SELECT k, w || i AS name, 'key' AS kind, 7 * i + 1 AS a, 7 * i + 7 AS b, '' AS scope FROM u WHERE k % 2 = 0
+  UNION ALL SELECT k, 'in "' || w, 'key', 7 * i + 2, 7 * i + 3, w || i FROM u WHERE k % 2 = 0
+  UNION ALL SELECT k, 'list', 'key', 7 * i + 5, 7 * i + 7, w || i FROM u WHERE k % 2 = 0
+  UNION ALL SELECT k, 'deep', 'key', 7 * i + 6, 7 * i + 6, w || i || '.list' FROM u WHERE k % 2 = 0
+  UNION ALL SELECT k, 'more', 'key', 7 * i + 7, 7 * i + 7, w || i || '.list' FROM u WHERE k % 2 = 0
+  UNION ALL SELECT k, 'tool.' || w || i, 'table', 6 * i + 1, 6 * i + 5, '' FROM u WHERE k % 2 = 1
+  UNION ALL SELECT k, 'a.' || w, 'key', 6 * i + 2, 6 * i + 4, 'tool.' || w || i FROM u WHERE k % 2 = 1
+  UNION ALL SELECT k, 'b', 'key', 6 * i + 5, 6 * i + 5, 'tool.' || w || i FROM u WHERE k % 2 = 1)
 SELECT k AS id, name, kind, CAST(a AS INTEGER) AS start_row, CAST(b AS INTEGER) AS end_row, scope FROM s"""
 ORACLE_SQL["code_zoom"] = """SELECT * FROM (VALUES (12, '        write(path, data)'), (13, ''), (14, ''), (15, 'def read3(path):'), (16, '    return os.open(path)'), (17, ''), (18, ''), (19, 'def write(path, data):')) t(line_no, line)"""
 ORACLE_SQL["repo_map_edges"] = f"""WITH {FILES}, g AS (SELECT r, count(*) AS n, min(path) AS dst FROM py GROUP BY r HAVING count(*) <= 5)

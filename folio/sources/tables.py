@@ -88,23 +88,30 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), F.when(k % 3 == 0, named(_PYTHON)).when(k % 3 == 1, prose).otherwise(named(_RUST)).alias("content"))
 
 
-#: {w}: a word, {i}: its number.
+#: A unit for each line of a text. {i}: its number; {w}: its first word; {t}: its letters.
 _UNITS = {
-    "go": "// } {w} {\nfunc {w}x{i}(a int) {\n\ts := \"}} {w}\" + `{` + string('}')\n}\n",
-    "rb": "# end {w}\ndef {w}_{i}(a)\n  x = \"end # {w}\"\n  if a then\n  end\nend\n",
-    "ts": "class {w}{i} {\n  /* } {w} */ text = `{ {w} \\` }`;\n  draw(v: View) {\n  }\n}\n",
-    "gd": "func {w}_{i}(a):\n\tvar s = \"func {w}():\"\n\treturn s # {w}\n\n",
-    "yaml": "{w}:\n  \"in \\\"{w}\": |\n    {w}: no key\n\n  list:\n    - deep: {{w}: 1}\n      more: \"{w}: x\"\n",
-    "toml": "[tool.{w}]\na.{w} = [\n  \"b = {w}\",\n]\nb = 'c = {w}' # d = 1\n\n",
+    "go": "// } {t} {\nfunc {w}x{i}(a int) {\n\ts := \"}} {w}\" + `{` + string('}')\n}\n",
+    "rb": "# end {t}\ndef {w}_{i}(a)\n  x = \"end # {w}\"\n  if a then\n  end\nend\n",
+    "ts": "class {w}{i} {\n  /* } {t} */ text = `{ {w} \\` }`;\n  draw(v: View) {\n  }\n}\n",
+    "gd": "func {w}_{i}(a):\n\tvar s = \"func {t}():\"\n\treturn s # {w}\n\n",
+    "yaml": "{w}{i}:\n  \"in \\\"{w}\": |\n    {w}: {t}\n\n  list:\n    - deep: {{w}: 1}\n      more: \"{w}: x\"\n",
+    "toml": "[tool.{w}{i}]\na.{w} = [\n  \"b = {t}\",\n]\nb = 'c = {w}' # d = 1\n\n",
 }
 
 
 def generated_files(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
-    """(id, path, content): a file for each document, of a kind by its number, with a unit for each distinct word of its text."""
+    """(id, path, content): a file for each document, of a kind by its number, with a unit for each line of its whole text."""
     d = table(spark, sf_dir, "documents")
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), 0)))
+    lines = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
     kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int"))
     unit = F.element_at(F.create_map(*(F.lit(x) for k in kinds for x in (k, _UNITS[k]))), F.col("kind"))
-    made = F.array_join(F.transform("words", lambda w, i: F.replace(F.replace(F.col("unit"), F.lit("{w}"), w), F.lit("{i}"), i.cast("string"))), "")
-    named = d.select(F.col("doc_id").alias("id"), words.alias("words"), kind.alias("kind")).withColumn("unit", unit)
-    return named.select("id", F.concat(F.lit("gen/d"), F.col("id").cast("string"), F.lit("."), "kind").alias("path"), made.alias("content"))
+
+    def made(line, i):
+        word = F.regexp_extract(line, "[a-z]{3,}", 0)
+        out = F.col("unit")
+        for mark, value in (("{i}", i.cast("string")), ("{w}", F.when(word == "", "none").otherwise(word)), ("{t}", F.regexp_replace(line, "[^a-z]+", " "))):
+            out = F.replace(out, F.lit(mark), value)
+        return out
+
+    named = d.select(F.col("doc_id").alias("id"), lines.alias("lines"), kind.alias("kind")).withColumn("unit", unit)
+    return named.select("id", F.concat(F.lit("gen/d"), F.col("id").cast("string"), F.lit("."), "kind").alias("path"), F.array_join(F.transform("lines", made), "").alias("content"))
