@@ -176,8 +176,9 @@ class Postings:
         own = cls(docs.sparkSession, path)
         postings = staged.select("id", "size", F.explode("counts").alias("c")).select("id", "c.term", "c.f", "size")
         minus = None if lost is None else lost.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        own._write(staged.drop("counts"), postings, minus, lost)
-        discard(docs.sparkSession, at, *([] if gone is None else [lost_at]))
+        own._write(staged.drop("counts"), postings, minus, lost, spent=at)
+        if gone is not None:
+            discard(docs.sparkSession, lost_at)
         release_shuffles(docs.sparkSession)
         return own
 
@@ -193,8 +194,9 @@ class Postings:
         own._write(index.docs.drop("segment", "range"), index.postings.select("id", "term", "f", "size"), None, removed, changes, (n, words))
         return own
 
-    def _write(self, docs: DataFrame, postings: DataFrame, minus: DataFrame | None, dead: DataFrame | None, changes: DataFrame | None = None, totals: tuple[int, int] | None = None) -> None:
-        """docs: id, size, facets, text_hash; postings: id, term, f, size; minus: (term, df) of dead documents; changes and totals: known statistics."""
+    def _write(self, docs: DataFrame, postings: DataFrame, minus: DataFrame | None, dead: DataFrame | None, changes: DataFrame | None = None, totals: tuple[int, int] | None = None, spent: str | None = None) -> None:
+        """docs: id, size, facets, text_hash; postings: id, term, f, size; minus: (term, df) of dead documents; changes and totals: known statistics;
+        spent: where docs and postings lie, deleted when they are written."""
         path, read = self.segments[0].path, self.spark.read
         classes = docs.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
         n, words = sum(r.n for r in classes), sum(r.words or 0 for r in classes)
@@ -210,8 +212,12 @@ class Postings:
         dealt = narrow.repartition(buckets * parts, bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64(range_), F.lit(parts)))
         dealt = dealt.select("id", "term", F.col("f").cast("long").alias("f"), "size", range_.alias("range"), bucket_of(F.col("term"), buckets).alias("bucket"))
         dealt.sortWithinPartitions("bucket", "term", "range", "id").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        id_type = dict(docs.dtypes)["id"]
+        del dealt, narrow
+        if spent:
+            discard(self.spark, spent)
         release_shuffles(self.spark)
-        written = read.schema(f"id {dict(docs.dtypes)['id']}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
+        written = read.schema(f"id {id_type}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
         counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
         plus = counts.select("term", F.col("own").alias("df"), "own")
         if changes is not None:
