@@ -1,4 +1,6 @@
-"""Structural search and rewriting of Python by patterns with $NAME and $$$NAME, and text differences."""
+"""Structural search and rewriting by patterns with $NAME and $$$NAME, and text differences.
+
+Python is matched by its own syntax trees, other languages by balanced tokens (trees.py)."""
 
 from __future__ import annotations
 
@@ -9,7 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from folio.operators.code.symbols import _exploded
+from folio.operators.code import trees
+from folio.operators.code.symbols import MAX_BYTES, _exploded, language_of
 
 _ONE, _MANY = "__one_", "__many_"
 
@@ -103,31 +106,75 @@ def change_count(before: str, after: str) -> int:
     return sum(line[:1] in "+-" and line[:3] not in ("+++", "---") for line in difflib.unified_diff(before.splitlines(), after.splitlines(), lineterm=""))
 
 
-def search_files(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line_start, line_end, matched); files that don't parse have no matches."""
+def _of_language(path: str, content: str, language: str) -> bool:
+    return language_of(path) == language and len(content) <= MAX_BYTES
 
-    def made(path: str, content: str) -> list[tuple]:
+
+def search_files(files: DataFrame, pattern: str, language: str | None = None) -> DataFrame:
+    """(path, line_start, line_end, matched) of Python, or of files of another language of the lexer's table.
+
+    Files that don't parse as Python have no matches; nor have files of other languages, if one is given."""
+
+    def of_python(path: str, content: str) -> list[tuple]:
         try:
-            return [m[:3] for m in search(content, pattern)]
+            return [m[:3] for m in search(content, pattern)] if language is None or _of_language(path, content, language) else []
         except (SyntaxError, ValueError, RecursionError):
             return []
 
-    _parsed(pattern)
-    return _exploded(files, made, "path string, line_start int, line_end int, matched string")
+    def of_tokens(path: str, content: str) -> list[tuple]:
+        return trees.search(content, pattern, language) if _of_language(path, content, language) else []
 
+    if language in (None, "python"):
+        _parsed(pattern)
+    else:
+        trees.compiled(pattern, language)
+    return _exploded(files, of_python if language in (None, "python") else of_tokens, "path string, line_start int, line_end int, matched string")
 
-def rewrite_files(files: DataFrame, pattern: str, template: str) -> DataFrame:
-    """(path, changed, diff, error_introduced): a dry run."""
 
-    def made(path: str, content: str) -> list[tuple]:
+def _rewriter(pattern: str, template: str, language: str | None):
+    """(path, content) -> (content after, whether the template broke it); checks the pattern at once."""
+
+    def of_python(path: str, content: str) -> tuple[str, bool]:
+        if language is not None and not _of_language(path, content, language):
+            return content, False
         try:
             search(content, pattern)
         except (SyntaxError, ValueError, RecursionError):
-            return [(False, "", False)]
+            return content, False
         try:
-            after = rewrite(content, pattern, template)
+            return rewrite(content, pattern, template), False
         except SyntaxError:
-            return [(False, "", True)]
-        return [(after != content, unified_diff(content, after, path), False)]
+            return content, True
+
+    def of_tokens(path: str, content: str) -> tuple[str, bool]:
+        return trees.rewrite(content, pattern, template, language) if _of_language(path, content, language) else (content, False)
+
+    if language in (None, "python"):
+        _parsed(pattern)
+        return of_python
+    trees.check_template(pattern, language, template)
+    return of_tokens
+
+
+def rewrite_files(files: DataFrame, pattern: str, template: str, language: str | None = None) -> DataFrame:
+    """(path, changed, diff, error_introduced): a dry run."""
+    after_of = _rewriter(pattern, template, language)
+
+    def made(path: str, content: str) -> list[tuple]:
+        after, broke = after_of(path, content)
+        return [(after != content, unified_diff(content, after, path) if after != content else "", broke)]
 
     return _exploded(files, made, "path string, changed boolean, diff string, error_introduced boolean")
+
+
+def rewritten_files(files: DataFrame, pattern: str, template: str, language: str | None = None) -> DataFrame:
+    """(path, content, changed, error_introduced): every file as it is after the rewriting, whole.
+
+    A file that the template would break keeps its content; one that was faulty before is rewritten."""
+    after_of = _rewriter(pattern, template, language)
+
+    def made(path: str, content: str) -> list[tuple]:
+        after, broke = after_of(path, content)
+        return [(after, after != content, broke)]
+
+    return _exploded(files, made, "path string, content string, changed boolean, error_introduced boolean")

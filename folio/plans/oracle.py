@@ -373,6 +373,18 @@ l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
 u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w FROM l),
 s AS (""" + " UNION ALL ".join(f"SELECT k, {name} AS name, {kind} AS kind, {a} AS a, {b} AS b, {scope} AS scope FROM u WHERE k % 4 = {c}" for c, name, kind, a, b, scope in _UNIT_ROWS) + """)
 SELECT k AS id, name, kind, CAST(a AS INTEGER) AS start_row, CAST(b AS INTEGER) AS end_row, scope FROM s"""
+_LINES = """d AS (SELECT doc_id AS k, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
+l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
+u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w, regexp_replace(line, '[^a-z]+', ' ', 'g') AS t FROM l)"""
+_FOUND = [
+    ("0", "8 * i + 4", "8 * i + 4", "'store(a.' || w || '(s, ' || i || ')?, vec![' || i || ', 2])'"), ("0", "8 * i + 5", "8 * i + 7", "'store(' || chr(10) || '        s,' || chr(10) || '    )'"),
+    ("1", "4 * i + 2", "4 * i + 2", "'v.' || w || ' == null'"), ("1", "4 * i + 3", "4 * i + 3", "'v.a + 1 == v.' || w"),
+    ("2", "4 * i + 3", "4 * i + 3", "'s := \"}} ' || w || '\" + `{` + string(''}'')'"),
+]
+ORACLE_SQL["structure_search"] = f"WITH {_LINES}, s AS (" + " UNION ALL ".join(f"SELECT k, {a} AS a, {b} AS b, {said} AS matched FROM u WHERE k % 3 = {c}" for c, a, b, said in _FOUND) + ") SELECT k AS id, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, matched FROM s"
+_TSX = "'function ' || w || i || '(v: View) {' || chr(10) || '  if (v.' || w || ' == null) { trace(v, [`}} ' || t || '`]); }' || chr(10) || '  /* log(v, 1) */ return v.a + 1 == v.' || w || ' && trace(f(v, ' || i || '), [\"(\"]);' || chr(10) || '}' || chr(10)"
+_RS = "'fn ' || w || '_' || i || '(a: u32) {' || chr(10) || '    // store(' || w || ', 0);' || chr(10) || '    let s = \"store(' || t || ', 1)\";' || chr(10) || '    store(a.' || w || '(s, ' || i || ')?, vec![' || i || ', 2]);' || chr(10) || '    store(' || chr(10) || '        s,' || chr(10) || '    );' || chr(10) || '}' || chr(10)"
+ORACLE_SQL["structure_rewrite"] = f"WITH {_LINES} SELECT k AS id, k % 2 = 0 AS changed, false AS error_introduced, md5(string_agg(CASE WHEN k % 2 = 0 THEN {_TSX} ELSE {_RS} END, '' ORDER BY i)) AS content_md5 FROM u GROUP BY k"
 ORACLE_SQL["key_scopes"] = """WITH d AS (SELECT doc_id AS k, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
 l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
 u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w FROM l),

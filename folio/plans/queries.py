@@ -622,6 +622,27 @@ def ast_rewrite(spark, sf_dir):
     return found.select("path", "changed", F.md5(F.encode("diff", "UTF-8")).alias("diff_md5"), "error_introduced")
 
 
+def _document_id():
+    return F.regexp_extract("path", r"gen/d(-?\d+)", 1).cast("long").alias("id")
+
+
+@query
+def structure_search(spark, sf_dir):
+    """Patterns of three languages over files whose comments and strings hold what the patterns ask for."""
+    files = generated_files(spark, sf_dir, ["rs", "tsx", "go"]).select("path", "content")
+    asked = [("store($X, $$$REST)", "rust"), ("$A == $B", "typescript"), ("$N := $V", "go")]
+    found = [structure.search_files(files, pattern, language) for pattern, language in asked]
+    return found[0].union(found[1]).union(found[2]).select(_document_id(), "line_start", "line_end", "matched")
+
+
+@query
+def structure_rewrite(spark, sf_dir):
+    """Arguments of a call swapped in TypeScript files, the others as they are."""
+    files = generated_files(spark, sf_dir, ["tsx", "rs"]).select("path", "content")
+    found = structure.rewritten_files(files, "log($A, $B)", "trace($B, [$A])", "typescript")
+    return found.select(_document_id(), "changed", "error_introduced", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
 #: Rule files of a tree of pages: by path, their lines.
 IGNORE = [(".gitignore", "# pages\n*.html\n!/com/**/1*.html\n/net/*/es/\nblog.*\n!blog.t*\nspam-*/\n"), ("org/.gitignore", "/thther.example.org/en\n!*.html\n")]
 

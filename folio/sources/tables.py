@@ -93,6 +93,8 @@ _UNITS = {
     "go": "// } {t} {\nfunc {w}x{i}(a int) {\n\ts := \"}} {w}\" + `{` + string('}')\n}\n",
     "rb": "# end {t}\ndef {w}_{i}(a)\n  x = \"end # {w}\"\n  if a then\n  end\nend\n",
     "ts": "class {w}{i} {\n  /* } {t} */ text = `{ {w} \\` }`;\n  draw(v: View) {\n  }\n}\n",
+    "rs": "fn {w}_{i}(a: u32) {\n    // store({w}, 0);\n    let s = \"store({t}, 1)\";\n    store(a.{w}(s, {i})?, vec![{i}, 2]);\n    store(\n        s,\n    );\n}\n",
+    "tsx": "function {w}{i}(v: View) {\n  if (v.{w} == null) { log(`}} {t}`, v); }\n  /* log(v, 1) */ return v.a + 1 == v.{w} && log(\"(\", f(v, {i}));\n}\n",
     "gd": "func {w}_{i}(a):\n\tvar s = \"func {t}():\"\n\treturn s # {w}\n\n",
     "yaml": "{w}{i}:\n  \"in \\\"{w}\": |\n    {w}: {t}\n\n  list:\n    - deep: {{w}: 1}\n      more: \"{w}: x\"\n",
     "toml": "[tool.{w}{i}]\na.{w} = [\n  \"b = {t}\",\n]\nb = 'c = {w}' # d = 1\n\n",
