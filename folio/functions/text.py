@@ -48,6 +48,30 @@ def query_terms(text: str) -> list[str]:
     return out[:MAX_QUERY_TERMS]
 
 
+def byte_capped(text: Column, limit: int, mark: str = "...") -> Column:
+    """At most limit bytes of UTF-8, whole characters and the mark where something is cut; `…` counts as one byte."""
+    room = limit - (1 if mark == "…" else len(mark))
+    # a character's first bytes without its last one, in hexadecimal
+    partial = "(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$"
+    kept = F.decode(F.unhex(F.regexp_replace(F.hex(F.substring(F.encode(text, "UTF-8"), 1, room)), partial, "")), "UTF-8")
+    return F.when(F.octet_length(text) > limit, F.concat(kept, F.lit(mark))).otherwise(text)
+
+
+def first_line(text: Column) -> Column:
+    return F.regexp_extract(text, r"\A([^\r\n]*)", 1)
+
+
+def match_preview(text: Column, limit: int = 200) -> Column:
+    """A match's first line within the limit; ` ...` says that others follow."""
+    line = first_line(text)
+    more = F.length(F.regexp_replace(text, r"\r?\n\z", "")) > F.length(line)
+    return F.when(F.octet_length(line) > limit, byte_capped(line, limit)).when(more, F.concat(line, F.lit(" ..."))).otherwise(line)
+
+
+def signature_preview(text: Column, limit: int = 80) -> Column:
+    return byte_capped(first_line(text), limit, "…")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0))
 

@@ -119,18 +119,30 @@ def fit(state: Any, tokens: int = TOKENS) -> Any:
 
 
 def fit_column(rows: DataFrame, json_col: str, tokens: int = TOKENS, out: str = "fitted") -> DataFrame:
-    """Adds the fitted JSON of each row, and its size before and after."""
+    """Adds the fitted JSON of each row, its size before and after, and what is wrong with it.
+
+    Null stays null; malformed JSON gives null and an error, and the other rows go on."""
     names, at = rows.columns, rows.columns.index(json_col)
+    added = [out, "tokens_before", "tokens_after", "fit_error"]
+    if clash := sorted({n.lower() for n in names} & set(added)):
+        raise ValueError(f"columns that the result adds: {clash}")
+
+    def parsed(x: str | None) -> tuple[Any, str | None]:
+        try:
+            return (None, None) if x is None else (json.loads(x), None)
+        except (ValueError, RecursionError) as e:
+            return None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = [None if x is None else json.loads(x) for x in batch.column(at).to_pylist()]
+            read = [parsed(x) for x in batch.column(at).to_pylist()]
+            before = [x for x, _ in read]
             after = [None if x is None else fit(x, tokens) for x in before]
             size = lambda xs: pa.array([None if x is None else request_size(x) for x in xs], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else json.dumps(x, ensure_ascii=False) for x in after], pa.string()), size(before), size(after)], [*names, out, "tokens_before", "tokens_after"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else json.dumps(x, ensure_ascii=False) for x in after], pa.string()), size(before), size(after), pa.array([e for _, e in read], pa.string())], [*names, *added])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{schema}, {out} string, tokens_before long, tokens_after long")
+    return rows.mapInArrow(run, f"{schema}, {out} string, tokens_before long, tokens_after long, fit_error string")
 
 
 def choice(response: dict, question: str, options: list[str]) -> tuple[str | None, float | None]:

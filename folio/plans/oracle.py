@@ -85,6 +85,43 @@ MD = """md AS (
   SELECT doc_id AS id, '# ' || source || chr(10) || chr(10) || left(text, length(text) // 2) || chr(10) || chr(10) || '## ' || lang
          || chr(10) || chr(10) || substr(text, length(text) // 2 + 1) AS body
   FROM documents)"""
+_WORD = r"[^\s\p{Z}\x{85}]+"
+_INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+#: The cut as two recursions: over the lines of blocks that exceed the room, and over runs of blocks that don't.
+ORACLE_SQL["chunk_passages"] = f"""WITH RECURSIVE {MD}, src AS (SELECT doc_id AS id, source, 1 + len(regexp_extract_all(source, '{_WORD}')) AS tw FROM documents),
+ln AS (SELECT id, unnest(string_split(body, chr(10))) AS line, unnest(range(0, len(string_split(body, chr(10))))) AS n FROM md),
+hd AS (SELECT *, length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]', 1)) AS level, trim(regexp_replace(trim(regexp_extract(line, '^ {{0,3}}#{{1,6}}[ \t]+(.*)$', 1)), '(^|[ \t]+)#+$', '')) AS title FROM ln),
+w0 AS (SELECT id, n, line, len(regexp_extract_all(line, '{_WORD}')) AS w, title <> '' AS head, level, title, CAST(count(*) FILTER (title <> '') OVER (PARTITION BY id ORDER BY n) AS INTEGER) AS s0 FROM hd),
+hs AS (SELECT id, s0, level, title FROM w0 WHERE head),
+paths AS (SELECT i.id, i.s0 AS sec, string_agg(j.title, ' › ' ORDER BY j.s0) AS path FROM hs i JOIN hs j ON j.id = i.id AND j.s0 <= i.s0
+  WHERE NOT EXISTS (SELECT 1 FROM hs k WHERE k.id = i.id AND k.s0 > j.s0 AND k.s0 <= i.s0 AND k.level <= j.level) GROUP BY i.id, i.s0),
+bare AS (SELECT id, s0, coalesce(sum(w) FILTER (NOT head), 0) = 0 AS bare FROM w0 GROUP BY id, s0),
+joined AS (SELECT id, s0, coalesce(min(s0) FILTER (NOT bare) OVER (PARTITION BY id ORDER BY s0 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(s0) FILTER (NOT bare) OVER (PARTITION BY id), max(s0) OVER (PARTITION BY id)) AS sec FROM bare),
+w AS (SELECT id, n, line, w, head, sec FROM w0 JOIN joined USING (id, s0)),
+doc AS (SELECT id, coalesce(max(n) FILTER (w > 0), 0) AS b, (4 * tw + 2) // 3 + (4 * sum(w) + 2) // 3 + 4 <= 220 AS fits FROM w JOIN src USING (id) GROUP BY id, tw),
+sec AS (SELECT id, sec, min(n) AS a, max(n) FILTER (w > 0) AS b, CAST(sum(w) AS BIGINT) AS words, (4 * (tw + 1 + len(regexp_extract_all(path, '{_WORD}'))) + 2) // 3 AS p FROM w JOIN src USING (id) JOIN doc USING (id) JOIN paths USING (id, sec) WHERE NOT fits GROUP BY id, sec, tw, path),
+open AS (SELECT id, sec, greatest(216 - p, 32) AS room FROM sec WHERE p + (4 * words + 2) // 3 + 4 > 220),
+runs AS (SELECT id, sec, room, n - row_number() OVER (PARTITION BY id, sec ORDER BY n) AS run, n, w, head FROM w JOIN open USING (id, sec) WHERE w > 0),
+span AS (SELECT id, sec, room, min(n) AS a, max(n) AS b, CAST(sum(w) AS BIGINT) AS words, bool_and(head) AND count(*) = 1 AS head, row_number() OVER (PARTITION BY id, sec ORDER BY run) AS r, count(*) OVER (PARTITION BY id, sec) AS total FROM runs GROUP BY id, sec, room, run),
+block_of AS (SELECT *, min(r) FILTER (NOT head OR r = total) OVER (PARTITION BY id, sec ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM span),
+blk AS (SELECT id, sec, room, min(a) AS a, max(b) AS b, CAST(sum(words) AS BIGINT) AS words, row_number() OVER (PARTITION BY id, sec ORDER BY min(a)) AS k, (4 * sum(words) + 2) // 3 > room AS big
+        FROM block_of GROUP BY id, sec, room, g),
+cut AS (SELECT id, sec, k, room, b, a AS i, a AS start, w.w AS words, CASE WHEN head THEN 0 ELSE w.w END AS said FROM blk JOIN w USING (id, sec) WHERE big AND w.n = a
+  UNION ALL SELECT c.id, c.sec, c.k, room, b, n, CASE WHEN said > 0 AND (4 * (words + w) + 2) // 3 > room THEN n ELSE start END, CASE WHEN said > 0 AND (4 * (words + w) + 2) // 3 > room THEN w ELSE words + w END,
+         CASE WHEN head THEN 0 ELSE w END + CASE WHEN said > 0 AND (4 * (words + w) + 2) // 3 > room THEN 0 ELSE said END
+  FROM cut c JOIN w ON w.id = c.id AND w.n = c.i + 1 WHERE c.i < c.b),
+packed AS (SELECT id, sec, k, room, b, CASE WHEN big THEN NULL ELSE a END AS start, words FROM blk WHERE k = 1
+  UNION ALL SELECT m.id, m.sec, n.k, m.room, n.b, CASE WHEN big THEN NULL WHEN start IS NOT NULL AND (4 * (m.words + n.words) + 2) // 3 <= m.room THEN start ELSE a END,
+         CASE WHEN start IS NOT NULL AND NOT big AND (4 * (m.words + n.words) + 2) // 3 <= m.room THEN m.words + n.words ELSE n.words END
+  FROM packed m JOIN blk n ON n.id = m.id AND n.sec = m.sec AND n.k = m.k + 1),
+ranges AS (SELECT id, -1 AS sec, 0 AS a, b FROM doc WHERE fits
+  UNION ALL SELECT id, sec, a, b FROM sec ANTI JOIN open USING (id, sec)
+  UNION ALL SELECT id, sec, start, max(i) FROM cut GROUP BY id, sec, k, start
+  UNION ALL SELECT id, sec, start, max(b) FROM packed WHERE start IS NOT NULL GROUP BY id, sec, start),
+texts AS (SELECT r.id, r.sec, r.a, r.b, regexp_replace(string_agg(line, chr(10) ORDER BY n), '[\\s\\p{{Z}}\\x{{85}}]+$', '') AS said FROM ranges r JOIN w ON w.id = r.id AND w.n BETWEEN r.a AND r.b GROUP BY r.id, r.sec, r.a, r.b),
+full_texts AS (SELECT id, a, b, coalesce(path, '') AS heading_path, 'Concept: ' || source || coalesce(chr(10) || 'Section: ' || path, '') || chr(10) || chr(10) || said AS t FROM texts JOIN src USING (id) LEFT JOIN paths USING (id, sec))
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS ordinal, regexp_replace(t, '{_INVISIBLE}', '', 'g') AS passage, heading_path, CAST(a + 1 AS INTEGER) AS start_line, CAST(b + 1 AS INTEGER) AS end_line,
+       CAST(len(regexp_extract_all(t, '{_INVISIBLE}')) AS INTEGER) AS invisible FROM full_texts"""
 ORACLE_SQL["chunk_coverage_invariant"] = f"""WITH {MD}
 SELECT id, count(*) AS covered, count(*) AS lines FROM (SELECT id, unnest(string_split(body, chr(10))) AS line FROM md) WHERE regexp_matches(line, '\\S') GROUP BY id"""
 ORACLE_SQL["token_estimates"] = """
@@ -130,6 +167,19 @@ SELECT CASE WHEN path LIKE 'skill/%' THEN 'skill' WHEN path LIKE 'styleguide/%'
 ORACLE_SQL["integrity_mismatch"] = f"""WITH {TREES}
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'unlisted' WHEN b.path IS NULL THEN 'missing' ELSE 'mismatch' END AS problem
 FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h"""
+_SNAPSHOTS = """s AS (SELECT doc_id AS id, doc_id // 64 AS g, coalesce(lang, 'none') AS la, coalesce(source, 'none') AS so, text FROM documents),
+a AS (SELECT la || '/' || so || '/g' || g || '/d' || id AS path, sha256(text) AS h FROM s),
+b AS (SELECT la || '/' || so || '/g' || g || '/d' || id AS path, sha256(CASE WHEN g % 5 = 0 AND id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM s WHERE g % 7 <> 3
+      UNION ALL SELECT 'new/' || la || '/d' || id, sha256(text) FROM s WHERE g % 11 = 5),
+f AS (SELECT coalesce(a.path, b.path) AS path, a.path IS NOT NULL AS was, b.path IS NOT NULL AS is_there,
+      CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' END AS change FROM a FULL OUTER JOIN b ON a.path = b.path)"""
+ORACLE_SQL["merkle_changes"] = f"WITH {_SNAPSHOTS} SELECT path, change FROM f WHERE change IS NOT NULL"
+ORACLE_SQL["merkle_folders"] = f"""WITH {_SNAPSHOTS}, p AS (SELECT *, string_split(path, '/') AS x FROM f),
+u AS (SELECT *, unnest(range(0, len(x))) AS depth FROM p), w AS (SELECT *, array_to_string(x[1:depth], '/') AS folder, depth = len(x) - 1 AS inside FROM u)
+SELECT folder, CAST(depth AS INTEGER) AS depth,
+       CASE WHEN NOT bool_or(was) THEN 'added' WHEN NOT bool_or(is_there) THEN 'removed' WHEN bool_or(change IS NOT NULL) THEN 'changed' ELSE 'same' END AS change,
+       coalesce(bool_or(change IS NOT NULL) FILTER (inside), false) AS own_differs, count(*) FILTER (was) AS files_before, count(*) FILTER (is_there) AS files_after
+FROM w GROUP BY folder, depth"""
 ORACLE_SQL["bundle_hash"] = f"""WITH {DOCS}
 SELECT book, sha256(string_agg(concept_id || chr(10) || sha256(text) || chr(10), '' ORDER BY concept_id <> 'document/d4', concept_id)) AS bundle_hash FROM docs GROUP BY book"""
 ORACLE_SQL["update_plan"] = """
@@ -381,10 +431,16 @@ _FOUND = [
     ("1", "4 * i + 2", "4 * i + 2", "'v.' || w || ' == null'"), ("1", "4 * i + 3", "4 * i + 3", "'v.a + 1 == v.' || w"),
     ("2", "4 * i + 3", "4 * i + 3", "'s := \"}} ' || w || '\" + `{` + string(''}'')'"),
 ]
-ORACLE_SQL["structure_search"] = f"WITH {_LINES}, s AS (" + " UNION ALL ".join(f"SELECT k, {a} AS a, {b} AS b, {said} AS matched FROM u WHERE k % 3 = {c}" for c, a, b, said in _FOUND) + ") SELECT k AS id, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, matched FROM s"
+ORACLE_SQL["structure_search"] = f"WITH {_LINES}, s AS (" + " UNION ALL ".join(f"SELECT k, {a} AS a, {b} AS b, {said} AS matched FROM u WHERE k % 3 = {c}" for c, a, b, said in _FOUND) + ") SELECT k AS id, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, matched, CASE WHEN a < b THEN 'store( ...' ELSE matched END AS preview FROM s"
 _TSX = "'function ' || w || i || '(v: View) {' || chr(10) || '  if (v.' || w || ' == null) { trace(v, [`}} ' || t || '`]); }' || chr(10) || '  /* log(v, 1) */ return v.a + 1 == v.' || w || ' && trace(f(v, ' || i || '), [\"(\"]);' || chr(10) || '}' || chr(10)"
 _RS = "'fn ' || w || '_' || i || '(a: u32) {' || chr(10) || '    // store(' || w || ', 0);' || chr(10) || '    let s = \"store(' || t || ', 1)\";' || chr(10) || '    store(a.' || w || '(s, ' || i || ')?, vec![' || i || ', 2]);' || chr(10) || '    store(' || chr(10) || '        s,' || chr(10) || '    );' || chr(10) || '}' || chr(10)"
 ORACLE_SQL["structure_rewrite"] = f"WITH {_LINES} SELECT k AS id, k % 2 = 0 AS changed, false AS error_introduced, md5(string_agg(CASE WHEN k % 2 = 0 THEN {_TSX} ELSE {_RS} END, '' ORDER BY i)) AS content_md5 FROM u GROUP BY k"
+_GO = "'// } ' || t || ' {' || chr(10) || 'func ' || w || 'x' || i || '(a int) {' || chr(10) || chr(9) || 's := \"}} ' || w || '\" + `{` + string(''}'')' || chr(10) || '}' || chr(10)"
+_RB = "'# end ' || t || chr(10) || 'def ' || w || '_' || i || '(a)' || chr(10) || '  x = \"end # ' || w || '\"' || chr(10) || '  if a then' || chr(10) || '  end' || chr(10) || 'end' || chr(10)"
+ORACLE_SQL["code_zooms"] = f"""WITH {_LINES}, c AS (SELECT k, string_split(string_agg(CASE WHEN k % 2 = 0 THEN {_GO} ELSE {_RB} END, '' ORDER BY i), chr(10)) AS x FROM u GROUP BY k),
+z AS (SELECT k, CASE WHEN k % 2 = 0 THEN w || 'x' || i ELSE w || '_' || i END AS name, CASE WHEN k % 2 = 0 THEN 4 * i + 2 ELSE 6 * i + 2 END AS a, CASE WHEN k % 2 = 0 THEN 4 * i + 4 ELSE 6 * i + 6 END AS b, x FROM u JOIN c USING (k)),
+r AS (SELECT k, name, greatest(a - 3, 1) AS p, least(b + 3, len(x)) AS q, x FROM z)
+SELECT k AS id, name, CAST(p AS INTEGER) AS first_line, CAST(q AS INTEGER) AS last_line, md5(array_to_string(x[p:q], chr(10))) AS lines_md5 FROM r"""
 ORACLE_SQL["key_scopes"] = """WITH d AS (SELECT doc_id AS k, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
 l AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d),
 u AS (SELECT k, i, coalesce(nullif(regexp_extract(line, '[a-z]{3,}'), ''), 'none') AS w FROM l),

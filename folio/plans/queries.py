@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import ignore, text, vectors
-from folio.operators import calls, catalog, chunking, context, decision, embedding, evaluation, graph, index, retrieval, review, validation
+from folio.operators import calls, catalog, chunking, context, decision, embedding, evaluation, graph, index, merkle, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
 from folio.operators.memo import Memo
 from folio.operators.postings import Postings
@@ -258,6 +258,29 @@ def integrity_mismatch(spark, sf_dir):
     return catalog.integrity_problems(*_trees(spark, sf_dir))
 
 
+def _snapshots(spark, sf_dir):
+    """Documents as files by language, source and group of numbers, and as they are later: some groups edited, removed or copied."""
+    d, group = table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 64)
+    folder = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.concat(F.lit("g"), group.cast("string")))
+    path, name = F.concat(folder, F.lit("/d"), F.col("doc_id").cast("string")), F.concat(F.lit("/d"), F.col("doc_id").cast("string"))
+    edited = F.when((group % 5 == 0) & (F.col("doc_id") % 3 == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    later = d.where(group % 7 != 3).select(path.alias("path"), F.sha2(edited, 256).alias("hash"))
+    copies = d.where(group % 11 == 5).select(F.concat(F.lit("new/"), F.coalesce("lang", F.lit("none")), name).alias("path"), F.sha2("text", 256).alias("hash"))
+    return d.select(path.alias("path"), F.sha2("text", 256).alias("hash")), later.union(copies)
+
+
+@query
+def merkle_changes(spark, sf_dir):
+    """Changed files of two snapshots; files of folders with equal digests aren't joined."""
+    return merkle.changes(*_snapshots(spark, sf_dir))
+
+
+@query
+def merkle_folders(spark, sf_dir):
+    before, after = _snapshots(spark, sf_dir)
+    return merkle.compare(merkle.folders(before), merkle.folders(after))
+
+
 @query
 def bundle_hash(spark, sf_dir):
     d = documents(spark, sf_dir).select("book", F.col("concept_id").alias("path"), F.sha2("text", 256).alias("hash"))
@@ -521,7 +544,7 @@ def json_facets(spark, sf_dir):
 @query
 def budget_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("state"))
-    return decision.fit_column(rows, "state", 64)
+    return decision.fit_column(rows, "state", 64).drop("fit_error")
 
 
 @query
@@ -604,6 +627,14 @@ def code_zoom(spark, sf_dir):
     return outline.zoom(files, symbols.extract_symbols(files.where("path = 'src/d3.py'")), "src/d3.py", "read3")
 
 
+@query
+def code_zooms(spark, sf_dir):
+    """Every symbol of generated Go and Ruby files with the lines around it."""
+    files = generated_files(spark, sf_dir, ["go", "rb"]).select("path", "content")
+    found = outline.zooms(files, symbols.extract_symbols(files))
+    return found.select(_document_id(), "name", "first_line", "last_line", F.md5(F.encode("lines", "UTF-8")).alias("lines_md5"))
+
+
 @query
 def repo_map_edges(spark, sf_dir):
     files = code_files(spark, sf_dir).where("path LIKE 'src/%'")
@@ -632,7 +663,7 @@ def structure_search(spark, sf_dir):
     files = generated_files(spark, sf_dir, ["rs", "tsx", "go"]).select("path", "content")
     asked = [("store($X, $$$REST)", "rust"), ("$A == $B", "typescript"), ("$N := $V", "go")]
     found = [structure.search_files(files, pattern, language) for pattern, language in asked]
-    return found[0].union(found[1]).union(found[2]).select(_document_id(), "line_start", "line_end", "matched")
+    return found[0].union(found[1]).union(found[2]).select(_document_id(), "line_start", "line_end", "matched", text.match_preview(F.col("matched")).alias("preview"))
 
 
 @query
