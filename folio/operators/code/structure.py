@@ -110,10 +110,8 @@ def _of_language(path: str, content: str, language: str) -> bool:
     return language_of(path) == language and len(content) <= MAX_BYTES
 
 
-def search_files(files: DataFrame, pattern: str, language: str | None = None) -> DataFrame:
-    """(path, line_start, line_end, matched) of Python, or of files of another language of the lexer's table.
-
-    Files that don't parse as Python have no matches; nor have files of other languages, if one is given."""
+def _searcher(pattern: str, language: str | None):
+    """(path, content) -> matches; checks the pattern at once."""
 
     def of_python(path: str, content: str) -> list[tuple]:
         try:
@@ -126,9 +124,22 @@ def search_files(files: DataFrame, pattern: str, language: str | None = None) ->
 
     if language in (None, "python"):
         _parsed(pattern)
-    else:
-        trees.compiled(pattern, language)
-    return _exploded(files, of_python if language in (None, "python") else of_tokens, "path string, line_start int, line_end int, matched string")
+        return of_python
+    trees.compiled(pattern, language)
+    return of_tokens
+
+
+def search_files(files: DataFrame, pattern: str, language: str | None = None) -> DataFrame:
+    """(path, line_start, line_end, matched) of Python, or of files of another language of the lexer's table.
+
+    Files that don't parse as Python have no matches; nor have files of other languages, if one is given."""
+    return _exploded(files, _searcher(pattern, language), "path string, line_start int, line_end int, matched string")
+
+
+def search_each(files: DataFrame, asked: list[tuple[str, str]]) -> DataFrame:
+    """(path, pattern, line_start, line_end, matched) of many (pattern, language) in one pass over the files."""
+    each = [(pattern, _searcher(pattern, language)) for pattern, language in asked]
+    return _exploded(files, lambda path, content: [(pattern, *m) for pattern, of in each for m in of(path, content)], "path string, pattern string, line_start int, line_end int, matched string")
 
 
 def _rewriter(pattern: str, template: str, language: str | None):

@@ -46,6 +46,8 @@ class Tokens:
     ends: list[int]
     #: By token: the index of a bracket's partner, -1 for others.
     partner: list[int]
+    #: By token: its stretch of one level between commas and semicolons.
+    stretch: list[int]
     #: Brackets without a partner.
     faults: int
 
@@ -66,9 +68,9 @@ def tokens(content: str, language: str, token: re.Pattern = _TOKEN) -> Tokens:
     texts, spans, hidden, nested, at = [], [], _hidden(language), SYNTAX[language].nested, 0
 
     def visible(a: int, b: int) -> None:
-        for m in token.finditer(content, a, b):
-            texts.append(m[0])
-            spans.append(m.span())
+        found = list(token.finditer(content, a, b))
+        texts.extend([m[0] for m in found])
+        spans.extend([m.span() for m in found])
 
     while m := hidden.search(content, at):
         end = _nested_end(content, m.start()) if nested and m["nest"] else max(m.end(), m.start() + 1)
@@ -80,16 +82,25 @@ def tokens(content: str, language: str, token: re.Pattern = _TOKEN) -> Tokens:
         at = end
     visible(at, len(content))
     partner, stack, faults = [-1] * len(texts), [], 0
+    stretch, now, last, outer = [], 0, 0, []
     for n, text in enumerate(texts):
         if text in _PARTNER:
             stack.append(n)
-        elif text in _CLOSERS:
+            stretch.append(now)
+            outer.append(now)
+            now = last = last + 1
+            continue
+        if text in _CLOSERS:
             if stack and _PARTNER[texts[stack[-1]]] == text:
                 partner[n] = stack.pop()
                 partner[partner[n]] = n
+                now = outer.pop()
             else:
                 faults += 1
-    return Tokens(content, language, texts, [a for a, _ in spans], [b for _, b in spans], partner, faults + len(stack))
+        elif text == "," or text == ";":
+            now = last = last + 1
+        stretch.append(now)
+    return Tokens(content, language, texts, [a for a, _ in spans], [b for _, b in spans], partner, stretch, faults + len(stack))
 
 
 def _hole(text: str) -> tuple[str, bool] | None:
@@ -120,11 +131,17 @@ class Pattern:
         if not all(w in content for w in self.words):
             return
         run = _Run(self, tokens(content, self.language))
-        for at in range(len(run.t.texts)):
-            if self.holes[0] is None:
-                if run.t.texts[at] == self.texts[0] and (end := run.match(0, at, {})) is not None:
+        if self.holes[0] is None:
+            first = self.texts[0]
+            for at, text in enumerate(run.t.texts):
+                if text == first and (end := run.match(0, at, {})) is not None:
                     yield run.t, at, *end
-            else:
+            return
+        # what a first hole holds is of one stretch with the token that follows it
+        follows = self.texts[1] if self.holes[1] is None and not self.holes[0][1] else None
+        near = {s for s, text in zip(run.t.stretch, run.t.texts, strict=True) if text == follows}
+        for at, stretch in enumerate(run.t.stretch):
+            if follows is None or follows in (",", ";") or stretch in near:
                 for held in run.leading(at):
                     if (end := run.match(1, held, run.bound({}, 0, at, held))) is not None:
                         yield run.t, at, *end

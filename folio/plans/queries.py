@@ -662,8 +662,8 @@ def structure_search(spark, sf_dir):
     """Patterns of three languages over files whose comments and strings hold what the patterns ask for."""
     files = generated_files(spark, sf_dir, ["rs", "tsx", "go"]).select("path", "content")
     asked = [("store($X, $$$REST)", "rust"), ("$A == $B", "typescript"), ("$N := $V", "go")]
-    found = [structure.search_files(files, pattern, language) for pattern, language in asked]
-    return found[0].union(found[1]).union(found[2]).select(_document_id(), "line_start", "line_end", "matched", text.match_preview(F.col("matched")).alias("preview"))
+    found = structure.search_each(files, asked)
+    return found.select(_document_id(), "line_start", "line_end", "matched", text.match_preview(F.col("matched")).alias("preview"))
 
 
 @query

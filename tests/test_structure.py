@@ -73,3 +73,5 @@ def test_files(spark):
     assert {r.path: r.changed for r in structure.rewrite_files(files, "store($X)", "keep($X)", "rust").collect()} == {"a.rs": True, "b.ts": False, "c": False, "e.rs": False}
     after = {r.path: r.content for r in structure.rewritten_files(files, "store($X)", "keep($X)", "rust").collect()}
     assert after["a.rs"] == RUST.replace('store(\n        "store(q, r)",\n    )', 'keep("store(q, r)")') and after["b.ts"] == RUST and after["e.rs"] == ""
+    both = structure.search_each(files, [("store($X)", "rust"), ("$A == $B", "rust"), ("$A == $B", "typescript")])
+    assert sorted((r.path, r.pattern, r.line_start) for r in both.collect()) == [("a.rs", "$A == $B", 7), ("a.rs", "$A == $B", 7), ("a.rs", "store($X)", 4), ("b.ts", "$A == $B", 7), ("b.ts", "$A == $B", 7)]
