@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.storage import saved
 
@@ -25,28 +28,71 @@ def _runs(n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " ")))
 
 
-def containing(docs: DataFrame, items: DataFrame, id_col: str = "uri", text_col: str = "body", item_col: str = "query", item_text: str = "text") -> DataFrame:
+def _short(own: DataFrame, items: DataFrame, together: int) -> DataFrame:
+    """(_item, _id) of texts that contain items without inner words, found by one automaton for `together` of them."""
+    spark, out, items = own.sparkSession, None, items.distinct()
+    total = items.count()
+    blocks = max(1, 2 * -(-total // together) - 1)
+    dealt = saved(items.withColumn("_block", F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks))), "evaluation-short")
+    kind = own.schema["_id"]
+
+    def finder(texts: dict[str, list[int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text, numbers in texts.items():
+                if text:
+                    automaton.add_word(text, numbers)
+            if len(automaton):
+                automaton.make_automaton()
+            for batch in batches:
+                for i in range(batch.num_rows):  # one text at a time
+                    body = batch.column(1)[i].as_py()
+                    if body is None:
+                        continue
+                    found = {id(n): n for _, n in automaton.iter(body)} if len(automaton) else {}
+                    numbers = [n for held in found.values() for n in held] + texts.get("", [])
+                    for at in range(0, len(numbers), 10_000):
+                        part = pa.array(numbers[at : at + 10_000], pa.int32())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part), pa.int32())), part], ["_id", "_number"])
+
+        return run
+
+    for block in range(blocks if total else 0):
+        rows = dealt.where(F.col("_block") == block).select("_item", "_text").collect()  # about `together` or half of it
+        texts: dict[str, list[int]] = {}
+        for n, r in enumerate(rows):
+            texts.setdefault(r["_text"], []).append(n)
+        if rows:
+            numbered = spark.createDataFrame([(n, r["_item"]) for n, r in enumerate(rows)], T.StructType([T.StructField("_number", T.IntegerType()), items.schema["_item"]]))
+            found = own.select("_id", "_body").mapInArrow(finder(texts), T.StructType([kind, T.StructField("_number", T.IntegerType())]))
+            found = found.join(F.broadcast(numbered), "_number").select("_item", "_id")
+            out = found if out is None else out.union(found)
+    return out if out is not None else items.select("_item").limit(0).crossJoin(own.select("_id").limit(0))
+
+
+def containing(docs: DataFrame, items: DataFrame, id_col: str = "uri", text_col: str = "body", item_col: str = "query", item_text: str = "text", together: int = BROADCAST_PROBES) -> DataFrame:
     """(item, id) of the documents whose text contains an item's whole text.
 
     An item's inner words stand as whole words in a text that contains it. A run of them, its probe, is
-    looked up among the runs of each text; only texts that hold it are searched. Items of less than three
-    words have no inner words: all texts are searched for these few."""
-    split = items.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), _words(F.col(item_text)).alias("_words"))
+    looked up among the runs of each text, of all probes' lengths in one pass; only texts that hold it are
+    searched. Items of less than three words have no inner words: an automaton finds them in the texts,
+    a bounded number at a time. An empty item is in every text, a null one in none."""
+    split = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), _words(F.col(item_text)).alias("_words"))
     inner = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 2, F.lit(0)))
     run = F.slice(inner, (F.floor((F.size(inner) - F.least(F.size(inner), F.lit(PROBE_WORDS))) / 2) + 1).cast("int"), F.least(F.size(inner), F.lit(PROBE_WORDS)))
     probes = saved(split.select("_item", "_text", F.least(F.size(inner), F.lit(PROBE_WORDS)).alias("_n"), F.xxhash64(F.array_join(run, " ")).alias("_probe")), "evaluation-probes")
     some = probes.where("_n > 0")
     sizes = [r["_n"] for r in some.select("_n").distinct().collect()]  # at most PROBE_WORDS
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
-    few = probes.count() <= BROADCAST_PROBES
-    out = own.crossJoin(F.broadcast(probes.where("_n = 0"))) if few else own.join(probes.where("_n = 0"), F.expr("contains(_body, _text)"))
-    found = out.where(F.expr("contains(_body, _text)")).select("_item", "_id")
-    for n in sizes:
-        runs = _runs(n)
-        words = own.select("_id", _words(F.col("_body")).alias("_words")).where(F.size("_words") >= n)
-        wanted = some.where(F.col("_n") == n).select("_probe", "_item", "_text")
-        hits = words.select("_id", F.explode(F.array_distinct(runs)).alias("_probe")).join(F.broadcast(wanted) if few else wanted, "_probe").select("_id", "_item", "_text")
-        hits = saved(hits, "evaluation-hits")
+    found = _short(own, probes.where("_n = 0").select("_item", "_text"), together)
+    if sizes:
+        words = own.select("_id", _words(F.col("_body")).alias("_words"))
+        runs = [F.when(F.size("_words") >= n, _runs(n)).otherwise(F.array().cast("array<bigint>")) for n in sorted(sizes)]
+        wanted = some.select("_probe", "_item", "_text")
+        each = words.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_probe"))
+        hits = saved(each.join(F.broadcast(wanted) if some.count() <= BROADCAST_PROBES else wanted, "_probe").select("_id", "_item", "_text"), "evaluation-hits")
         met = own.join(F.broadcast(hits) if hits.count() <= BROADCAST_PROBES else hits, "_id")
         found = found.union(met.where(F.expr("contains(_body, _text)")).select("_item", "_id"))
     return found.select(F.col("_item").alias(item_col), F.col("_id").alias(id_col)).distinct()

@@ -175,8 +175,11 @@ def test_embedding_providers(spark):
 
 def test_containing_against_brute_force(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "a quick brown foxtrot", "xthe quick brown fox jumps over the lazy dogs", "quick", "", None, "the  quick brown\nfox jumps over the lazy dog", "ab cd ef gh ij kl mn op"]
-    asked = ["the quick brown fox jumps over the lazy dog", "quick brown fox", "quick", "b cd e", "cd ef gh ij kl mn o", "brown fox jumps over", "the  quick", "zz yy xx ww vv uu tt"]
+    asked = ["the quick brown fox jumps over the lazy dog", "quick brown fox", "quick", "b cd e", "cd ef gh ij kl mn o", "brown fox jumps over", "the  quick", "zz yy xx ww vv uu tt", "", "quick", None, "x", "k b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "uri long, body string")
     items = spark.createDataFrame(list(enumerate(asked)), "query long, text string")
-    got = {(r["query"], r.uri) for r in evaluation.containing(docs, items).collect()}
-    assert got == {(n, m) for n, a in enumerate(asked) for m, t in enumerate(texts) if t is not None and a in t}
+    want = {(n, m) for n, a in enumerate(asked) for m, t in enumerate(texts) if None not in (a, t) and a in t}
+    for together in (200_000, 2):  # short items at once, and in blocks
+        got = [(r["query"], r.uri) for r in evaluation.containing(docs, items, together=together).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert evaluation.containing(docs, items.limit(0)).count() == 0
