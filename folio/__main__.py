@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from folio.functions import text
 from folio.operators import calls, catalog, chunking, embedding, graph, index, retrieval, review, validation
 from folio.operators.code import conflicts, outline, structure, symbols
 from folio.sources import bundle, packages
@@ -74,7 +75,11 @@ def run(args: argparse.Namespace):
             ranks = graph.pagerank(files.select(files.path.alias("node")), edges)
             return graph.render_map(graph.top_definitions(defs, ranks, [], 800).collect(), args.budget)
         case "grep":
-            return structure.search_files(packages.read_sources(spark, args.root).where("path LIKE '%.py'"), args.pattern)
+            files = packages.read_sources(spark, args.root)
+            if args.rewrite is not None:
+                return structure.rewrite_files(files, args.pattern, args.rewrite, args.lang).where("changed OR error_introduced")
+            found = structure.search_files(files, args.pattern, args.lang)
+            return found.withColumn("matched", text.match_preview(found.matched))
         case "todos":
             return review.todo_items(packages.read_sources(spark, args.root))
         case "conflicts":
@@ -97,6 +102,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "search":
             p.add_argument("-k", type=int, default=5)
             p.add_argument("--store", help="a kept index, instead of cutting and scanning the book")
+        if name == "grep":
+            p.add_argument("--lang", default="python", help="the language whose files are searched")
+            p.add_argument("--rewrite", help="a template for what is found: the differences are shown, no file is written")
         if name == "index":
             p.add_argument("--width", type=int, default=0, help="of the vectors kept with the passages; 0: none")
         p.add_argument("--budget", type=int, default=1000 if name == "map" else chunking.BUDGET)

@@ -132,4 +132,9 @@ def test_command_line(tmp_path, capsys, spark):
     assert [x["requirement"] for x in lines("validate", root)] == ["DOC-1"]
     assert lines("search", root, "beta")[0]["concept_id"] == "document/a"
     assert lines("callers", root, "g")[0]["caller"] == "f"
+    (tmp_path / "y.rs").write_text("fn f() {\n    g(1, 2);\n}\n")
+    assert lines("grep", root, "g()") == [{"path": "x.py", "line_start": 2, "line_end": 2, "matched": "g()"}]
+    assert lines("grep", root, "g($A, $B)", "--lang", "rust") == [{"path": "y.rs", "line_start": 2, "line_end": 2, "matched": "g(1, 2)"}]
+    changed = lines("grep", root, "g($A, $B)", "--lang", "rust", "--rewrite", "g($B)")
+    assert [x["path"] for x in changed] == ["y.rs"] and "+    g(2);" in changed[0]["diff"]
     assert lines("index", root, str(tmp_path / "ix"))[0]["upserted"] == 2
