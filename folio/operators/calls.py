@@ -33,11 +33,12 @@ def callers(edges: DataFrame, path: str, name: str, start: int) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(source, node, depth): all that is reached over src -> dst from start (source), at its least
-    depth, the source itself left out. Each round joins the new frontier only; it ends when none is new."""
+    depth, the source itself left out. Each round joins the new frontier only; it ends when none is new.
+    The result is a table of its own; those of the rounds are deleted."""
     spark = edges.sparkSession
-    steps = saved(edges.select("src", "dst").distinct(), "reach-edges")
+    steps, steps_at = save(edges.select("src", "dst").distinct(), "reach-edges")
     seen, seen_at = save(start.select("source", F.col("source").alias("node"), F.lit(0).alias("depth")), "reach")
-    frontier, level, spent = seen, 0, [seen_at]
+    frontier, level, spent = seen, 0, [seen_at, steps_at]
     while max_depth is None or level < max_depth:
         level += 1
         found = frontier.join(steps, frontier.node == steps.src).select("source", F.col("dst").alias("node")).distinct()
@@ -47,7 +48,9 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
             break
         seen, frontier = seen.union(fresh), fresh
         spent.append(fresh_at)
-    return seen.where("depth > 0")
+    reached = saved(seen.where("depth > 0"), "reached")
+    discard(spark, *spent)
+    return reached
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:

@@ -15,12 +15,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folio.functions.text import INVISIBLE
+
 BUDGET = 220
 SLACK = 4
 LEAST_BUDGET = 32
 DESCRIPTION_LIMIT = 200
 BREADCRUMB = " › "
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile(INVISIBLE)
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*))?$")
 PASSAGE = "ordinal int, passage string, heading_path string, start_line int, end_line int, invisible int"
 
