@@ -297,9 +297,13 @@ class _Run:
                 if t.texts[at : at + len(said)] == said:
                     out = self.match(part + 1, at + len(said), held)
             else:
+                seen: list[int] = []
                 for end in self._last(part, at) if part + 1 == len(p.texts) and part and not many else self._held(part, at):
                     if (out := self.match(part + 1, end, self.bound(held, part, at, end))) is not None:
                         break
+                    seen.append(end)
+                if out is None:  # nor does the hole match from a later token that it went over
+                    self.failed.update((part, end, *known[2:]) for end in (seen if many else seen[:-1]))
         if out is None:
             self.failed.add(known)
         return out

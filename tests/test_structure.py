@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -64,6 +65,7 @@ def test_large_levels_end():
     deep = "(" * 20_000 + "x" + ")" * 20_000
     assert found(f"f{deep}", "f($X)", "rust") == [f"f{deep}"]
     assert found(f"{{ f(1); {many * 3} g(2) }}", "{ f($X); $$$R h($Y) }", "rust") == []
+    assert found("a " * 50_000 + "(b)", "a $$$R b", "rust") == [] and found("a + " * 50_000 + "(b)", "a $X b", "rust") == []
     assert time.monotonic() - started < 60
 
 
@@ -75,3 +77,25 @@ def test_files(spark):
     assert after["a.rs"] == RUST.replace('store(\n        "store(q, r)",\n    )', 'keep("store(q, r)")') and after["b.ts"] == RUST and after["e.rs"] == ""
     both = structure.search_each(files, [("store($X)", "rust"), ("$A == $B", "rust"), ("$A == $B", "typescript")])
     assert sorted((r.path, r.pattern, r.line_start) for r in both.collect()) == [("a.rs", "$A == $B", 7), ("a.rs", "$A == $B", 7), ("a.rs", "store($X)", 4), ("b.ts", "$A == $B", 7), ("b.ts", "$A == $B", 7)]
+
+
+class Forgetful(set):
+    def __contains__(self, _):
+        return False
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    r, own = random.Random(5), trees._Run.__init__
+
+    def forgetful(self, *a):
+        own(self, *a)
+        self.failed = Forgetful()
+
+    patterns = ["a $$$R b", "f($X, $Y)", "f($$$A, $X, $$$B)", "$X + $X", "$X = $Y", "a $X b $$$R a", "f($X, $$$R, $X)", "$A.b($$$R)", "{ $$$A f($X) $$$B }"]
+    for n in range(600):
+        code = " ".join(r.choice(["a", "b", "f", "(", ")", "{", "}", ",", ";", "+", "=", ".", "\n"]) for _ in range(r.randrange(4, 26)))
+        pattern, language = patterns[n % len(patterns)], ("go", "rust")[n % 2]
+        got = found(code, pattern, language)
+        with monkeypatch.context() as m:
+            m.setattr(trees._Run, "__init__", forgetful)
+            assert got == found(code, pattern, language), (code, pattern)
