@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import RESERVED_NAMESPACES
+from folio.operators import merkle
 
 #: Global books of one machine at most.
 GLOBAL_BOOKS = 10_000
@@ -57,6 +58,18 @@ def update_plan(pins: DataFrame, remote: DataFrame) -> DataFrame:
     return pins.select("name", F.col("commit").alias("from_commit")).join(r, "name", "left").withColumn("up_to_date", F.col("from_commit").eqNullSafe(F.col("to_commit")))
 
 
+def update_counts(plan: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The plan (name, ...) with `added`, `changed` and `removed`: files of each book's tree at its pin and at the
+    remote head. Both trees: name, path, hash. Books whose trees are equal are settled by their digests alone.
+
+    A null name is no book; a book without files on both sides counts nothing."""
+    one = lambda tree: tree.select(F.concat(F.url_encode("name"), F.lit("/"), "path").alias("path"), "hash")
+    found = merkle.changes(one(before), one(after)).select(F.url_decode(F.substring_index("path", "/", 1)).alias("name"), "change")
+    kinds = ("added", "changed", "removed")
+    counted = found.groupBy("name").agg(*(F.count_if(F.col("change") == k).alias(k) for k in kinds))
+    return plan.join(counted, "name", "left").select(*plan.columns, *(F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in kinds))
+
+
 def integrity_problems(listed: DataFrame, found: DataFrame) -> DataFrame:
     """(path, problem): missing, mismatch or unlisted; both sides: path, hash."""
     a, b = listed.select("path", F.col("hash").alias("said")), found.select("path", F.col("hash").alias("is"))

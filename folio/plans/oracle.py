@@ -180,6 +180,9 @@ SELECT folder, CAST(depth AS INTEGER) AS depth,
        CASE WHEN NOT bool_or(was) THEN 'added' WHEN NOT bool_or(is_there) THEN 'removed' WHEN bool_or(change IS NOT NULL) THEN 'changed' ELSE 'same' END AS change,
        coalesce(bool_or(change IS NOT NULL) FILTER (inside), false) AS own_differs, count(*) FILTER (was) AS files_before, count(*) FILTER (is_there) AS files_after
 FROM w GROUP BY folder, depth"""
+ORACLE_SQL["update_files"] = f"""WITH {_SNAPSHOTS}
+SELECT n.so AS name, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'removed') AS removed
+FROM (SELECT DISTINCT so FROM s) n LEFT JOIN f ON split_part(path, '/', 2) = n.so GROUP BY n.so"""
 ORACLE_SQL["bundle_hash"] = f"""WITH {DOCS}
 SELECT book, sha256(string_agg(concept_id || chr(10) || sha256(text) || chr(10), '' ORDER BY concept_id <> 'document/d4', concept_id)) AS bundle_hash FROM docs GROUP BY book"""
 ORACLE_SQL["update_plan"] = """

@@ -281,6 +281,14 @@ def merkle_folders(spark, sf_dir):
     return merkle.compare(merkle.folders(before), merkle.folders(after))
 
 
+@query
+def update_files(spark, sf_dir):
+    """Files that an update of each book (source) would add, change and remove."""
+    trees = [tree.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("name"), "path", "hash") for tree in _snapshots(spark, sf_dir)]
+    books = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("name")).distinct()
+    return catalog.update_counts(books, *trees)
+
+
 @query
 def bundle_hash(spark, sf_dir):
     d = documents(spark, sf_dir).select("book", F.col("concept_id").alias("path"), F.sha2("text", 256).alias("hash"))

@@ -62,3 +62,14 @@ def test_folder_of(spark, path, folder):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(merkle.folder_of(F.lit(path))).first()[0] == folder
+
+
+def test_update_counts(spark):
+    from folio.operators import catalog
+
+    schema = "name string, path string, hash string"
+    before = spark.createDataFrame([("a/b c", "x/1", "1"), ("a/b c", "x/2", "2"), ("same", "y", "1"), ("gone", "z", "1"), (None, "q", "1")], schema)
+    after = spark.createDataFrame([("a/b c", "x/1", "9"), ("a/b c", "x/3", "2"), ("a/b c", "w", "2"), ("same", "y", "1")], schema)
+    plan = spark.createDataFrame([("a/b c", True), ("same", False), ("gone", True), ("new", True), (None, True)], "name string, wanted boolean")
+    got = {r.name: (r.wanted, r.added, r.changed, r.removed) for r in catalog.update_counts(plan, before, after).collect()}
+    assert got == {"a/b c": (True, 2, 1, 1), "same": (False, 0, 0, 0), "gone": (True, 0, 0, 1), "new": (True, 0, 0, 0), None: (True, 0, 0, 0)}
