@@ -258,7 +258,7 @@ def integrity_mismatch(spark, sf_dir):
     return catalog.integrity_problems(*_trees(spark, sf_dir))
 
 
-def _snapshots(spark, sf_dir):
+def _file_snapshots(spark, sf_dir):
     """Documents as files by language, source and group of numbers, and as they are later: some groups edited, removed or copied."""
     d, group = table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 64)
     folder = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.concat(F.lit("g"), group.cast("string")))
@@ -272,19 +272,19 @@ def _snapshots(spark, sf_dir):
 @query
 def merkle_changes(spark, sf_dir):
     """Changed files of two snapshots; files of folders with equal digests aren't joined."""
-    return merkle.changes(*_snapshots(spark, sf_dir))
+    return merkle.changes(*_file_snapshots(spark, sf_dir))
 
 
 @query
 def merkle_folders(spark, sf_dir):
-    before, after = _snapshots(spark, sf_dir)
+    before, after = _file_snapshots(spark, sf_dir)
     return merkle.compare(merkle.folders(before), merkle.folders(after))
 
 
 @query
 def update_files(spark, sf_dir):
     """Files that an update of each book (source) would add, change and remove."""
-    trees = [tree.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("name"), "path", "hash") for tree in _snapshots(spark, sf_dir)]
+    trees = [tree.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("name"), "path", "hash") for tree in _file_snapshots(spark, sf_dir)]
     books = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("name")).distinct()
     return catalog.update_counts(books, *trees)
 

@@ -27,3 +27,14 @@ def test_entry(spark):
 
 def test_all_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_no_name_is_defined_twice():
+    """A second function of a name would silently take the place of the first one under the queries that call it."""
+    import ast
+    import inspect
+
+    from folio.plans import queries
+
+    names = [n.name for n in ast.parse(inspect.getsource(queries)).body if isinstance(n, ast.FunctionDef)]
+    assert sorted(set(names)) == sorted(names)
