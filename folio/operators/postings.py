@@ -5,9 +5,9 @@ range), `terms` (term, its change of document frequency), `bounds`, `totals` and
 folders by a bucket of the term's hash, in order of term and range, so a query for a few terms opens few
 folders and skips most of their row groups. Buckets and tasks follow the number of postings.
 
-Ranges are about RANGE_DOCS documents of like length. For each term of at least HEAVY documents and each
-range, `bounds` has the largest f and the smallest size, so a score that no document of the range exceeds
-is known without its postings, for any statistics.
+Ranges are about RANGE_DOCS documents of like length. For each term and range `bounds` has the largest f
+and the smallest size (of parts of a range several rows), so a score that no document of the range exceeds
+is known without its postings, for any statistics. It is made from postings in their order, without a shuffle.
 
 A later segment names the documents that it removes from earlier ones (`dead`) and takes their terms out
 of the statistics, so frequencies and lengths are exact over all segments, and nothing old is rewritten.
@@ -18,24 +18,29 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import text
 from folio.storage import discard, release_shuffles, save
 
 RANGE_DOCS = 16
-HEAVY = 64
 #: Postings that a writing task gets on average; buckets at most, parts of a bucket at least (by the ranges' hash).
 TASK_POSTINGS = 500_000
 BUCKETS = 4096
 PARTS = 4
-#: Ids of dead documents, terms, or ranges up to which they are broadcast; beyond it they are joined by shuffle.
+#: Rows whose terms are counted at a time.
+COUNTED_ROWS = 256
+#: Ids of dead documents, or ranges up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_DEAD = 1_000_000
-BROADCAST_TERMS = 500_000
 BROADCAST_RANGES = 1_000_000
 #: Ids of neighbours are alike, and a segment is written once and read often.
 PACKED = {"compression": "zstd"}
@@ -60,14 +65,52 @@ def layout(postings: int) -> tuple[int, int]:
 
 
 def counted_terms(rows: DataFrame) -> DataFrame:
-    """rows with size and counts (array of term, f) for _text; counted within each row, so without a shuffle."""
-    sorted_ = rows.withColumn("_sorted", F.sort_array(text.terms(F.coalesce("_text", F.lit("")))))
-    sized = sorted_.withColumn("size", F.size("_sorted"))
-    new = lambda i: (i == 1) | (F.get("_sorted", i - 1) != F.get("_sorted", i - 2))
-    starts = F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(1), F.col("size")), new)).otherwise(F.array().cast("array<int>"))
-    cut = sized.withColumn("_starts", starts)
-    counts = F.transform("_starts", lambda x, i: F.struct(F.get("_sorted", x - 1).alias("term"), (F.coalesce(F.get("_starts", i + 1), F.col("size") + 1) - x).cast("long").alias("f")))
-    return cut.withColumn("counts", counts).drop("_sorted", "_starts")
+    """rows with size and counts (array of term, f, in order of terms) for _text; counted within each row, so without a shuffle."""
+    kept = [c for c in rows.columns if c != "_text"]
+    cut = rows.select(*kept, text.terms(F.coalesce("_text", F.lit(""))).alias("_terms"))
+    counts = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("f", T.LongType())]))
+    schema = T.StructType([*cut.select(*kept).schema, T.StructField("size", T.IntegerType()), T.StructField("counts", counts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED_ROWS):
+                batch = whole.slice(at, COUNTED_ROWS)
+                lists = batch.column(len(kept))
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                order = pc.array_sort_indices(words.dictionary).to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                own = place[words.indices.to_numpy(zero_copy_only=False)] + np.repeat(np.arange(len(sizes)) * max(1, len(order)), sizes)
+                found, f = np.unique(own, return_counts=True)
+                row, term = np.divmod(found, max(1, len(order)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+                pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(order[term])), pa.array(f.astype(np.int64))], ["term", "f"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], [*kept, "size", "counts"])
+
+    return cut.mapInArrow(run, schema)
+
+
+def range_bounds(postings: DataFrame) -> DataFrame:
+    """(term, range, f, size, bucket): the largest f and smallest size of neighbouring postings of a term and range.
+
+    Postings are read in order of term and range, so nothing is shuffled; where a batch ends inside a range,
+    the range has two rows, and the larger bound of them holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            term, range_, f, size, bucket = batch.columns
+            new = np.ones(batch.num_rows, bool)
+            spans = range_.to_numpy(zero_copy_only=False)
+            new[1:] = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (spans[1:] != spans[:-1])
+            starts = np.flatnonzero(new)
+            first = pa.array(starts)
+            most, least = np.maximum.reduceat(f.to_numpy(zero_copy_only=False), starts), np.minimum.reduceat(size.to_numpy(zero_copy_only=False), starts)
+            yield pa.RecordBatch.from_arrays([term.take(first), range_.take(first), pa.array(most), pa.array(least), bucket.take(first)], ["term", "range", "f", "size", "bucket"])
+
+    return postings.select("term", "range", "f", "size", "bucket").mapInArrow(run, "term string, range long, f long, size int, bucket int")
 
 
 def _size_class(size: Column) -> Column:
@@ -151,11 +194,8 @@ class Postings:
         return self._alive(found)
 
     def bounds(self, wanted: list[str]) -> DataFrame:
-        """(segment, range, term, f, size): what bounds the scores of each range; of terms without bounds all postings."""
-        heavy = self._read("bounds", "term string, range long, f long, size int, bucket int", wanted).select("segment", "range", "term", "f", "size")
-        held = self._read("terms", "term string, df long, own long, bucket int", wanted).where(F.col("own") < HEAVY).select("segment", "term")
-        light = self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int", wanted).join(F.broadcast(held), ["segment", "term"], "left_semi")
-        return heavy.unionByName(light.select("segment", "range", "term", "f", "size"))
+        """(segment, range, term, f, size): what bounds the scores of each range."""
+        return self._read("bounds", "term string, range long, f long, size int, bucket int", wanted).select("segment", "range", "term", "f", "size")
 
     def frequencies(self, wanted: list[str]) -> dict[str, int]:
         """Documents that hold each term: a row for each of a query's few terms."""
@@ -169,10 +209,10 @@ class Postings:
         gone: documents of earlier segments that it removes, with the same columns."""
         facets = [c for c in FACETS if c in docs.columns]
         whole = F.concat_ws(" ", *(F.col(c) for c in text_cols))
-        staged, at = save(counted_terms(docs.select(F.col(id_col).alias("id"), *facets, whole.alias("_text"))).withColumn("text_hash", F.sha2("_text", 256)).drop("_text"), "postings-staged", **PACKED)
+        staged, at = save(counted_terms(docs.select(F.col(id_col).alias("id"), *facets, F.sha2(whole, 256).alias("text_hash"), whole.alias("_text"))), "postings-staged", **PACKED)
         lost = None
         if gone is not None:
-            lost, lost_at = save(counted_terms(gone.select(F.col(id_col).alias("id"), whole.alias("_text"))).drop("_text"), "postings-gone", **PACKED)
+            lost, lost_at = save(counted_terms(gone.select(F.col(id_col).alias("id"), whole.alias("_text"))), "postings-gone", **PACKED)
         own = cls(docs.sparkSession, path)
         postings = staged.select("id", "size", F.explode("counts").alias("c")).select("id", "c.term", "c.f", "size")
         minus = None if lost is None else lost.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -201,9 +241,10 @@ class Postings:
         classes = docs.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
         n, words = sum(r.n for r in classes), sum(r.words or 0 for r in classes)
         buckets, parts = layout(words)
-        ranges = F.create_map(*(F.lit(x) for r in classes for x in (r.c, -(-r.n // RANGE_DOCS)))) if classes else F.create_map(F.lit(0).cast("long"), F.lit(1))
+        counts_of = {r.c: -(-r.n // RANGE_DOCS) for r in classes}
+        ranges = F.array(*(F.lit(counts_of.get(c, 1)).cast("long") for c in range(max(counts_of, default=0) + 1)))  # by place: asked for each posting
         own_class = _size_class(F.col("size"))
-        range_ = F.shiftleft(own_class, 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(ranges, own_class), F.lit(1)).cast("long"))
+        range_ = F.shiftleft(own_class, 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.get(ranges, own_class.cast("int")), F.lit(1).cast("long")))
         ranged = docs.withColumn("range", range_)
         tasks = max(1, -(-n // 500_000))
         ranged.repartitionByRange(tasks, "range", "id").sortWithinPartitions("range", "id").write.options(**PACKED).mode("overwrite").parquet(f"{path}/docs")
@@ -228,11 +269,8 @@ class Postings:
             change = change.groupBy("term").agg(F.sum("df").alias("df"), F.sum("own").alias("own")).where("df <> 0 OR own <> 0")
         change = change.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket")
         change.sortWithinPartitions("bucket", "term").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        heavy = read.schema("term string, df long, own long, bucket int").parquet(f"{path}/terms").where(F.col("own") >= HEAVY).select("bucket", "term")
-        heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_TERMS else heavy
-        # each task adds up its own ranges first, and a range's postings lie in one file
-        front = written.join(heavy, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "range").agg(F.max("f").alias("f"), F.min("size").alias("size")).select("term", "range", "f", "size", "bucket")
-        front.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
+        # a task reads few buckets, and their files in order
+        range_bounds(written).write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
         lost_n, lost_words = 0, 0
         if dead is not None:
             dead.select("id").coalesce(max(1, -(-n // 500_000))).write.options(**PACKED).mode("overwrite").parquet(f"{path}/dead")

@@ -183,3 +183,12 @@ def test_containing_against_brute_force(spark):
         got = [(r["query"], r.uri) for r in evaluation.containing(docs, items, together=together).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert evaluation.containing(docs, items.limit(0)).count() == 0
+
+
+def test_bounds_hold_every_term_and_are_made_without_a_shuffle(corpus):
+    _, ix = corpus
+    want = {(r["term"], r["range"]): (r["f"], r["size"]) for r in ix.postings.groupBy("term", "range").agg(F.max("f").alias("f"), F.min("size").alias("size")).collect()}
+    terms = sorted({t for t, _ in want})
+    got = ix.bounds(terms).groupBy("term", "range").agg(F.max("f").alias("f"), F.min("size").alias("size")).collect()
+    assert {(r["term"], r["range"]): (r["f"], r["size"]) for r in got} == want
+    assert "Exchange" not in postings.range_bounds(ix.postings.select("term", "range", "f", "size", "bucket"))._jdf.queryExecution().toString()
