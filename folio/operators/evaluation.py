@@ -119,9 +119,9 @@ def absent_violations(absent: DataFrame, ranking: DataFrame, window: int) -> Dat
 
 
 def checks(totals: DataFrame, floors: dict[str, float]) -> DataFrame:
-    """(metric, observed, floor, passed) of each floor."""
-    rows = [totals.select(F.lit(m).alias("metric"), F.col(m).alias("observed"), F.lit(f).alias("floor"), (F.col(m) + EPSILON >= f).alias("passed")) for m, f in floors.items()]
-    return reduce(DataFrame.union, rows)
+    """(metric, observed, floor, passed) of each floor; totals, one row, are made once for all of them."""
+    each = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed"), F.lit(f).alias("floor"), (F.col(m) + EPSILON >= f).alias("passed")) for m, f in floors.items()]
+    return totals.select(F.explode(F.array(*each)).alias("c")).select("c.*")
 
 
 def unknown_labels(labels: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -130,23 +130,28 @@ def unique_concept_ranks(spark, sf_dir):
     return retrieval.first_of_each(hits, "uri", 200).select("uri", (F.col("place") + 1).alias("rank"))
 
 
-def _evaluation(spark, sf_dir):
+def _ranking(spark, sf_dir):
+    """(query, uri, rank): a written table, as more than one join asks it."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    ranking = retrieval.lexical_legs(_lexical(spark, sf_dir), items, retrieval.depth(max(KS)))
+    return saved(ranking.select(F.col("query_id").alias("query"), F.col("id").alias("uri"), "rank"), "evaluation-ranking")
+
+
+def _totals(spark, sf_dir):
     docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     expected = evaluation.containing(docs.select(F.col("id").alias("uri"), F.col("text").alias("body")), items)
-    ranking = retrieval.lexical_legs(_lexical(spark, sf_dir), items.select(F.col("query").alias("query_id"), F.col("text").alias("query")), retrieval.depth(max(KS)))
-    return expected, ranking.select(F.col("query_id").alias("query"), F.col("id").alias("uri"), "rank")
+    return evaluation.summary(evaluation.score_queries(expected, _ranking(spark, sf_dir), KS), KS)
 
 
 @query
 def eval_recall_mrr(spark, sf_dir):
-    totals = evaluation.summary(evaluation.score_queries(*_evaluation(spark, sf_dir), KS), KS)
+    totals = _totals(spark, sf_dir)
     return totals.select("queries", *(F.round(c, 6).alias(c) for c in totals.columns[1:]))
 
 
 @query
 def eval_threshold_checks(spark, sf_dir):
-    totals = evaluation.summary(evaluation.score_queries(*_evaluation(spark, sf_dir), KS), KS)
-    return evaluation.checks(totals, evaluation.parse_floors(["recall_5=0.95", "mrr=0.5"])).withColumn("observed", F.round("observed", 6))
+    return evaluation.checks(_totals(spark, sf_dir), evaluation.parse_floors(["recall_5=0.95", "mrr=0.5"])).withColumn("observed", F.round("observed", 6))
 
 
 @query
@@ -157,7 +162,7 @@ def eval_label_hygiene(spark, sf_dir):
 
 @query
 def eval_absent_window(spark, sf_dir):
-    _, ranking = _evaluation(spark, sf_dir)
+    ranking = _ranking(spark, sf_dir)
     absent = ranking.where("rank IN (2, 7)").select("query", "uri")
     return evaluation.absent_violations(absent, ranking, 5)
 

@@ -192,3 +192,18 @@ def test_bounds_hold_every_term_and_are_made_without_a_shuffle(corpus):
     got = ix.bounds(terms).groupBy("term", "range").agg(F.max("f").alias("f"), F.min("size").alias("size")).collect()
     assert {(r["term"], r["range"]): (r["f"], r["size"]) for r in got} == want
     assert "Exchange" not in postings.range_bounds(ix.postings.select("term", "range", "f", "size", "bucket"))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("together,cells", [(200_000, 1 << 21), (4, 200)])
+def test_many_queries_with_ties_in_blocks(spark, corpus, monkeypatch, together, cells):
+    """Sixty copies tie for the same places; queries and documents come in blocks of any size."""
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", cells)
+    _, ix = corpus
+    asked = ["the rare", "rare", "w3 w4 of", "nothing", "a a w9"]
+    got = retrieval.lexical_legs(ix, spark.createDataFrame([*enumerate(asked), (9, None)], "query_id long, query string"), 10, together).collect()
+    assert {r.query_id for r in got} <= set(range(5))
+    for n, q in enumerate(asked):
+        own = sorted((r for r in got if r.query_id == n), key=lambda r: r["rank"])
+        want = sorted(retrieval.indexed_leg(ix, q, 2000, direct=1 << 60).collect(), key=lambda r: (-round(r.score, 9), r.id))[:10]
+        assert [(r.id, round(r.score, 8)) for r in own] == [(r.id, round(r.score, 8)) for r in want]
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))

@@ -87,3 +87,10 @@ def test_floors():
     for bad in (["mrr"], ["mrr=2"], ["mrr=0.1", "mrr=0.2"]):
         with pytest.raises(ValueError):
             evaluation.parse_floors(bad)
+
+
+def test_floors_are_checked_over_one_scan_of_the_totals(spark, tmp_path):
+    spark.createDataFrame([(0.5, 0.2)], "mrr double, recall_1 double").write.parquet(str(tmp_path / "t"))
+    checks = evaluation.checks(spark.read.parquet(str(tmp_path / "t")), {"mrr": 0.5, "recall_1": 0.3})
+    assert sorted(map(tuple, checks.collect())) == [("mrr", 0.5, 0.5, True), ("recall_1", 0.2, 0.3, False)]
+    assert checks._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
