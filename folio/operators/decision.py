@@ -6,6 +6,7 @@ Trimming is a loop whose next step depends on what is left; it runs row by row i
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -56,12 +57,15 @@ class HttpProvider:
             raise
 
 
+_DENSE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0002fa1f]")
+
+
 def dense(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)))
+    return _DENSE.fullmatch(c) is not None
 
 
 def estimate(s: str) -> int:
-    n = sum(map(dense, s))
+    n = 0 if s.isascii() else len(_DENSE.findall(s))
     return n + -(-(len(s) - n) // 3)
 
 

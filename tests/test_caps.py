@@ -49,3 +49,16 @@ def test_zooms_stay_within_their_file(spark):
     wanted = spark.createDataFrame([("a", "x", 1, 2), ("a", "y", 8, 9), ("a", "z", 5, 5), ("b", "x", 1, 1), ("c", "x", 1, 1)], "path string, name string, start_row int, end_row int")
     got = {r.name: (r.first_line, r.last_line, r.lines) for r in outline.zooms(files, wanted).collect()}
     assert got == {"x": (1, 5, "1\n2\n3\n4\n5"), "y": (5, 9, "5\n6\n7\n8\n9"), "z": (2, 8, "2\n3\n4\n5\n6\n7\n8")}
+
+
+def test_estimates_look_at_no_single_character(monkeypatch):
+    """A text is estimated many times while it is trimmed, so its characters aren't called for one by one."""
+    mixed = "plain 字かな 한글 \U00020001 ぀ヿ㄀㏿ é" * 3
+    n = sum(any(a <= ord(c) <= b for a, b in ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F))) for c in mixed)
+    assert [decision.dense(c) for c in "a字㄀\U0002fa1f\U0002fa20"] == [False, True, False, True, False]
+
+    def called(c):
+        raise AssertionError("asked for one character")
+
+    monkeypatch.setattr(decision, "dense", called)
+    assert decision.estimate(mixed) == n + -(-(len(mixed) - n) // 3) and decision.estimate("abcd") == 2
