@@ -1,13 +1,13 @@
 """The lexical index: immutable segments of postings, with bounds by block, so that a query reads little.
 
-A segment is a folder: `docs` (a row a document: length, facets, hash), `postings` (id, term, f, size,
-range), `terms` (term, its change of document frequency), `bounds`, `totals` and `dead`. Postings lie in
-folders by a bucket of the term's hash, in order of term and range, so a query for a few terms opens few
-folders and skips most of their row groups. Buckets and tasks follow the number of postings.
+A segment is a folder: `docs` (a row a document: length, facets, hash), `blocks` (a row a term and range: the
+postings' ids, frequencies and lengths as arrays), `terms` (term, its change of document frequency), `totals`
+and `dead`. Blocks lie in folders by a bucket of the term's hash, in order of term and range, so a query for a
+few terms opens few folders and skips most of their row groups. Buckets and tasks follow the number of postings.
 
-Ranges are about RANGE_DOCS documents of like length. For each term and range `bounds` has the largest f
-and the smallest size (of parts of a range several rows), so a score that no document of the range exceeds
-is known without its postings, for any statistics. It is made from postings in their order, without a shuffle.
+Ranges are about RANGE_DOCS documents of like length. Each block has the largest f and the smallest size of its
+postings (a range may have several blocks of a term), so a score that no document of the range exceeds is known
+from these columns alone, for any statistics. They are made where the postings are sorted, in the same pass.
 
 A later segment names the documents that it removes from earlier ones (`dead`) and takes their terms out
 of the statistics, so frequencies and lengths are exact over all segments, and nothing old is rewritten.
@@ -17,10 +17,11 @@ Segments are merged by their rows: dead ones go, lengths and terms are not compu
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,13 @@ RANGE_DOCS = 16
 TASK_POSTINGS = 500_000
 BUCKETS = 4096
 PARTS = 4
-#: Rows whose terms are counted at a time.
+#: Rows whose terms are counted at a time, postings that are sorted at a time, and blocks that are handed on together.
 COUNTED_ROWS = 256
+SORTED_POSTINGS = 2_000_000
+HANDED_BLOCKS = 20_000
+#: Texts with other characters than these are cut by text.terms; its result for these is a table.
+_USUAL_LETTERS, _USUAL = 0x250, 0x2070
+_UNUSUAL = "[^\\x00-\\u024F\\u2000-\\u206F]"
 #: Ids of dead documents, or ranges up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_DEAD = 1_000_000
 BROADCAST_RANGES = 1_000_000
@@ -64,10 +70,49 @@ def layout(postings: int) -> tuple[int, int]:
     return buckets, max(PARTS, -(-tasks // buckets))
 
 
+@lru_cache(1)
+def _usual_letters() -> np.ndarray:
+    """By code point below _USUAL: what text.terms makes of a character, 0 between words."""
+    table, plain = np.zeros(_USUAL, np.uint16), dict(zip(*text._accented(), strict=True))
+    for c in range(_USUAL_LETTERS):
+        small = plain.get(chr(c), chr(c)).lower()
+        table[c] = ord(small) if unicodedata.category(small)[0] in "LN" else 0
+    return table
+
+
+def usual_words(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
+    """(number of words of each text, all words) of texts without unusual characters; null: none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    rows = offsets - offsets[0]
+    chars = data
+    if len(data) and data.max() >= 0x80:
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        rows = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[rows]
+    small = _usual_letters()[chars]
+    inside = small != 0
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    before[rows[:-1][rows[:-1] < len(inside)]] = False
+    starts = np.flatnonzero(inside & ~before)
+    letters = small[inside]
+    ends = np.append(np.cumsum(inside)[starts] - 1, len(letters))
+    if len(letters) and letters.max() >= 0x80:
+        ends = np.concatenate([[0], np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800))])[ends]
+        letters = np.frombuffer(letters.astype(np.uint32).tobytes().decode("utf-32-le").encode(), np.uint8)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters.astype(np.uint8)))
+    return np.diff(np.searchsorted(starts, rows)), words
+
+
 def counted_terms(rows: DataFrame) -> DataFrame:
-    """rows with size and counts (array of term, f, in order of terms) for _text; counted within each row, so without a shuffle."""
+    """rows with size and counts (array of term, f, in order of terms) for _text; counted within each row, so without a shuffle.
+
+    Texts of usual characters are cut by a table in Arrow batches, others by text.terms, with equal results."""
     kept = [c for c in rows.columns if c != "_text"]
-    cut = rows.select(*kept, text.terms(F.coalesce("_text", F.lit(""))).alias("_terms"))
+    whole_text = F.coalesce("_text", F.lit(""))
+    unusual = whole_text.rlike(_UNUSUAL)
+    cut = rows.select(*kept, F.when(~unusual, whole_text).alias("_usual"), F.when(unusual, text.terms(whole_text)).alias("_terms"))
     counts = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("f", T.LongType())]))
     schema = T.StructType([*cut.select(*kept).schema, T.StructField("size", T.IntegerType()), T.StructField("counts", counts)])
 
@@ -75,22 +120,84 @@ def counted_terms(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, COUNTED_ROWS):
                 batch = whole.slice(at, COUNTED_ROWS)
-                lists = batch.column(len(kept))
-                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                words = lists.flatten().dictionary_encode()
+                lists = batch.column(len(kept) + 1)
+                usual_sizes, words = usual_words(batch.column(len(kept)))
+                other_sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                numbers = np.arange(batch.num_rows)
+                rows_ = np.repeat(numbers, usual_sizes)
+                if other_sizes.any():
+                    words = pa.concat_arrays([words, lists.flatten().cast(pa.string())])
+                    rows_ = np.concatenate([rows_, np.repeat(numbers, other_sizes)])
+                words = words.dictionary_encode()
                 order = pc.array_sort_indices(words.dictionary).to_numpy()
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                own = place[words.indices.to_numpy(zero_copy_only=False)] + np.repeat(np.arange(len(sizes)) * max(1, len(order)), sizes)
+                own = place[words.indices.to_numpy(zero_copy_only=False)] + rows_ * max(1, len(order))
                 found, f = np.unique(own, return_counts=True)
                 row, term = np.divmod(found, max(1, len(order)))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
                 pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(order[term])), pa.array(f.astype(np.int64))], ["term", "f"])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], [*kept, "size", "counts"])
+                sizes = (usual_sizes + other_sizes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], [*kept, "size", "counts"])
 
     return cut.mapInArrow(run, schema)
 
 
+def blocks_schema(id_type: str) -> str:
+    return f"term string, range long, f long, size int, n int, ids array<{id_type}>, fs array<int>, sizes array<int>, bucket int"
+
+
+def packed_blocks(postings: DataFrame) -> DataFrame:
+    """Blocks of postings (id, term, f, size, range, bucket), each task's in order of bucket, term and range.
+
+    A task sorts SORTED_POSTINGS at a time; a range of more than one such part has several blocks of a term."""
+    id_type = dict(postings.dtypes)["id"]
+
+    def blocks(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, f, size, range_, bucket = (pa.concat_arrays([p.column(i) for p in parts]) for i in range(6))
+        f, size, range_, bucket = (x.to_numpy(zero_copy_only=False) for x in (f, size, range_, bucket))
+        words = terms.dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        by_term = pc.array_sort_indices(words.dictionary).to_numpy()
+        own_bucket = np.empty(len(by_term), np.int64)
+        own_bucket[codes] = bucket
+        by_place = by_term[np.argsort(own_bucket[by_term], kind="stable")]
+        place = np.empty(len(by_place), np.int32)
+        place[by_place] = np.arange(len(by_place), dtype=np.int32)
+        keys = (range_, place[codes])
+        order = np.lexsort((ids.to_numpy(zero_copy_only=False), *keys) if pa.types.is_integer(ids.type) and not ids.null_count else keys)
+        f, size, range_, codes = f[order], size[order], range_[order], codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (range_[1:] != range_[:-1])]))
+        ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+        most, least = np.maximum.reduceat(f, starts).astype(np.int64), np.minimum.reduceat(size, starts)
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(order)), pa.array(f), pa.array(size))]
+        first = codes[starts]
+        plain = [pa.array(x) for x in (range_[starts], most, least, np.diff(np.append(starts, len(order))).astype(np.int32))]
+        made = pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(first)), *plain, *lists, pa.array(own_bucket[first].astype(np.int32))], ["term", "range", "f", "size", "n", "ids", "fs", "sizes", "bucket"])
+        for at in range(0, made.num_rows, HANDED_BLOCKS):
+            yield made.slice(at, HANDED_BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                n += batch.num_rows
+            if n >= SORTED_POSTINGS:
+                yield from blocks(parts)
+                parts, n = [], 0
+        if parts:
+            yield from blocks(parts)
+
+    return postings.select("id", "term", "f", "size", "range", "bucket").mapInArrow(run, blocks_schema(id_type))
+
+
+def _unpacked(blocks: DataFrame) -> DataFrame:
+    """A row for each posting of blocks: id, term, f, size, range, bucket, segment."""
+    each = blocks.select("term", "range", "bucket", "segment", F.inline(F.arrays_zip("ids", "fs", "sizes")))
+    return each.select(F.col("ids").alias("id"), "term", F.col("fs").cast("long").alias("f"), F.col("sizes").alias("size"), "range", "bucket", "segment")
+
+
 def range_bounds(postings: DataFrame) -> DataFrame:
     """(term, range, f, size, bucket): the largest f and smallest size of neighbouring postings of a term and range.
 
@@ -170,7 +277,7 @@ class Postings:
 
     @property
     def postings(self) -> DataFrame:
-        return self._alive(self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int"))
+        return self._alive(_unpacked(self._read("blocks", blocks_schema(self._id_type))))
 
     @property
     def terms(self) -> DataFrame:
@@ -185,17 +292,17 @@ class Postings:
 
     def of(self, wanted: list[str], ranges: DataFrame | None = None) -> DataFrame:
         """Postings of these terms; with ranges (segment, range) those of these ranges."""
-        found = self._read("postings", f"id {self._id_type}, term string, f long, size int, range long, bucket int", wanted)
+        found = self._read("blocks", blocks_schema(self._id_type), wanted)
         if ranges is not None:
             # of like lengths, so mostly neighbours: the scan skips what lies outside their span
             span = ranges.agg(F.min("range").alias("low"), F.max("range").alias("high"), F.count("*").alias("n")).first()
             few = F.broadcast(ranges.select("segment", "range")) if span.n <= BROADCAST_RANGES else ranges.select("segment", "range")
             found = found.where(F.col("range").between(span.low or 0, span.high or 0)).join(few, ["segment", "range"], "left_semi")
-        return self._alive(found)
+        return self._alive(_unpacked(found))
 
     def bounds(self, wanted: list[str]) -> DataFrame:
         """(segment, range, term, f, size): what bounds the scores of each range."""
-        return self._read("bounds", "term string, range long, f long, size int, bucket int", wanted).select("segment", "range", "term", "f", "size")
+        return self._read("blocks", "term string, range long, f long, size int, bucket int", wanted).select("segment", "range", "term", "f", "size")
 
     def frequencies(self, wanted: list[str]) -> dict[str, int]:
         """Documents that hold each term: a row for each of a query's few terms."""
@@ -251,15 +358,15 @@ class Postings:
         # what follows from a row's other columns isn't shuffled
         narrow = postings.select("id", "term", F.col("f").cast("int").alias("f"), "size")
         dealt = narrow.repartition(buckets * parts, bucket_of(F.col("term"), buckets), F.pmod(F.xxhash64(range_), F.lit(parts)))
-        dealt = dealt.select("id", "term", F.col("f").cast("long").alias("f"), "size", range_.alias("range"), bucket_of(F.col("term"), buckets).alias("bucket"))
-        dealt.sortWithinPartitions("bucket", "term", "range", "id").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        id_type = dict(docs.dtypes)["id"]
+        dealt = packed_blocks(dealt.select("id", "term", "f", "size", range_.alias("range"), bucket_of(F.col("term"), buckets).alias("bucket")))
+        # they come in this order: the sort only tells the writer so
+        dealt.sortWithinPartitions("bucket", "term", "range").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         del dealt, narrow
         if spent:
             discard(self.spark, spent)
         release_shuffles(self.spark)
-        written = read.schema(f"id {id_type}, term string, f long, size int, range long, bucket int").parquet(f"{path}/postings")
-        counts = written.groupBy("bucket", "term").agg(F.count("*").alias("own"))
+        written = read.schema("term string, n int, bucket int").parquet(f"{path}/blocks")
+        counts = written.groupBy("bucket", "term").agg(F.sum("n").alias("own"))
         plus = counts.select("term", F.col("own").alias("df"), "own")
         if changes is not None:
             change = changes.withColumn("own", F.lit(0).cast("long")).unionByName(plus.withColumn("df", F.lit(0).cast("long")))
@@ -269,8 +376,6 @@ class Postings:
             change = change.groupBy("term").agg(F.sum("df").alias("df"), F.sum("own").alias("own")).where("df <> 0 OR own <> 0")
         change = change.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket")
         change.sortWithinPartitions("bucket", "term").write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        # a task reads few buckets, and their files in order
-        range_bounds(written).write.options(**PACKED).mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
         lost_n, lost_words = 0, 0
         if dead is not None:
             dead.select("id").coalesce(max(1, -(-n // 500_000))).write.options(**PACKED).mode("overwrite").parquet(f"{path}/dead")

@@ -207,3 +207,28 @@ def test_many_queries_with_ties_in_blocks(spark, corpus, monkeypatch, together,
         want = sorted(retrieval.indexed_leg(ix, q, 2000, direct=1 << 60).collect(), key=lambda r: (-round(r.score, 9), r.id))[:10]
         assert [(r.id, round(r.score, 8)) for r in own] == [(r.id, round(r.score, 8)) for r in want]
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_usual_words_are_cut_as_terms_are(spark):
+    rng = random.Random(5)
+    usual = [chr(c) for c in (*range(1, 0x250), *range(0x2000, 0x2070))] + list(" abcXYZ019") * 60
+    made = ["".join(rng.choice(usual) for _ in range(rng.choice([0, 1, 30, 300]))) for _ in range(300)] + [None, "İıẞß Ⱥⱥ", "áb ΣΑΣ Σ 東京 ٣ a", "½x²y ªº"]
+    df = spark.createDataFrame(list(enumerate(made)), "id long, _text string")
+    want = {r.id: sorted(r.t) for r in df.select("id", text.terms(F.coalesce("_text", F.lit(""))).alias("t")).collect()}
+    got = {r.id: (r.size, sorted(t for t, f in r.counts for _ in range(f))) for r in postings.counted_terms(df).collect()}
+    assert got == {n: (len(t), t) for n, t in want.items()}
+
+
+def test_blocks_hold_each_posting_once(corpus, monkeypatch):
+    """One file holds a term's bounds and its postings, whatever the number of them that is sorted at a time."""
+    _, ix = corpus
+    rows_ = ix.postings.select("id", "term", F.col("f").cast("int").alias("f"), "size", "range", "bucket")
+    want = {(r["term"], r["range"]): (r["n"], r["f"], r["size"]) for r in ix.postings.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("f").alias("f"), F.min("size").alias("size")).collect()}
+    for together in (2_000_000, 1_000):
+        monkeypatch.setattr(postings, "SORTED_POSTINGS", together)
+        got = {}
+        for r in postings.packed_blocks(rows_).collect():
+            n, f, size = got.get((r["term"], r["range"]), (0, 0, 1 << 30))
+            assert r["n"] == len(r["ids"]) == len(r["fs"]) == len(r["sizes"]) and (r["f"], r["size"]) == (max(r["fs"]), min(r["sizes"]))
+            got[r["term"], r["range"]] = n + r["n"], max(f, r["f"]), min(size, r["size"])
+        assert got == want
