@@ -56,3 +56,18 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     got = spark.read.parquet(out).collect()
     assert {r.event_id: r.hit for r in got} == brute(rows, 2, 3600) and len(got) == len(rows)
     assert {r.event_id: r.event_type for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_keys_share_a_group(spark, tmp_path):
+    """Each key has its own cache, whatever keys are in its group, and a restart changes nothing; one call a group."""
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(i, rng.randrange(40), rng.choice(["a", "b", "c", None]), start + timedelta(seconds=400 * i)) for i in range(600)]
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    out = str(tmp_path / "out")
+    for part in (rows[:250], rows[250:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = cache.accesses(spark.readStream.schema(SCHEMA).parquet(source), capacity=2, ttl=9000, groups=3)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 3
+    assert {r.event_id: r.hit for r in spark.read.parquet(out).collect()} == brute(rows, 2, 9000)
