@@ -99,3 +99,28 @@ def test_what_is_remembered_changes_nothing(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(trees._Run, "__init__", forgetful)
             assert got == found(code, pattern, language), (code, pattern)
+
+
+@pytest.mark.parametrize("language", ["rust", "typescript", "go", "kotlin", "c", "ruby"])
+def test_faults_are_counted_without_tokens(language):
+    """As many as tokens() finds, and its stretches go by brackets, commas and semicolons."""
+    rng = random.Random(7)
+    signs = ["b", "r", 'r"', 'r#"', '"#', '"', "'", "`", "//", "/", "/*", "*/", "<<", "<<EOT\n", "EOT\n", "\n", " ", "x1", "1b", "(", ")", "[", "]", "{", "}", ",", ";", "==", "=", "\\", "#", "--"]
+    for _ in range(2000):
+        code = "".join(rng.choice(signs) for _ in range(rng.randrange(30)))
+        got = trees.tokens(code, language)
+        assert [code[a:b] for a, b in zip(got.starts, got.ends, strict=True)] == got.texts
+        assert trees.fault_count(code, language) == got.faults
+        now, last, outer, want = 0, 0, [], []
+        for n, text in enumerate(got.texts):
+            if text in ("(", "[", "{"):
+                want.append(now)
+                outer.append(now)
+                now = last = last + 1
+                continue
+            if text in (",", ";"):
+                now = last = last + 1
+            elif 0 <= got.partner[n] < n:
+                now = outer.pop()
+            want.append(now)
+        assert got.stretch == want
