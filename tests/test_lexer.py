@@ -94,3 +94,14 @@ def test_odd_files():
         for text in ("", "\n", "{" * 50, "}" * 50, "\"", "'", "/*", "end\n" * 20):
             symbols.symbols_of(f"a.{extension}", text)
     assert symbols.symbols_of("a.yaml", "") == [] and symbols.symbols_of("a.toml", "[") == []
+
+
+def test_blanking_keeps_every_place():
+    """Hidden stretches of one row and of several: as long as before, with the line ends where they were."""
+    from folio.operators.code.lexer import blanked
+
+    for language, code in (("go", 'a "b\tc" /* d\r\ne\n*/ f // g\nh `i\rj`'), ("gdscript", 'a = "b" # c\nd = """e\nf"""\n'), ("ruby", "a 'b\nc' # d\n")):
+        got = blanked(code, language)
+        assert len(got) == len(code) and [c for c in got if c in "\r\n"] == [c for c in code if c in "\r\n"]
+        assert all(x == y or x in " \0" for x, y in zip(got, code, strict=True)) and "b" not in got
+    assert "\0" in blanked('a = "b"\n', "gdscript") and "\0" not in blanked("# b\n", "gdscript")
