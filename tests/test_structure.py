@@ -1,9 +1,14 @@
+import ast
 import random
 import time
 
+import duckdb
 import pytest
 
-from folio.operators.code import structure, trees
+from folio.operators.code import structure, symbols, trees
+from folio.plans.oracle import ORACLE_SQL
+from folio.plans.queries import QUERIES
+from tests.oracle import compare
 
 RUST = "fn main() {\n    // store(a, 1)\n    let x = store(a.b(1)?, vec![1, 2]);\n    store(\n        \"store(q, r)\",\n    );\n    if x == y && store(z, store(k, 2)) == 3 { let v = store; }\n}\n"
 
@@ -79,6 +84,38 @@ def test_files(spark):
     assert sorted((r.path, r.pattern, r.line_start) for r in both.collect()) == [("a.rs", "$A == $B", 7), ("a.rs", "$A == $B", 7), ("a.rs", "store($X)", 4), ("b.ts", "$A == $B", 7), ("b.ts", "$A == $B", 7)]
 
 
+def test_files_of_any_size(spark, monkeypatch):
+    """A file over a million characters is matched and rewritten as others are, in Python and by tokens."""
+    many = 40_000
+    sources = [("a.rs", "store(a, 1); // store(b, 2)\n" * many), ("b.py", "store(a, 1)  # store(b, 2)\n" * many), ("c.rs", "store(a, 1);\n")]
+    assert all(len(content) > 1_000_000 for _, content in sources[:2])
+    files = spark.createDataFrame(sources, "path string, content string").coalesce(1)
+    monkeypatch.setattr(symbols, "BATCH_CHARS", 500_000)  # handed on in several batches
+    for path, content, language in ((*sources[0], "rust"), (*sources[1], "python")):
+        assert structure.search_files(files.where(f"path = '{path}'"), "store($X, $Y)", language).count() == many
+        after = {r.path: r for r in structure.rewritten_files(files, "store($X, $Y)", "keep($Y)", language).collect()}
+        assert len(after) == 3 and not any(r.error_introduced for r in after.values())
+        assert after[path].changed and after[path].content == content.replace("store(a, 1)", "keep(1)")
+        other = next(p for p, _ in sources[:2] if p != path)
+        assert not after[other].changed and after[other].content == dict(sources)[other]
+
+
+def test_sources_of_nodes_are_as_asts():
+    for code in ("a = 'é'\r\nb = (1,\r\n 2)\rc = '''x\ny'''\n", "x = 1 \x0c\ny = f(\n'ü', a)\n", "", "f(é)"):
+        of = structure._segments(code)
+        assert all(of(n) == ast.get_source_segment(code, n) for n in ast.walk(ast.parse(code)))
+
+
+@pytest.mark.parametrize("name", ["structure_rewrite", "structure_search"])
+def test_large_documents_against_duckdb(spark, tmp_path, name):
+    """Documents whose files have more than a million characters give what the SQL gives."""
+    rows = [(k, "\n".join(f"word{i} of {k} and more" for i in range(n)), "en", "a", 0) for k, n in enumerate((9000, 10_000, 20, 15_000))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    compare(spark, con, str(tmp_path), QUERIES[name], ORACLE_SQL[name])
+
+
 class Forgetful(set):
     def __contains__(self, _):
         return False
