@@ -111,3 +111,67 @@ def test_margins_reject_no_language_and_keep_clean_texts(spark):
 def test_length_classes(spark):
     for chars in (1, 2, 3, 4, 31, 32, 1023, 1024, 5000):
         assert language_id.length_class(chars) == spark.sql(f"SELECT cast(floor(log2({chars}D)) AS int) + 1 AS c").first().c
+
+
+def labelled_texts(n):
+    """Texts of two languages that share words, so that leads differ; of two lengths, and a few long ones.
+
+    The last five are as long and of shared words only, without a label."""
+    import random
+
+    r = random.Random(11)
+    made = lambda n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+    both, own = made(30), {"de": made(60), "en": made(60)}
+    out = []
+    for i in range(n):
+        lang = ("de", "en")[i % 2]
+        share = r.random() / 2
+        words = [r.choice(own[lang]) for _ in range(100)] if i % 400 < 2 else [r.choice(both if r.random() < share else own[lang]) for _ in range(r.choice((6, 20)))]
+        out.append((i, " ".join(words), lang, "a", 0))
+    return out + [(n + i, " ".join(r.choice(both) for _ in range(80)), None, "a", 0) for i in range(5)]
+
+
+def margins_by_force(rows, dictionaries):
+    model, scores = language_id.Classifier(dictionaries), {}
+    for _, text, lang, *_ in rows:
+        pred, score = model.predict(text)
+        if pred == lang:
+            scores.setdefault(len(text).bit_length(), []).append(score)
+    low = {c: sorted(s)[-(-len(s) // 100) - 1] for c, s in scores.items() if len(s) >= language_id.MARGIN_ROWS}
+    return {c: language_id.MARGIN_SHARE * x for c, x in low.items() if x > 0}
+
+
+def test_margins_come_from_all_labelled_rows(spark):
+    """Of 15,000 labelled documents each counts: no sample, no approximate rank, in whatever partitions they lie."""
+    rows = labelled_texts(15_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dictionaries = language_id.learn(docs, dictionary_bytes=3000)
+    want = margins_by_force(rows, dictionaries)
+    assert 10 in want and len(want) >= 2
+    assert language_id.calibrate(docs, dictionaries) == want == language_id.calibrate(docs.repartition(7), dictionaries)
+
+
+def test_stage_keeps_what_margins_of_all_labelled_rows_allow(spark):
+    import corpus_pipeline
+
+    rows = labelled_texts(9000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    fold = {r.doc_id for r in docs.where(language_id.held_out(F.col("doc_id"))).collect()}
+    dictionaries = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    margins = margins_by_force([r for r in rows if r[0] not in fold], dictionaries)
+    model = language_id.Classifier(dictionaries)
+    want = [r for r in rows if model.predict(r[1])[1] >= margins.get(len(r[1]).bit_length(), 0)]
+    assert 0 < len(want) < len(rows) and rows[-1] not in want
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, docs, "").collect())) == want
+
+
+def test_judging_is_learning_calibrating_and_identifying(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(None, "no id but words", "en"), (1_000_000, "no language but words", None), (1_000_001, None, "en"), (1_000_002, "12 34", "de")], docs.schema)
+    docs, learned = docs.unionByName(odd), ~language_id.held_out(F.col("doc_id"))
+    dictionaries = language_id.learn(docs.where(learned))
+    margins = language_id.calibrate(docs.where(learned), dictionaries)
+    want = language_id.identify(docs, dictionaries, margins=margins)
+    got = language_id.judge(docs, learned, keep=["doc_id", "text", "lang"])
+    assert margins and got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
